@@ -1,0 +1,9 @@
+"""The registered queries, over views of the given tables."""
+
+
+def load():
+    """Import every query module and return the registry."""
+    from . import registry
+    from . import ensemble, features, genes, markers, scoring, sequences, sources, training  # noqa: F401
+
+    return registry

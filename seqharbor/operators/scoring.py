@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -216,12 +217,19 @@ def gate_features(raw: Column, raw_dim: int, class_probs: list[Column], marker:
     return F.array(*parts)
 
 
+@dataclass(frozen=True)
+class GateWeights:
+    """One fold's gate: hidden layer, then one output."""
+
+    hidden_weight: list[list[float]]
+    hidden_bias: list[float]
+    out_weight: list[float]
+    out_bias: float
+
+
 def gate_alpha(
     df: DataFrame,
-    hidden_weight: list[list[float]],
-    hidden_bias: list[float],
-    out_weight: list[float],
-    out_bias: float,
+    gates: dict[str, GateWeights],
     num_classes: int,
     raw_dim: int = 13,
     marker_dim: int = 0,
@@ -232,31 +240,40 @@ def gate_alpha(
 ) -> DataFrame:
     """Weight of the sequence model in the mixture, in (0, 1); 1 where the chunk has no genes.
 
-    Linear, GELU (exact, by erf), linear, sigmoid. Spark SQL has no erf, so the two small products
-    run per Arrow batch.
+    Linear, GELU (exact, by erf), linear, sigmoid, with the weights of the row's ``fold``. Spark
+    SQL has no erf, so the two small products run per Arrow batch.
     """
     if raw not in df.columns:
         raise ValueError("the gate needs the raw features")
-    w1, b1 = np.asarray(hidden_weight, float), np.asarray(hidden_bias, float)
-    w2 = np.asarray(out_weight, float)
+    weights = {
+        fold: (
+            np.asarray(g.hidden_weight, float),
+            np.asarray(g.hidden_bias, float),
+            np.asarray(g.out_weight, float),
+            float(g.out_bias),
+        )
+        for fold, g in gates.items()
+    }
 
     @F.pandas_udf("double")
-    def gate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def gate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         import math
 
         erf = np.frompyfunc(math.erf, 1, 1)
-        for rows in batches:
-            if not len(rows):
-                yield pd.Series([], dtype=float)
-                continue
-            z = np.stack(rows.to_numpy()).astype(float) @ w1.T + b1
-            gelu = 0.5 * z * (1.0 + erf(z / math.sqrt(2.0)).astype(float))
-            yield pd.Series(1.0 / (1.0 + np.exp(-(gelu @ w2 + out_bias))))
+        for pdf in batches:
+            out = np.zeros(len(pdf))
+            for fold, rows in pdf.groupby("fold").indices.items():
+                w1, b1, w2, b2 = weights[fold]
+                z = np.stack(pdf["x"].to_numpy()[rows]).astype(float) @ w1.T + b1
+                gelu = 0.5 * z * (1.0 + erf(z / math.sqrt(2.0)).astype(float))
+                out[rows] = 1.0 / (1.0 + np.exp(-(gelu @ w2 + b2)))
+            yield pd.Series(out)
 
     soft = with_softmax(df, entries(logits, num_classes), "g")
     probs = [F.col(c) for c in names("g", num_classes)]
     scalars = F.col(marker) if marker_dim else None
-    alpha = gate(gate_features(F.col(raw), raw_dim, probs, scalars, marker_dim))
+    row = gate_features(F.col(raw), raw_dim, probs, scalars, marker_dim)
+    alpha = gate(F.struct("fold", row.alias("x")))
     if marker_dim:
         alpha = F.when(zero_if_missing(F.col(marker)[0]) == 0.0, F.lit(1.0)).otherwise(alpha)
     return soft.withColumn(out, alpha).drop(*names("g", num_classes))

@@ -52,11 +52,12 @@ def class_distribution(labelled: DataFrame) -> DataFrame:
     return counts.withColumn("percent", F.lit(100.0) * F.col("n") / F.sum("n").over(everything))
 
 
-def class_weights(labelled: DataFrame) -> DataFrame:
-    """``total / (classes * rows of the class)``."""
+def class_weights(labelled: DataFrame, num_classes: int | None = None) -> DataFrame:
+    """``total / (classes * rows of the class)``; by default over the classes that have rows."""
     counts = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     everything = Window.partitionBy()
-    rows, classes = F.sum("n").over(everything), F.count(F.lit(1)).over(everything)
+    rows = F.sum("n").over(everything)
+    classes = F.count(F.lit(1)).over(everything) if num_classes is None else F.lit(num_classes)
     return counts.withColumn("weight", rows / (classes * F.col("n"))).drop("n")
 
 
@@ -159,8 +160,7 @@ def load_training_set(
     """Labelled sequences with label index, features (strict) and the train / val split."""
     table = join_labels(sequences, labels)
     split = stratified_split(table.select("accession", "label"), test_size, seed)
-    index = label_index(table)
-    result = split.join(index, "label").join(sequences, "accession")
+    result = split.join(label_index(labels), "label").join(sequences, "accession")
     if features is not None:
         labelled = table.select("accession")
         aligned = align_features(labelled, features, strict=True)
