@@ -14,7 +14,7 @@ from .sequences import CHUNKS, chunks
 from .views import sql
 
 
-def _residue(codon: str) -> str:
+def residue_sql(codon: str) -> str:
     at = [f"strpos('{CODON_BASES}', substr({codon},{i},1))" for i in (1, 2, 3)]
     known = " and ".join(f"{a}>0" for a in at)
     return (
@@ -32,7 +32,7 @@ ORF_CTES = {
     "codons": """select accession, strand, n, f, i, substring(seq, f+3*i+1, 3) codon
         from (select *, unnest(range(0, (n-f)//3)) i from frames) a""",
     "marked": f"""select *, codon in ('TAA','TAG','TGA') stop, codon in ('ATG','GTG','TTG') opens,
-        {_residue('codon')} aa from codons""",
+        {residue_sql('codon')} aa from codons""",
     "cut": """select *, coalesce(sum(stop::int) over (partition by accession, strand, f order by i
         rows between unbounded preceding and 1 preceding), 0) part from marked""",
     "parts": """select accession, strand, f, part, any_value(n) n, min(i) lo, max(i) hi,
@@ -84,7 +84,7 @@ def orf_scan(spark, sf):
                 select accession, reverse(translate(seq,'ACGTN','TGCAN')), 2 from v_sequences""",
             "codons": """select accession, side, i, substring(seq, 3*i+1, 3) codon
                 from (select *, unnest(range(0, length(seq)//3)) i from sides) a""",
-            "residues": f"select accession, side, i, {_residue('codon')} aa from codons",
+            "residues": f"select accession, side, i, {residue_sql('codon')} aa from codons",
         },
     ),
 )

@@ -267,4 +267,4 @@ def sql(views: list[str], select: str, ctes: dict[str, str] | None = None, recur
         need(view)
     parts.update(ctes or {})
     body = ",\n".join(f"{name} as ({text})" for name, text in parts.items())
-    return f"with {'recursive ' if recursive else ''}{body}\n{select}"
+    return f"with {'recursive ' if recursive else ''}{body}\n{select}" if body else select

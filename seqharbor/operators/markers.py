@@ -107,11 +107,13 @@ def annotate_hits(
         "target_coverage": F.col("target_cov"),
     }
     names = [*ANNOTATION_COLUMNS, *[f"marker_{c}" for c in extra]]
+    flags = ("partial_begin", "partial_end")
 
     def shown(name: str) -> Column:
         value = renamed.get(name, F.col(name))
         if as_text:
-            value = F.coalesce(value.cast("string"), F.lit(""))
+            text = value.cast("string")
+            value = F.coalesce(F.initcap(text) if name in flags else text, F.lit(""))
         return value.alias(name)
 
     return joined.select(*[shown(name) for name in names])
