@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seqharbor.operators import calibration as cal
 from seqharbor.operators import ensemble as ops
+from seqharbor.operators.features import union_feature_columns
 from seqharbor.sources.models import Calibration, Posthoc
 
 from . import features, scoring, views
@@ -292,6 +293,4 @@ def chunk_report(spark, sf):
     ),
 )
 def features_report(spark, sf):
-    from seqharbor.operators.features import union_feature_columns
-
-    return tidy(ops.features_report(union_feature_columns(*features.matrices(spark, sf)), "fold_0"))
+    return tidy(ops.features_report(union_feature_columns(features.wide(spark, sf)), "fold_0"))

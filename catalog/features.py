@@ -54,8 +54,8 @@ def marker_table(spark, sf):
     return marker_ops.marker_features(summary)
 
 
-def matrices(spark, sf, mask="none", target="all"):
-    return ops.model_matrices(arch(spark, sf), marker_table(spark, sf), mask, target)
+def wide(spark, sf):
+    return ops.assemble_features(arch(spark, sf), marker_table(spark, sf))
 
 
 @query(
@@ -63,9 +63,7 @@ def matrices(spark, sf, mask="none", target="all"):
     sql(VIEWS, f"select fold, accession, {rounded(ARCH_MODEL_FEATURES + DOMAIN_MARKER_FEATURES)} from wide", CTES),
 )
 def assemble_features(spark, sf):
-    return tidy(
-        ops.assemble_features(arch(spark, sf), marker_table(spark, sf), DOMAIN_MARKER_FEATURES)
-    )
+    return tidy(ops.domain_matrix(wide(spark, sf)))
 
 
 MASKED = ["gene_density", "gene_density_fwd", "gene_density_rev", "strand_switch_rate", "leaderless_freq", "short_utr_freq"]
@@ -86,7 +84,9 @@ MASKED = ["gene_density", "gene_density_fwd", "gene_density_rev", "strand_switch
 )
 def mask_features(spark, sf):
     """Both groups masked in the domain matrix only; the host matrix keeps them."""
-    domain, host = matrices(spark, sf, "density_plus_boundary", "domain_only")
+    rows = wide(spark, sf)
+    domain = ops.domain_matrix(rows, "density_plus_boundary", "domain_only")
+    host = ops.host_matrix(rows, "density_plus_boundary", "domain_only")
     kept = host.select("fold", "accession", *[F.col(c).alias(f"host_{c}") for c in MASKED])
     return tidy(domain.join(kept, ["fold", "accession"]))
 
@@ -99,7 +99,7 @@ UNION = ARCH_MODEL_FEATURES + DOMAIN_MARKER_FEATURES + HOST_MARKER_FEATURES
     sql(VIEWS, f"select fold, accession, {rounded(UNION)} from wide", CTES),
 )
 def union_feature_columns(spark, sf):
-    return tidy(ops.union_feature_columns(*matrices(spark, sf)))
+    return tidy(ops.union_feature_columns(wide(spark, sf)))
 
 
 MODEL_ORDER = ["euk_max_bitscore", "gene_density", "prok_marker_freq", "coding_density"]
@@ -114,7 +114,7 @@ MODEL_ORDER = ["euk_max_bitscore", "gene_density", "prok_marker_freq", "coding_d
     ),
 )
 def select_model_features(spark, sf):
-    domain, _ = matrices(spark, sf)
+    domain = ops.domain_matrix(wide(spark, sf))
     return tidy(ops.select_model_features(domain, MODEL_ORDER, "domain model"), 4)
 
 
@@ -194,11 +194,9 @@ PROBS = ", ".join(r(f"p{i}", alias=f"p{i}") for i in range(5))
 
 
 def tree_scores(spark, sf):
-    """(fold, accession, domain, host): both models on one row."""
-    domain, host = matrices(spark, sf)
-    wide = ops.union_feature_columns(domain, host)
+    """The feature rows with both models' probabilities."""
     scored = score_trees(
-        wide, trees(spark, TREES), ARCH_MODEL_FEATURES + DOMAIN_MARKER_FEATURES, 2, out="domain"
+        wide(spark, sf), trees(spark, TREES), ARCH_MODEL_FEATURES + DOMAIN_MARKER_FEATURES, 2, out="domain"
     )
     return score_trees(
         scored, trees(spark, HOST_TREES), ARCH_MODEL_FEATURES + HOST_MARKER_FEATURES, 4, out="host"
@@ -206,8 +204,8 @@ def tree_scores(spark, sf):
 
 
 def class_probs(spark, sf):
-    return tree_scores(spark, sf).select(
-        "fold", "accession", hierarchical_probs("domain", "host", 5, 4, [0, 1, 2, 3]).alias("probs")
+    return tree_scores(spark, sf).withColumn(
+        "probs", hierarchical_probs("domain", "host", 5, 4, [0, 1, 2, 3])
     )
 
 
@@ -226,8 +224,7 @@ GATE_RAW = ["fragment_size", *ARCH_MODEL_FEATURES]
     ),
 )
 def gate_inputs(spark, sf):
-    domain, _ = matrices(spark, sf)
-    rows = ops.gate_inputs(arch(spark, sf), domain, class_probs(spark, sf), 13, 1)
+    rows = ops.gate_inputs(class_probs(spark, sf), 13, 1)
     return tidy(
         rows.select(
             "fold",

@@ -41,7 +41,7 @@ def score_trees(spark, sf):
     sql(features.VIEWS, f"select fold, accession, {features.PROBS} from class_probs", features.TREE_CTES),
 )
 def hierarchical_probs(spark, sf):
-    return tidy(unpack(features.class_probs(spark, sf), "probs", CLASSES, "p"))
+    return tidy(unpack(features.class_probs(spark, sf).select("fold", "accession", "probs"), "probs", CLASSES, "p"))
 
 
 @query(

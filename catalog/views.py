@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqharbor.functions.ranking import blocked_rank
+from seqharbor.functions.spread import spread
 
 LETTERS = ("abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtncgtacgtac")
 FOLDS = [f"fold_{i}" for i in range(5)]
@@ -22,7 +23,7 @@ def _letters(text: str):
 
 
 def sequences(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return docs.select(F.concat(F.lit("doc"), "doc_id").alias("accession"), _letters("text").alias("seq"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -53,3 +54,8 @@ def first_argmax(values: list[Column]) -> Column:
     for i, value in enumerate(values[1:], start=1):
         chain = chain.when(value == top, F.lit(i))
     return chain
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -24,10 +24,14 @@ MASKS = {
 TARGETS = ("all", "domain_only", "host_only")
 
 
-def assemble_features(arch: DataFrame, markers: DataFrame, marker_names: list[str]) -> DataFrame:
-    """Architecture columns beside one model's marker columns, per (fold, chunk)."""
-    narrow = markers.select("fold", "accession", *marker_names)
-    return arch.select("accession", *ARCH_MODEL_FEATURES).join(narrow, "accession")
+def assemble_features(arch: DataFrame, markers: DataFrame) -> DataFrame:
+    """Architecture and marker features of a (fold, chunk) on one row: a single join.
+
+    Each model's matrix, their union and the gate's input are column selections of this table.
+    """
+    return arch.join(markers, "accession").select(
+        "fold", "accession", "n_genes", *ARCH_FEATURES, *DOMAIN_MARKER_FEATURES, *HOST_MARKER_FEATURES
+    )
 
 
 def mask_features(df: DataFrame, mask: str = "none") -> DataFrame:
@@ -38,25 +42,29 @@ def mask_features(df: DataFrame, mask: str = "none") -> DataFrame:
     return df.withColumns(hidden) if hidden else df
 
 
-def model_matrices(
-    arch: DataFrame, markers: DataFrame, mask: str = "none", target: str = "all"
-) -> tuple[DataFrame, DataFrame]:
-    """The domain matrix and the host matrix, masked as asked."""
+def mask_for(model: str, mask: str, target: str) -> str:
+    """The mask that reaches ``model`` (domain_only / host_only) under a mask target."""
     if target not in TARGETS:
         raise ValueError(f"unknown mask target: {target}")
-    domain = assemble_features(arch, markers, DOMAIN_MARKER_FEATURES)
-    host = assemble_features(arch, markers, HOST_MARKER_FEATURES)
-    if target in ("all", "domain_only"):
-        domain = mask_features(domain, mask)
-    if target in ("all", "host_only"):
-        host = mask_features(host, mask)
-    return domain, host
+    return mask if target in ("all", model) else "none"
+
+
+def domain_matrix(wide: DataFrame, mask: str = "none", target: str = "all") -> DataFrame:
+    shown = wide.select("fold", "accession", *ARCH_MODEL_FEATURES, *DOMAIN_MARKER_FEATURES)
+    return mask_features(shown, mask_for("domain_only", mask, target))
 
 
-def union_feature_columns(domain: DataFrame, host: DataFrame) -> DataFrame:
-    """The first matrix plus the columns only the second has."""
-    added = [c for c in host.columns if c not in domain.columns]
-    return domain.join(host.select("fold", "accession", *added), ["fold", "accession"])
+def host_matrix(wide: DataFrame, mask: str = "none", target: str = "all") -> DataFrame:
+    shown = wide.select("fold", "accession", *ARCH_MODEL_FEATURES, *HOST_MARKER_FEATURES)
+    return mask_features(shown, mask_for("host_only", mask, target))
+
+
+def union_feature_columns(wide: DataFrame, mask: str = "none", target: str = "all") -> DataFrame:
+    """The domain matrix plus the columns only the host matrix has."""
+    shown = wide.select(
+        "fold", "accession", *ARCH_MODEL_FEATURES, *DOMAIN_MARKER_FEATURES, *HOST_MARKER_FEATURES
+    )
+    return mask_features(shown, mask_for("domain_only", mask, target))
 
 
 def select_model_features(
@@ -72,34 +80,29 @@ def select_model_features(
 
 
 def gate_inputs(
-    arch: DataFrame,
-    domain: DataFrame,
-    class_probs: DataFrame,
+    rows: DataFrame,
     raw_feature_dim: int = GATE_DIM,
     gate_marker_dim: int = 0,
+    probs: str = "probs",
 ) -> DataFrame:
-    """``(fold, accession, raw, features)``: the 13 gate features with missing as 0, and the class
-    probabilities, followed by the gene count when the gate takes it.
+    """Add ``raw``, the 13 gate features with missing as 0, and ``features``, the class
+    probabilities followed by the gene count when the gate takes it.
 
-    The architecture part comes from the domain matrix, so its mask reaches the gate.
+    ``rows`` carries the domain matrix's (masked) architecture columns, so a mask on that matrix
+    reaches the gate; ``fragment_size`` is never masked.
     """
     if raw_feature_dim != GATE_DIM:
         raise ValueError(f"the gate takes {GATE_DIM} raw features, the model says {raw_feature_dim}")
     features = (
-        F.concat("probs", F.array(F.col("n_genes").cast("double")))
+        F.concat(probs, F.array(F.col("n_genes").cast("double")))
         if gate_marker_dim > 0
-        else F.col("probs")
+        else F.col(probs)
     )
-    return (
-        domain.select("fold", "accession", *ARCH_MODEL_FEATURES)
-        .join(class_probs.select("fold", "accession", "probs"), ["fold", "accession"])
-        .join(arch.select("accession", "fragment_size", "n_genes"), "accession")
-        .select(
-            "fold",
-            "accession",
-            F.array(*[zero_if_missing(F.col(c)) for c in ARCH_FEATURES]).alias("raw"),
-            features.alias("features"),
-        )
+    return rows.withColumns(
+        {
+            "raw": F.array(*[zero_if_missing(F.col(c)) for c in ARCH_FEATURES]),
+            "features": features,
+        }
     )
 
 

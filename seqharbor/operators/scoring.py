@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import predict_batch_udf
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scalars import clamp, largest, sigmoid, total, zero_if_missing
@@ -16,7 +17,6 @@ from ..functions.vectors import entries, names, pack, with_entries, with_softmax
 MIN_PROB = 1e-7
 MAX_TREE_NODES = 2_000_000
 EXPRESSION_NODES = 300
-UNROLLED_DIMS = 256
 
 TREE_COLUMNS = [
     "fold", "tree", "node", "feature", "threshold", "left", "right", "default_left", "leaf", "class",
@@ -374,26 +374,18 @@ def masked_pooling(
         return df.groupBy(key).agg(F.min_by(v.cast("array<double>"), position).alias(out))
     if how not in ("mean", "max"):
         raise ValueError(f"unknown pooling: {how}")
-    low = F.lit(-1e9)
-    if dim <= UNROLLED_DIMS:
-        if how == "mean":
-            parts = [F.sum(F.when(on, v[i].cast("double")).otherwise(0.0)).alias(f"_d{i}") for i in range(dim)]
-        else:
-            parts = [F.max(F.when(on, v[i].cast("double")).otherwise(low)).alias(f"_d{i}") for i in range(dim)]
-        grouped = df.groupBy(key).agg(F.sum(F.when(on, 1.0).otherwise(0.0)).alias("_n"), *parts)
-        count = F.greatest(F.col("_n"), F.lit(1e-9))
-        values = [F.col(f"_d{i}") / count if how == "mean" else F.col(f"_d{i}") for i in range(dim)]
-        return grouped.select(key, F.array(*values).alias(out))
-    # Wide vectors: one row per dimension keeps the generated code small.
-    long = df.select(key, on.alias("_on"), F.posexplode(v.cast("array<double>")).alias("_i", "_v"))
-    value = F.sum(F.when(F.col("_on"), F.col("_v")).otherwise(0.0)) / F.greatest(
-        F.sum(F.when(F.col("_on"), 1.0).otherwise(0.0)), F.lit(1e-9)
-    )
+    dense = v.cast("array<double>")
     if how == "max":
-        value = F.max(F.when(F.col("_on"), F.col("_v")).otherwise(low))
-    per_dim = long.groupBy(key, "_i").agg(value.alias("_v"))
-    gathered = per_dim.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_a"))
-    return gathered.select(key, F.transform("_a", lambda e: e["_v"]).alias(out))
+        shown = array_to_vector(F.when(on, dense).otherwise(F.array_repeat(F.lit(-1e9), dim)))
+        grouped = df.select(key, shown.alias("_v")).groupBy(key)
+        return grouped.agg(vector_to_array(Summarizer.max(F.col("_v"))).alias(out))
+    shown = array_to_vector(F.when(on, dense).otherwise(F.array_repeat(F.lit(0.0), dim)))
+    grouped = df.select(key, shown.alias("_v"), on.cast("double").alias("_on")).groupBy(key)
+    sums = grouped.agg(
+        vector_to_array(Summarizer.sum(F.col("_v"))).alias("_s"), F.sum("_on").alias("_n")
+    )
+    count = F.greatest(F.col("_n"), F.lit(1e-9))
+    return sums.select(key, F.transform("_s", lambda s: s / count).alias(out))
 
 
 def attention_pooling(
@@ -417,8 +409,6 @@ def attention_pooling(
     heads, dim = len(queries), len(queries[0])
     if combine not in ("weighted_sum", "linear", "bottleneck"):
         raise ValueError(f"unknown head combination: {combine}")
-    if dim > UNROLLED_DIMS:
-        raise ValueError(f"vectors wider than {UNROLLED_DIMS} are not supported here")
     scaled = np.asarray(queries, float) / np.clip(np.asarray(temperatures, float), 0.1, 10.0)[:, None]
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -429,11 +419,9 @@ def attention_pooling(
                 continue
             yield pd.Series(list(np.stack(vectors.to_numpy()).astype(float) @ scaled.T), dtype=object)
 
+    dense = F.col(vector).cast("array<double>")
     scored = df.select(
-        key,
-        F.col(mask).alias("_on"),
-        F.col(vector).cast("array<double>").alias("_v"),
-        head_scores(F.col(vector).cast("array<double>")).alias("_raw"),
+        key, F.col(mask).alias("_on"), array_to_vector(dense).alias("_v"), head_scores(dense).alias("_raw")
     )
     hidden = F.lit(-1e9)
     scored = with_entries(
@@ -444,20 +432,25 @@ def attention_pooling(
     joined = with_entries(
         joined, "w", [F.exp(F.col(f"_s{h}") - F.col(f"_t{h}")) for h in range(heads)]
     )
-    sums = [F.sum(f"_w{h}").alias(f"_z{h}") for h in range(heads)]
-    sums += [
-        F.sum(F.col(f"_w{h}") * F.col("_v")[i]).alias(f"_h{h}_{i}")
-        for h in range(heads)
-        for i in range(dim)
-    ]
-    grouped = joined.groupBy(key).agg(*sums)
-    pooled = [[F.col(f"_h{h}_{i}") / F.col(f"_z{h}") for i in range(dim)] for h in range(heads)]
+    # The mean weighted by the softmax numerators is the softmax-weighted sum.
+    pooled = joined.groupBy(key).agg(
+        *[
+            vector_to_array(Summarizer.mean(F.col("_v"), F.col(f"_w{h}"))).alias(f"_h{h}")
+            for h in range(heads)
+        ]
+    )
     if combine == "weighted_sum":
         weights = head_weights or [1.0 / heads] * heads
-        mixed = [total([F.lit(float(weights[h])) * pooled[h][i] for h in range(heads)]) for i in range(dim)]
-        return grouped.select(key, F.array(*mixed).alias(out))
-    stacked = grouped.select(key, F.array(*[c for head in pooled for c in head]).alias("_cat"))
-    return stacked.select(key, _projection(projection, combine)("_cat").alias(out))
+        positions = F.sequence(F.lit(0), F.lit(dim - 1))
+        mixed = F.transform(
+            positions,
+            lambda i: total(
+                [F.lit(float(weights[h])) * F.get(F.col(f"_h{h}"), i) for h in range(heads)]
+            ),
+        )
+        return pooled.select(key, mixed.alias(out))
+    stacked = F.concat(*[F.col(f"_h{h}") for h in range(heads)])
+    return pooled.select(key, _projection(projection, combine)(stacked).alias(out))
 
 
 def _projection(projection: tuple, combine: str):

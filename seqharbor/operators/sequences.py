@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rand import hash_int32, uniform, uniform_int
 from ..functions.ranking import hash_rank
+from ..functions.scalars import let
 
 CHUNK_SUFFIX = r"_chunk\d+_\d+$"
 PASS_THROUGH_MARGIN = 500
 MAX_TRIES = 50
+PIECE_TYPE = "struct<start:int,end:int>"
 MIN_GENE_SCAN_LENGTH = 100
 MAX_DISTINCT_LENGTHS = 1_000_000
 
@@ -56,7 +58,7 @@ def _piece(start: Column, end: Column) -> Column:
 
 
 def _no_pieces() -> Column:
-    return F.array().cast("array<struct<start:int,end:int>>")
+    return F.array().cast(f"array<{PIECE_TYPE}>")
 
 
 def tile_pieces(chunk_size: int, min_length: int, seed: int) -> Column:
@@ -96,10 +98,13 @@ def uniform_pieces(
 
     def draw(i: Column, t: Column) -> Column:
         start = uniform_int(0, length - F.lit(min_size), F.col("accession"), seed, i, t, "start")
-        size = uniform_int(
-            min_size, F.least(longest, length - start), F.col("accession"), seed, i, t, "size"
-        )
-        return _piece(start, start + size)
+
+        def from_start(s: Column) -> Column:
+            largest = F.least(longest, length - s)
+            size = uniform_int(min_size, largest, F.col("accession"), seed, i, t, "size")
+            return _piece(s, s + size)
+
+        return let(start, from_start)
 
     def defined(piece: Column) -> Column:
         span = F.substring(
@@ -107,10 +112,19 @@ def uniform_pieces(
         )
         return ~F.contains(span, F.lit("N"))
 
-    tries = F.sequence(F.lit(1), F.when(undefined, F.lit(MAX_TRIES)).otherwise(F.lit(1)))
-    drawn = F.transform(
-        F.sequence(F.lit(1), copies),
-        lambda i: F.get(F.filter(F.transform(tries, lambda t: draw(i, t)), defined), F.lit(0)),
+    def first_defined(i: Column) -> Column:
+        # Once a draw is kept, the later tries only pass it on.
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(MAX_TRIES)),
+            F.lit(None).cast(PIECE_TYPE),
+            lambda kept, t: F.when(kept.isNotNull(), kept).otherwise(
+                let(draw(i, t), lambda p: F.when(defined(p), p))
+            ),
+        )
+
+    every = F.sequence(F.lit(1), copies)
+    drawn = F.when(undefined, F.transform(every, first_defined)).otherwise(
+        F.transform(every, lambda i: draw(i, F.lit(1)))
     )
     short = F.when(undefined, _no_pieces()).otherwise(
         F.array_repeat(_piece(F.lit(0), length), copies)

@@ -13,7 +13,6 @@ from ..constants import (
     DOMAIN_MARKER_FEATURES,
     HOST_MARKER_FEATURES,
 )
-from ..functions.scalars import zero_if_missing
 from ..operators.ensemble import (
     call_chunks,
     chunk_report,
@@ -25,7 +24,14 @@ from ..operators.ensemble import (
     prokaryote_index,
 )
 from ..operators.calibration import calibrate
-from ..operators.features import GATE_DIM, MASKS, TARGETS, mask_features
+from ..operators.features import (
+    GATE_DIM,
+    MASKS,
+    assemble_features,
+    gate_inputs,
+    mask_features,
+    mask_for,
+)
 from ..operators.genes import arch_features, gene_context, number_proteins, orf_scan
 from ..operators.markers import annotate_hits, extract_markers, marker_features, marker_summary
 from ..operators.scoring import (
@@ -127,6 +133,7 @@ class Ensemble:
     host_classes: list[int]
     gates: dict[str, GateWeights] = field(default_factory=dict)
     gate_marker_dim: int = 0
+    raw_feature_dim: int = GATE_DIM
     base_score: float = 0.0
     domain_features: list[str] = field(
         default_factory=lambda: ARCH_MODEL_FEATURES + DOMAIN_MARKER_FEATURES
@@ -150,32 +157,24 @@ def score_folds(
     Features, trees, gate and mixture are columns of one row: a single join by accession brings
     architecture and marker features together for both models.
     """
-    if mask not in MASKS or mask_target not in TARGETS:
-        raise ValueError(f"unknown mask {mask} / {mask_target}")
     size = len(ensemble.labels)
     prokaryote = prokaryote_index(ensemble.labels)
     if prokaryote is None:
         raise ValueError("tree scores need a prokaryote class")
     markers = marker_features(marker_summary(chunks, best, ensemble.marker_ref, ensemble.folds))
-    rows = (
-        chunks.select("accession", "chunk_len")
-        .join(arch, "accession")
-        .join(markers, "accession")
-    )
-    hide = lambda wanted: mask if mask_target in ("all", wanted) else "none"
-    unseen = MASKS[hide("host_only")]
+    rows = assemble_features(arch, markers).join(chunks.select("accession", "chunk_len"), "accession")
+    unseen = MASKS[mask_for("host_only", mask, mask_target)]
     host_row = [
         (F.lit(None).cast("double") if c in unseen else F.col(c)).alias(c)
         for c in ensemble.host_features
     ]
     rows = rows.withColumn("_host", F.struct(*host_row))
-    rows = mask_features(rows, hide("domain_only"))
+    rows = mask_features(rows, mask_for("domain_only", mask, mask_target))
     rows = score_trees(
         rows, ensemble.domain_trees, ensemble.domain_features, 2, ensemble.base_score, "_p1"
     )
-    raw = F.array(*[zero_if_missing(F.col(c)) for c in ARCH_FEATURES])
-    rows = rows.select(
-        "fold", "accession", "chunk_len", "n_genes", raw.alias("raw"), "_p1", "_host.*"
+    rows = rows.withColumn("_raw", F.struct(*ARCH_FEATURES)).select(
+        "fold", "accession", "chunk_len", "n_genes", "_raw", "_p1", "_host.*"
     )
     rows = score_trees(
         rows,
@@ -186,7 +185,11 @@ def score_folds(
         "_p2",
     )
     tree_probs = hierarchical_probs("_p1", "_p2", size, prokaryote, ensemble.host_classes)
-    rows = rows.select("fold", "accession", "chunk_len", "n_genes", "raw", tree_probs.alias("tree_probs"))
+    rows = rows.select(
+        "fold", "accession", "chunk_len", "n_genes", "_raw.*", tree_probs.alias("tree_probs")
+    )
+    rows = gate_inputs(rows, ensemble.raw_feature_dim, ensemble.gate_marker_dim, "tree_probs")
+    rows = rows.select("fold", "accession", "chunk_len", "n_genes", "raw", "tree_probs")
     if model_logits is None:
         return stream_fallback(rows, size, None, "tree_probs", "logits").drop("raw")
     rows = rows.join(
@@ -200,7 +203,7 @@ def score_folds(
         rows,
         ensemble.gates,
         size,
-        GATE_DIM,
+        ensemble.raw_feature_dim,
         1 if ensemble.gate_marker_dim > 0 else 0,
         logits="model_logits",
     )
