@@ -68,8 +68,10 @@ def whitelist_hits(hits: DataFrame, markers: DataFrame) -> DataFrame:
 
 
 def parent_id(query: str | Column = "query") -> Column:
-    """Protein id to the id of the sequence it lies on."""
-    return F.regexp_replace(query, "_[^_]*$", "")
+    """Protein id to the id of the sequence it lies on (unchanged without ``_``)."""
+    name = F.col(query) if isinstance(query, str) else query
+    tail = F.length(F.substring_index(name, "_", -1)) + F.lit(1)
+    return F.when(F.contains(name, F.lit("_")), F.left(name, F.length(name) - tail)).otherwise(name)
 
 
 def best_hits(hits: DataFrame) -> DataFrame:

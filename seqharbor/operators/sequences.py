@@ -35,8 +35,8 @@ def chunk_overlap(df: DataFrame, chunk_size: int = 10000, overlap: int = 1000) -
         F.ceil((F.col("_len") - F.lit(chunk_size)) / F.lit(step)).cast("int")
     )
     cut = (
-        df.select(F.col("accession").alias("genome"), "seq", F.length("seq").alias("_len"))
-        .select("genome", "seq", "_len", F.explode(F.sequence(F.lit(0), last)).alias("_k"))
+        _as_bytes(df, F.col("accession").alias("genome"))
+        .select("genome", "_bytes", "_len", F.explode(F.sequence(F.lit(0), last)).alias("_k"))
         .withColumn("start", F.col("_k") * F.lit(step))
         .withColumn("end", F.least(F.col("start") + F.lit(chunk_size), F.col("_len")))
     )
@@ -46,13 +46,20 @@ def chunk_overlap(df: DataFrame, chunk_size: int = 10000, overlap: int = 1000) -
         F.when(whole, F.col("genome")).otherwise(name).alias("accession"),
         "start",
         "end",
-        F.when(whole, F.col("seq"))
-        .otherwise(F.substring("seq", F.col("start") + F.lit(1), F.lit(chunk_size)))
+        F.substring("_bytes", F.col("start") + F.lit(1), F.col("end") - F.col("start"))
+        .cast("string")
         .alias("seq"),
         (F.col("end") - F.col("start")).alias("chunk_len"),
     )
 
 
+def _as_bytes(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """The sequence as bytes: a slice then costs its own length, while a slice of a string walks
+    it from the start, which is quadratic over the chunks of a chromosome."""
+    content = F.col("seq").cast("binary")
+    return df.select(*columns, content.alias("_bytes"), F.octet_length("seq").alias("_len"))
+
+
 def _piece(start: Column, end: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
 
@@ -62,8 +69,8 @@ def _no_pieces() -> Column:
 
 
 def tile_pieces(chunk_size: int, min_length: int, seed: int) -> Column:
-    """Spans of back-to-back tiles after a random offset, as an array."""
-    length = F.length("seq")
+    """Spans of back-to-back tiles after a random offset, as an array, from ``_len``."""
+    length = F.col("_len")
     offset = uniform_int(0, chunk_size, F.col("accession"), seed, "tile")
     tiles = F.transform(
         F.sequence(F.lit(0), F.ceil((length - offset) / F.lit(chunk_size)).cast("int") - F.lit(1)),
@@ -78,14 +85,32 @@ def tile_pieces(chunk_size: int, min_length: int, seed: int) -> Column:
     )
 
 
+def undefined_runs() -> Column:
+    """Spans of undefined bases (``N``) of a sequence, as an array."""
+    pieces = F.regexp_extract_all(F.col("seq"), F.lit("(N+|[^N]+)"), F.lit(1))
+    start = F.struct(F.lit(0).alias("at"), _no_pieces().alias("runs"))
+
+    def step(seen: Column, text: Column) -> Column:
+        end = seen["at"] + F.length(text)
+        grown = F.concat(seen["runs"], F.array(_piece(seen["at"], end)))
+        return F.struct(
+            end.alias("at"),
+            F.when(F.startswith(text, F.lit("N")), grown).otherwise(seen["runs"]).alias("runs"),
+        )
+
+    found = F.aggregate(pieces, start, step, lambda seen: seen["runs"])
+    return F.when(F.contains(F.col("seq"), F.lit("N")), found).otherwise(_no_pieces())
+
+
 def uniform_pieces(
     max_size: int, min_size: int, seed: int, target_coverage: float = 1.0
 ) -> Column:
-    """Spans of random start and length, as an array; spans over an undefined base are re-drawn.
+    """Spans of random start and length, as an array, from ``_len`` and ``_runs`` (the undefined
+    spans); a span over an undefined base is drawn again.
 
     Only a sequence holding an undefined base needs more than the first draw.
     """
-    length = F.length("seq")
+    length, runs = F.col("_len"), F.col("_runs")
     expected = length * F.lit(target_coverage) / F.lit((min_size + max_size) / 2.0)
     copies = (
         F.floor(expected)
@@ -93,7 +118,7 @@ def uniform_pieces(
             uniform(F.col("accession"), seed, "copies") < expected - F.floor(expected), 1
         ).otherwise(0)
     ).cast("int")
-    undefined = F.contains(F.col("seq"), F.lit("N"))
+    undefined = F.size(runs) > 0
     longest = F.least(F.lit(max_size), length)
 
     def draw(i: Column, t: Column) -> Column:
@@ -107,10 +132,9 @@ def uniform_pieces(
         return let(start, from_start)
 
     def defined(piece: Column) -> Column:
-        span = F.substring(
-            F.col("seq"), piece["start"] + F.lit(1), piece["end"] - piece["start"]
+        return ~F.exists(
+            runs, lambda run: (run["start"] < piece["end"]) & (run["end"] > piece["start"])
         )
-        return ~F.contains(span, F.lit("N"))
 
     def first_defined(i: Column) -> Column:
         # Once a draw is kept, the later tries only pass it on.
@@ -138,22 +162,23 @@ def uniform_pieces(
 
 def _cut(df: DataFrame, pieces: Column) -> DataFrame:
     """One row per span, numbered from 1 inside the sequence."""
-    return (
-        df.select("accession", "seq", F.posexplode(pieces).alias("_pos", "_p"))
-        .select(
-            "accession",
-            (F.col("_pos") + F.lit(1)).alias("chunk_no"),
-            F.col("_p.start").alias("start"),
-            F.col("_p.end").alias("end"),
-            F.expr("substring(seq, _p.start + 1, _p.end - _p.start)").alias("seq"),
-        )
+    return df.select(
+        "accession", "_bytes", F.posexplode(pieces).alias("_pos", "_p")
+    ).select(
+        "accession",
+        (F.col("_pos") + F.lit(1)).alias("chunk_no"),
+        F.col("_p.start").alias("start"),
+        F.col("_p.end").alias("end"),
+        F.substring(
+            "_bytes", F.col("_p.start") + F.lit(1), F.col("_p.end") - F.col("_p.start")
+        ).cast("string").alias("seq"),
     )
 
 
 def chunk_tile(
     df: DataFrame, chunk_size: int = 10000, min_length: int = 1000, seed: int = 42
 ) -> DataFrame:
-    return _cut(df, tile_pieces(chunk_size, min_length, seed))
+    return _cut(_as_bytes(df, "accession"), tile_pieces(chunk_size, min_length, seed))
 
 
 def chunk_uniform_random(
@@ -163,7 +188,8 @@ def chunk_uniform_random(
     target_coverage: float = 1.0,
     seed: int = 42,
 ) -> DataFrame:
-    return _cut(df, uniform_pieces(max_size, min_size, seed, target_coverage))
+    prepared = _as_bytes(df, "accession", undefined_runs().alias("_runs"))
+    return _cut(prepared, uniform_pieces(max_size, min_size, seed, target_coverage))
 
 
 def generate_chunks(
