@@ -4,6 +4,16 @@
 def load():
     """Import every query module and return the registry."""
     from . import registry
-    from . import ensemble, features, genes, markers, scoring, sequences, sources, training  # noqa: F401
+    from . import (  # noqa: F401
+        ensemble,
+        features,
+        genes,
+        markers,
+        runs,
+        scoring,
+        sequences,
+        sources,
+        training,
+    )
 
     return registry

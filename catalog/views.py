@@ -267,5 +267,7 @@ def sql(views: list[str], select: str, ctes: dict[str, str] | None = None, recur
     for view in views:
         need(view)
     parts.update(ctes or {})
-    body = ",\n".join(f"{name} as ({text})" for name, text in parts.items())
+    # Each step is computed once: long expressions would otherwise be copied into every use.
+    kept = "" if recursive else "materialized "
+    body = ",\n".join(f"{name} as {kept}({text})" for name, text in parts.items())
     return f"with {'recursive ' if recursive else ''}{body}\n{select}" if body else select

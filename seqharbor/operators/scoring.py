@@ -82,7 +82,7 @@ def _margin_udf(nodes: pd.DataFrame, features: list[str], outputs: int, base: fl
                     tree["threshold"].to_numpy(np.float32),
                     follow("left"),
                     follow("right"),
-                    tree["default_left"].fillna(True).to_numpy(bool),
+                    ~tree["default_left"].eq(False).to_numpy(bool),
                     leaf,
                     tree["leaf"].fillna(0.0).to_numpy(float),
                 )

@@ -171,10 +171,10 @@ def score_folds(
     rows = rows.withColumn("_host", F.struct(*host_row))
     rows = mask_features(rows, mask_for("domain_only", mask, mask_target))
     rows = score_trees(
-        rows, ensemble.domain_trees, ensemble.domain_features, 2, ensemble.base_score, "_p1"
+        rows, ensemble.domain_trees, ensemble.domain_features, 2, ensemble.base_score, "_domain_probs"
     )
     rows = rows.withColumn("_raw", F.struct(*ARCH_FEATURES)).select(
-        "fold", "accession", "chunk_len", "n_genes", "_raw", "_p1", "_host.*"
+        "fold", "accession", "chunk_len", "n_genes", "_raw", "_domain_probs", "_host.*"
     )
     rows = score_trees(
         rows,
@@ -182,9 +182,9 @@ def score_folds(
         ensemble.host_features,
         len(ensemble.host_classes),
         ensemble.base_score,
-        "_p2",
+        "_host_probs",
     )
-    tree_probs = hierarchical_probs("_p1", "_p2", size, prokaryote, ensemble.host_classes)
+    tree_probs = hierarchical_probs("_domain_probs", "_host_probs", size, prokaryote, ensemble.host_classes)
     rows = rows.select(
         "fold", "accession", "chunk_len", "n_genes", "_raw.*", tree_probs.alias("tree_probs")
     )
