@@ -17,7 +17,8 @@ from ..functions.scalars import nan_to_null
 from ..session import materialize
 
 VIRAL_CLASS = "VV"
-MEDIAN_GROUP_LIMIT = 2_000_000  # markers a single chunk's median may gather in one task
+MEDIAN_GROUP_LIMIT = 2_000_000  # markers of a single chunk one task may sort
+BROADCAST_ROWS = 2_000_000  # rows (marker, class, cutoff) of all folds, some 100 bytes each
 
 
 def viral_markers(metadata: DataFrame) -> DataFrame:
@@ -144,16 +145,34 @@ def _families() -> dict[str, list[str]]:
 
 
 def _grouped_ratios(ratios: DataFrame) -> DataFrame:
-    """Counts, medians and maxima of every class family in one pass."""
+    """Counts, medians and maxima of every class family in one pass.
+
+    A median is the mean of the family's middle values in one sort by ratio: running against
+    total family counts mark them. Sorting spills, a percentile's value table would not.
+    """
+    families = _families()
+    group = Window.partitionBy("fold", "accession")
+    running = group.orderBy("ratio").rowsBetween(Window.unboundedPreceding, 0)
+    marked = (
+        ratios.withColumns(
+            {
+                f"_in_{n}": (F.col("class_code").isin(c) & F.col("ratio").isNotNull()).cast("int")
+                for n, c in families.items()
+            }
+        )
+        .withColumns({f"_at_{n}": F.sum(f"_in_{n}").over(running) for n in families})
+        .withColumns({f"_of_{n}": F.sum(f"_in_{n}").over(group) for n in families})
+    )
     parts = [F.count(F.lit(1)).alias("n_classified")]
-    for name, codes in _families().items():
-        value = F.when(F.col("class_code").isin(codes), F.col("ratio"))
+    for name in families:
+        member, at, of = F.col(f"_in_{name}") == 1, F.col(f"_at_{name}"), F.col(f"_of_{name}")
+        middle = member & ((at == F.floor((of + 1) / 2)) | (at == F.floor((of + 2) / 2)))
         parts += [
-            F.count(value).alias(f"{name}_n"),
-            F.median(value).alias(f"{name}_median"),
-            F.max(value).alias(f"{name}_max"),
+            F.sum(f"_in_{name}").alias(f"{name}_n"),
+            F.avg(F.when(middle, F.col("ratio"))).alias(f"{name}_median"),
+            F.max(F.when(member, F.col("ratio"))).alias(f"{name}_max"),
         ]
-    return ratios.groupBy("fold", "accession").agg(*parts)
+    return marked.groupBy("fold", "accession").agg(*parts)
 
 
 def _spread_ratios(ratios: DataFrame) -> DataFrame:
@@ -193,14 +212,23 @@ def marker_summary(
 ) -> DataFrame:
     """One row per (fold, chunk) with all family counts, medians and maxima.
 
-    Best hits are unique per (chunk, marker), so a chunk's group is at most the fold's marker
-    list. The list is counted; beyond the limit medians are taken by rank instead.
+    Best hits and chunks are placed by chunk once, before the folds multiply them: the per-fold
+    groups need no further exchange, nor does the join to the chunks where the session lets a
+    join use a partitioning by some of its keys (``session.DEFAULT_CONF``).
+
+    Best hits are unique per (chunk, marker), so a chunk's rows are at most the marker list. The
+    list is counted: up to the limits it is broadcast and medians are taken per group, beyond
+    them Spark joins by marker and medians are taken by rank.
     """
     listed = marker_ref.where(F.col("class_code").isNotNull() & F.col("fold").isin(folds))
-    ratios = marker_ratios(hits, listed)
-    largest = listed.groupBy("fold").count().agg(F.max("count")).first()[0] or 0
-    grouped = _grouped_ratios(ratios) if largest <= MEDIAN_GROUP_LIMIT else _spread_ratios(ratios)
-    every = chunk_folds(chunks.select("accession"), folds)
+    sizes = [r["count"] for r in listed.groupBy("fold").count().collect()]
+    if sum(sizes) <= BROADCAST_ROWS:
+        ratios = marker_ratios(hits.repartition("accession"), F.broadcast(listed))
+    else:
+        ratios = marker_ratios(hits, listed)
+    bounded = max(sizes, default=0) <= MEDIAN_GROUP_LIMIT
+    grouped = _grouped_ratios(ratios) if bounded else _spread_ratios(ratios)
+    every = chunk_folds(chunks.select("accession").repartition("accession"), folds)
     return every.join(grouped, ["fold", "accession"], "left")
 
 

@@ -12,6 +12,7 @@ from ..functions.vectors import entries
 from .features import align_features
 
 FOCAL_GAMMA = 2.0
+MAX_CLASSES = 10_000
 
 
 def label_index(labels: DataFrame) -> DataFrame:
@@ -39,10 +40,13 @@ def skipped_sequences(sequences: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def class_counts(labelled: DataFrame) -> list[tuple[str, int]]:
-    """(label, rows) by name: one small row per class on the driver."""
-    rows = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()
+    """(label, rows) by name: one small row per class on the driver, of a checked number."""
+    counts = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label")
+    rows = counts.limit(MAX_CLASSES + 1).collect()
     if not rows:
         raise ValueError("no sequence has a label")
+    if len(rows) > MAX_CLASSES:
+        raise ValueError("too many labels for a class column")
     return [(r["label"], r["n"]) for r in rows]
 
 

@@ -104,10 +104,12 @@ def run_features(
 ) -> FeatureTables:
     """Chunk, scan genes, search markers.
 
-    ``search`` is a table of alignment hits or a function from the protein table to one. Called
-    genes feed both the features and the search, so they are written once in the shared folder.
+    ``search`` is a table of alignment hits or a function from the protein table to one. Chunks
+    feed the gene scan, the features and the sequence model, and genes feed the features and
+    the search: both are written once in the shared folder. Later steps then read the columns
+    they need, not the sequence files again.
     """
-    chunks = chunk_overlap(sequences, chunk_size, overlap)
+    chunks = materialize(chunk_overlap(sequences, chunk_size, overlap), "chunks")
     orfs = materialize(number_proteins(orf_scan(chunks)), "orfs")
     arch = arch_features(chunks, gene_context(gene_table(orfs)), chunk_size)
     proteins = protein_table(orfs)
