@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import dataclasses
 import random
 
 import pytest
@@ -86,8 +87,18 @@ def test_whole_run_reports(spark, rows):
     assert alone.count() and alone.where("alpha <> 1").count() == 0
     trees = predict.score_folds(tables.chunks, tables.arch, tables.best, model)
     assert "alpha" not in trees.columns and trees.count() == 2 * n
-    masked = predict.score_folds(tables.chunks, tables.arch, tables.best, model, None, "density", "domain_only")
-    assert masked.count() == 2 * n and rows(masked, "logits") != rows(trees, "logits")
+    # A split on a density feature: dense chunks go right, a masked one takes the default, left.
+    split = [(f, 0, 0, 0, "gene_density", 0.9, 1, 2, True, None) for f in runs.RUN_FOLDS]
+    leaves = [(f, 0, 0, i, None, None, None, None, None, 1.0 - i) for f in runs.RUN_FOLDS for i in (1, 2)]
+    model = dataclasses.replace(model, domain_trees=features.trees(spark, split + leaves))
+
+    def logits_of(mask, target):
+        scored = predict.score_folds(tables.chunks, tables.arch, tables.best, model, None, mask, target)
+        return rows(scored.where("n_genes > 1"), "fold", "accession", "logits")
+
+    plain = logits_of("none", "all")
+    assert plain and plain == logits_of("density", "host_only") == logits_of("boundary", "all")
+    assert not set(map(str, plain)) & set(map(str, logits_of("density", "domain_only")))
     with pytest.raises(ValueError):
         predict.score_folds(tables.chunks, tables.arch, tables.best, model, None, "density", "nobody")
 
