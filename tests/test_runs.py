@@ -40,6 +40,7 @@ def test_problems_are_found_together(spark, rows):
 def small_run(spark):
     rng = random.Random(11)
     data = [(f"g{i}", "".join(rng.choice("ACGT") for _ in range(n))) for i, n in enumerate((50, 900, 2500, 4001))]
+    data.append(("g4", "GCC" * 400))  # no stop codon: open in all six frames
     return spark.createDataFrame(data, "accession string, seq string")
 
 
@@ -81,7 +82,7 @@ def test_whole_run_reports(spark, rows):
     for mode in ("logit", "probability", "entropy"):
         reports = predict.report_run(mixed, model, mode, model_scores=True)
         assert reports.chunks.count() == n and reports.folds.count() == 2 * n == reports.model_scores.count()
-        assert [r["genome"] for r in reports.genomes.collect()] == ["g0", "g1", "g2", "g3"]
+        assert [r["genome"] for r in reports.genomes.collect()] == ["g0", "g1", "g2", "g3", "g4"]
     # No genes: the sequence model decides alone.
     alone = mixed.where("n_genes = 0")
     assert alone.count() and alone.where("alpha <> 1").count() == 0
