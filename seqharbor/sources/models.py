@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -75,16 +75,6 @@ def load_calibration(spark: SparkSession, path: str | None) -> Calibration:
     return Calibration(classes, _number(row["length_scale"], 1000.0), posthoc)
 
 
-@dataclass(frozen=True)
-class FoldModel:
-    """What one fold's configuration fixes."""
-
-    fold: str
-    labels: dict[int, str] = field(default_factory=dict)
-    gate_marker_dim: int = 0
-    raw_feature_dim: int = 13
-
-
 FOLD_NUMBER = r"fold_(\d+)$"
 
 
@@ -123,6 +113,28 @@ def select_folds(
     return names[:num_folds]
 
 
+FOLD_CONFIG_SCHEMA = T.StructType(
+    [
+        T.StructField("label_mapping", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("num_classes", T.IntegerType()),
+        T.StructField("gate_marker_dim", T.IntegerType()),
+        T.StructField("raw_feature_dim", T.IntegerType()),
+    ]
+)
+
+
+def read_fold_configs(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of a model folder: one row per ``fold_*/config.json``."""
+    configs = spark.read.json(f"{folder}/fold_*/config.json", FOLD_CONFIG_SCHEMA, multiLine=True)
+    return configs.select(
+        F.regexp_extract("_metadata.file_path", r"/(fold_[^/]*)/config\.json$", 1).alias("fold"),
+        "label_mapping",
+        F.coalesce("num_classes", F.lit(5)).alias("num_classes"),
+        F.coalesce("gate_marker_dim", F.lit(0)).alias("gate_marker_dim"),
+        F.coalesce("raw_feature_dim", F.lit(0)).alias("raw_feature_dim"),
+    )
+
+
 def load_marker_ref(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """``(fold, marker, class_code, cutoff)`` from Parquet or a delimited file."""
     raw = (
