@@ -42,7 +42,7 @@ ORF_CTES = {
     "found": """select *, case when edge5 then 0 else first_start end first from parts""",
     "kept": """select *, substring(aas, (first-lo+1)::int) body from found
         where first is not null and first<=hi-closed::int and (hi-first+1)*3>=90""",
-    "orfs": """select accession,
+    "placed": """select accession,
         (case when strand=1 then f+3*first+1 else n-(f+3*(hi+1))+1 end)::int begin_pos,
         (case when strand=1 then f+3*(hi+1) else n-f-3*first end)::int end_pos,
         strand, case when strand=1 then edge5 else not closed end partial_begin,
@@ -50,6 +50,8 @@ ORF_CTES = {
         case when edge5 then 'Edge' else start_codon end start_type,
         case when edge5 then body else concat('M', substring(body, 2)) end amino_acid_sequence
         from kept""",
+    "orfs": """select *, (row_number() over (partition by accession
+        order by begin_pos, end_pos, strand))::int idx from placed""",
 }
 
 
@@ -61,7 +63,7 @@ def orfs(spark, sf):
     "orf_scan",
     sql(
         ["v_sequences"],
-        """select *, length(amino_acid_sequence)::int aa_len, '' rbs_motif, '' rbs_spacer,
+        """select *, concat(accession,'_',idx) protein_id, length(amino_acid_sequence)::int aa_len, '' rbs_motif, '' rbs_spacer,
         11 translation_table from orfs""",
         ORF_CTES,
     ),
@@ -230,5 +232,5 @@ def feature_vector(spark, sf):
 def sequence_arch_features(spark, sf):
     """Sequences to architecture features: chunk, scan, number, context, aggregate."""
     cut = chunks(spark, sf)
-    called = gene_table(ops.number_proteins(ops.orf_scan(cut)))
+    called = gene_table(ops.orf_scan(cut))
     return tidy(ops.arch_features(cut, ops.gene_context(called), 1000))

@@ -300,7 +300,7 @@ def extract_markers(spark, sf):
 )
 def sequence_marker_hits(spark, sf):
     """Sequences to marker hits: chunk, scan, translate, number, seed search, best per chunk."""
-    proteins = protein_table(gene_ops.number_proteins(orfs(spark, sf)))
+    proteins = protein_table(orfs(spark, sf))
     targets = views.references(spark, sf).withColumn("seq", gene_ops.translate_codons("seq"))
     found = ops.kmer_seed_hits(
         proteins.select(F.col("protein_id").alias("query"), F.col("amino_acid_sequence").alias("seq")),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqharbor.operators import genes as gene_ops
 from seqharbor.operators import markers as marker_ops
 from seqharbor.operators.calibration import calibrate
 from seqharbor.plans.checks import TableCheck, find_problems
@@ -52,7 +51,7 @@ def write_fasta(spark, sf):
 )
 def write_protein_fasta(spark, sf):
     path = scratch_path(spark, "proteins")
-    fasta.write_protein_fasta(protein_table(gene_ops.number_proteins(genes.orfs(spark, sf))), path)
+    fasta.write_protein_fasta(protein_table(genes.orfs(spark, sf)), path)
     return fasta.read_fasta(spark, path)
 
 

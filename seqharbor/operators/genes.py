@@ -31,7 +31,7 @@ MIN_ORF_BASES = 90
 GENE_BLOCK = 4096  # genes (or, for numbering, kilobases) per window block
 
 ORF_SCHEMA = (
-    "accession string, begin_pos int, end_pos int, strand int, partial_begin boolean, "
+    "accession string, idx int, begin_pos int, end_pos int, strand int, partial_begin boolean, "
     "partial_end boolean, start_type string, amino_acid_sequence string"
 )
 
@@ -89,6 +89,7 @@ def _orf_finder(min_bases: int):
         for pdf in batches:
             found = []
             for accession, seq in zip(pdf["accession"], pdf["seq"]):
+                genes = []
                 forward = base[np.frombuffer(seq.encode("ascii", "replace"), dtype=np.uint8)]
                 length = len(forward)
                 for strand in (1, -1):
@@ -110,11 +111,13 @@ def _orf_finder(min_bases: int):
                             if start is None:
                                 at = int(codons[i])
                                 start = "ACGT"[at // 25] + "ACGT"[at // 5 % 5] + "ACGT"[at % 5]
-                            found.append((accession, low, high, strand, left, right, start, aa))
+                            genes.append((low, high, strand, left, right, start, aa))
+                genes.sort(key=lambda gene: gene[:3])
+                found += [(accession, i, *gene) for i, gene in enumerate(genes, start=1)]
             yield pd.DataFrame(
                 found,
                 columns=[
-                    "accession", "begin_pos", "end_pos", "strand", "partial_begin",
+                    "accession", "idx", "begin_pos", "end_pos", "strand", "partial_begin",
                     "partial_end", "start_type", "amino_acid_sequence",
                 ],
             )
@@ -128,12 +131,14 @@ def orf_scan(chunks: DataFrame, min_bases: int = MIN_ORF_BASES) -> DataFrame:
     In each frame a stretch between stop codons yields the gene from its first start codon to
     its stop. A stretch cut by the chunk's edge runs from or to that edge and is marked partial.
     Sequences under 100 letters have none. No scoring picks among overlapping frames and no
-    binding-site motif is reported. Map-only: chunks need no shuffle.
+    binding-site motif is reported. Genes are numbered by position where they are found, so the
+    scan is map-only: neither chunks nor genes are shuffled.
     """
     inputs = min_length_filter(chunks.select("accession", "seq"))
     orfs = inputs.mapInPandas(_orf_finder(min_bases), ORF_SCHEMA)
     return orfs.select(
         "*",
+        F.concat("accession", F.lit("_"), "idx").alias("protein_id"),
         F.length("amino_acid_sequence").alias("aa_len"),
         F.lit("").alias("rbs_motif"),
         F.lit("").alias("rbs_spacer"),
@@ -142,7 +147,8 @@ def orf_scan(chunks: DataFrame, min_bases: int = MIN_ORF_BASES) -> DataFrame:
 
 
 def number_proteins(genes: DataFrame) -> DataFrame:
-    """Add ``idx`` (from 1 by position, all genes) and ``protein_id`` = ``{accession}_{idx}``."""
+    """Add ``idx`` (from 1 by position, all genes) and ``protein_id`` = ``{accession}_{idx}`` to a
+    supplied gene table."""
     ranked = blocked_rank(
         genes,
         ["accession"],

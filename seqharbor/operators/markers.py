@@ -290,8 +290,9 @@ def kmer_seed_hits(
 
     ``queries(query, seq)``, ``targets(target, seq)``. Exact. A target with n k-mers must share
     r = ceil(min_containment * n), so any query reaching it holds one of its n - r + 1 rarest
-    k-mers: only those make candidates, which are then counted in full. A k-mer that sits in
-    a third of all queries therefore makes no pairs unless a target has little else.
+    k-mers, and r target k-mers in all: only such pairs are candidates, which are then counted in
+    full. A k-mer that sits in a third of all queries therefore makes no pairs unless a target has
+    little else.
     """
     if not 0 < min_containment <= 1:
         raise ValueError("min_containment must be in (0, 1]")
@@ -314,10 +315,17 @@ def kmer_seed_hits(
         .join(sizes, "target")
         .where((F.col("_r") <= F.col("target_kmers") - F.col("needed") + 1) & F.col("_f").isNotNull())
     )
-    pairs = present.join(prefix.select("kmer", "target"), "kmer").select("query", "target").distinct()
+    held = present.groupBy("query").agg(F.count(F.lit(1)).alias("_held"))
+    pairs = (
+        present.join(held, "query")
+        .join(prefix.select("kmer", "target", "needed"), "kmer")
+        .where(F.col("_held") >= F.col("needed"))
+        .select("query", "target")
+        .distinct()
+    )
     hits = (
-        pairs.join(seeds, "target")
-        .join(present, ["query", "kmer"])
+        pairs.join(present, "query")
+        .join(seeds, ["target", "kmer"])
         .groupBy("query", "target")
         .agg(F.count(F.lit(1)).alias("shared"))
         .join(sizes, "target")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from ..functions.spread import spread
 from ..operators.ensemble import MODES, label_list
 from ..operators.features import MASKS, TARGETS, assemble_features, union_feature_columns
-from ..operators.genes import number_proteins, orf_scan
+from ..operators.genes import orf_scan
 from ..operators.markers import marker_features, marker_summary
 from ..operators.scoring import GateWeights
 from ..operators.sequences import chunk_overlap
@@ -86,7 +86,7 @@ def load_ensemble(spark: SparkSession, folder: str, options: argparse.Namespace)
 
 def run_proteins(spark: SparkSession, o: argparse.Namespace) -> None:
     chunks = chunk_overlap(read_fasta(spark, o.fasta), o.chunk_size, o.overlap)
-    orfs = number_proteins(orf_scan(spread(chunks, "accession")))
+    orfs = orf_scan(spread(chunks, "accession"))
     write_protein_fasta(protein_table(orfs), f"{o.output}/{o.prefix}.proteins")
 
 

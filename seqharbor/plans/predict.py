@@ -32,7 +32,7 @@ from ..operators.features import (
     mask_features,
     mask_for,
 )
-from ..operators.genes import arch_features, gene_context, number_proteins, orf_scan
+from ..operators.genes import arch_features, gene_context, orf_scan
 from ..operators.markers import annotate_hits, extract_markers, marker_features, marker_summary
 from ..operators.scoring import (
     GateWeights,
@@ -110,7 +110,7 @@ def run_features(
     they need, not the sequence files again.
     """
     chunks = materialize(chunk_overlap(sequences, chunk_size, overlap), "chunks")
-    orfs = materialize(number_proteins(orf_scan(chunks)), "orfs")
+    orfs = materialize(orf_scan(chunks), "orfs")
     arch = arch_features(chunks, gene_context(gene_table(orfs)), chunk_size)
     proteins = protein_table(orfs)
     raw = search if isinstance(search, DataFrame) else search(proteins)
@@ -255,7 +255,7 @@ def export_marker_hits(
     min_identity: float = 0.0,
 ) -> DataFrame:
     """Whole sequences to best hits as Parquet, with proteins and annotations on request."""
-    orfs = materialize(number_proteins(orf_scan(sequences)), "orfs")
+    orfs = materialize(orf_scan(sequences), "orfs")
     proteins = protein_table(orfs)
     raw = search if isinstance(search, DataFrame) else search(proteins)
     kept, best = extract_markers(raw, metadata, evalue, min_coverage, min_identity)

@@ -161,5 +161,5 @@ def test_partitioning_does_not_matter(spark, rows):
     df = spark.createDataFrame(seqs, "accession string, seq string")
     def run(frame):
         chunks = sequences.chunk_overlap(frame, 300, 50)
-        return rows(ops.number_proteins(ops.orf_scan(chunks)), "protein_id", "begin_pos", "end_pos", "strand")
+        return rows(ops.orf_scan(chunks), "protein_id", "begin_pos", "end_pos", "strand")
     assert run(df.coalesce(1)) == run(df.repartition(13)) == run(df.orderBy(F.desc("accession")))
