@@ -233,4 +233,5 @@ def sequence_arch_features(spark, sf):
     """Sequences to architecture features: chunk, scan, number, context, aggregate."""
     cut = chunks(spark, sf)
     called = gene_table(ops.orf_scan(cut))
-    return tidy(ops.arch_features(cut, ops.gene_context(called), 1000))
+    context = ops.gene_context(called, most_genes=ops.most_orfs(1000))
+    return tidy(ops.arch_features(cut, context, 1000))

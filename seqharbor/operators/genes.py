@@ -71,20 +71,24 @@ def _orf_finder(min_bases: int):
             opens[at] = codon in starts
         stops = residue == ord("*")
 
-        def frame_orfs(codons):
+        def frame_orfs(is_stop, is_start):
             """(first codon, one past the last, 5' edge, 3' edge) of each open stretch."""
-            n = len(codons)
-            stop_at = np.flatnonzero(stops[codons])
-            left = np.concatenate(([0], stop_at + 1))
-            right = np.concatenate((stop_at + 1, [n]))
-            start_at = np.append(np.flatnonzero(opens[codons]), n)
-            first = start_at[np.searchsorted(start_at, left)]
-            first[0] = 0
-            ends_open = np.arange(len(left)) == len(left) - 1
-            body_end = right - ~ends_open
-            keep = (first < body_end) & ((right - first) * 3 >= min_bases)
-            edge = np.arange(len(left)) == 0
-            return first[keep], right[keep], edge[keep], ends_open[keep]
+            n = len(is_stop)
+            stop_at = np.flatnonzero(is_stop)
+            last = len(stop_at)
+            left = np.zeros(last + 1, dtype=np.int64)
+            left[1:] = stop_at + 1
+            right = np.full(last + 1, n, dtype=np.int64)
+            right[:-1] = left[1:]
+            wide = np.flatnonzero((right - left) * 3 >= min_bases)
+            if not len(wide):
+                return
+            start_at = np.append(np.flatnonzero(is_start), n)
+            first = start_at[np.searchsorted(start_at, left[wide])]
+            for part, i in zip(wide.tolist(), first.tolist()):
+                i, j, open_end = (i if part else 0), int(right[part]), part == last
+                if i < j - (not open_end) and (j - i) * 3 >= min_bases:
+                    yield i, j, part == 0, open_end
 
         for pdf in batches:
             found = []
@@ -95,22 +99,22 @@ def _orf_finder(min_bases: int):
                 for strand in (1, -1):
                     letters = forward if strand == 1 else other[forward[::-1]]
                     every = letters[:-2] * 25 + letters[1:-1] * 5 + letters[2:]
+                    is_stop, is_start = stops[every], opens[every]
+                    protein = residue[every]
                     for frame in range(3):
-                        codons = every[frame::3]
-                        protein = residue[codons]
-                        for i, j, edge5, edge3 in zip(*frame_orfs(codons)):
-                            aa = protein[i:j].tobytes().decode("ascii")
+                        amino = protein[frame::3].tobytes().decode("ascii")
+                        orfs = frame_orfs(is_stop[frame::3], is_start[frame::3])
+                        for i, j, edge5, edge3 in orfs:
+                            aa, start = amino[i:j], "Edge"
+                            low, high = frame + 3 * i + 1, frame + 3 * j
                             if not edge5:
+                                at = int(every[frame + 3 * i])
+                                start = "ACGT"[at // 25] + "ACGT"[at // 5 % 5] + "ACGT"[at % 5]
                                 aa = "M" + aa[1:]
-                            low, high = frame + 3 * int(i) + 1, frame + 3 * int(j)
-                            left, right = bool(edge5), bool(edge3)
+                            left, right = edge5, edge3
                             if strand == -1:
                                 low, high = length - high + 1, length - low + 1
                                 left, right = right, left
-                            start = "Edge" if edge5 else None
-                            if start is None:
-                                at = int(codons[i])
-                                start = "ACGT"[at // 25] + "ACGT"[at // 5 % 5] + "ACGT"[at % 5]
                             genes.append((low, high, strand, left, right, start, aa))
                 genes.sort(key=lambda gene: gene[:3])
                 found += [(accession, i, *gene) for i, gene in enumerate(genes, start=1)]
@@ -175,19 +179,9 @@ def classify_rbs(motif: str | Column = "motif") -> dict[str, Column]:
     }
 
 
-def gene_context(genes: DataFrame, min_residues: int = MIN_RESIDUES) -> DataFrame:
-    """Kept genes with their position flags.
-
-    The previous stop on a strand counts genes dropped for length; the previous strand does not.
-    Both are running values over one sort by ``idx``. A chunk's genes are cut into blocks of
-    4096, and what a block must know of the earlier ones travels in one small row per block.
-    """
-    kept = F.col("aa_len") >= min_residues
-    remembered = {
-        "_end_fwd": (F.col("end_pos"), F.col("strand") == 1),
-        "_end_rev": (F.col("end_pos"), F.col("strand") == -1),
-        "_strand_kept": (F.col("strand"), kept),
-    }
+def _context_by_blocks(
+    genes: DataFrame, remembered: dict, running: dict, kept: Column
+) -> DataFrame:
     blocked = genes.withColumn(
         "_block", F.floor((F.col("idx") - F.lit(1)) / F.lit(GENE_BLOCK)).cast("int")
     )
@@ -214,17 +208,44 @@ def gene_context(genes: DataFrame, min_residues: int = MIN_RESIDUES) -> DataFram
         )
         .where("_block > 0")
     )
-    seen = (
-        blocked.withColumns(
-            {
-                name: F.last(F.when(where, value), True).over(before)
-                for name, (value, where) in remembered.items()
-            }
-        )
+    return (
+        blocked.withColumns({name: value.over(before) for name, value in running.items()})
         .where(kept)
         .join(carried, ["accession", "_block"], "left")
         .withColumns({name: F.coalesce(name, f"{name}_c") for name in remembered})
     )
+
+
+def most_orfs(chunk_size: int, min_bases: int = MIN_ORF_BASES) -> int:
+    """Most open reading frames a chunk can have: six frames of back-to-back stretches."""
+    return 6 * (chunk_size // min_bases + 1)
+
+
+def gene_context(
+    genes: DataFrame, min_residues: int = MIN_RESIDUES, most_genes: int | None = None
+) -> DataFrame:
+    """Kept genes with their position flags.
+
+    The previous stop on a strand counts genes dropped for length; the previous strand does not.
+    Both are running values over one sort by ``idx``. Unless ``most_genes`` promises that a chunk
+    has no more than a block of them, genes are cut into blocks of 4096, and what a block must
+    know of the earlier ones travels in one small row per block.
+    """
+    kept = F.col("aa_len") >= min_residues
+    remembered = {
+        "_end_fwd": (F.col("end_pos"), F.col("strand") == 1),
+        "_end_rev": (F.col("end_pos"), F.col("strand") == -1),
+        "_strand_kept": (F.col("strand"), kept),
+    }
+    running = {
+        name: F.last(F.when(where, value), True) for name, (value, where) in remembered.items()
+    }
+    if most_genes is not None and most_genes <= GENE_BLOCK:
+        whole = Window.partitionBy("accession").orderBy("idx")
+        before = whole.rowsBetween(Window.unboundedPreceding, -1)
+        seen = genes.withColumns({n: value.over(before) for n, value in running.items()}).where(kept)
+    else:
+        seen = _context_by_blocks(genes, remembered, running, kept)
     start0 = F.col("begin_pos") - F.lit(1)
     previous_end = F.when(F.col("strand") == 1, F.col("_end_fwd")).otherwise(F.col("_end_rev"))
     has_rbs = F.coalesce(F.col("motif") != "", F.lit(False))

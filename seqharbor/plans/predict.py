@@ -32,7 +32,7 @@ from ..operators.features import (
     mask_features,
     mask_for,
 )
-from ..operators.genes import arch_features, gene_context, orf_scan
+from ..operators.genes import arch_features, gene_context, most_orfs, orf_scan
 from ..operators.markers import annotate_hits, extract_markers, marker_features, marker_summary
 from ..operators.scoring import (
     GateWeights,
@@ -111,7 +111,8 @@ def run_features(
     """
     chunks = materialize(chunk_overlap(sequences, chunk_size, overlap), "chunks")
     orfs = materialize(orf_scan(chunks), "orfs")
-    arch = arch_features(chunks, gene_context(gene_table(orfs)), chunk_size)
+    context = gene_context(gene_table(orfs), most_genes=most_orfs(chunk_size))
+    arch = arch_features(chunks, context, chunk_size)
     proteins = protein_table(orfs)
     raw = search if isinstance(search, DataFrame) else search(proteins)
     kept, best = extract_markers(raw, metadata, evalue, min_coverage, min_identity)

@@ -118,10 +118,10 @@ def test_context_equals_the_loop_also_across_blocks(spark, monkeypatch):
     rng = random.Random(6)
     groups = {f"g{n}": random_genes(rng, f"g{n}", n) for n in (1, 2, 7, 40)}
     df = spark.createDataFrame([g for part in groups.values() for g in part], GENES)
-    for block in (4096, 3, 1):
+    for block, most in ((4096, None), (3, None), (1, None), (4096, 40), (3, 40)):
         monkeypatch.setattr(ops, "GENE_BLOCK", block)
         found: dict[str, list] = {}
-        for r in ops.gene_context(df).orderBy("accession", "idx").collect():
+        for r in ops.gene_context(df, most_genes=most).orderBy("accession", "idx").collect():
             found.setdefault(r["accession"], []).append((r["idx"], r["leaderless"], r["short_utr"], r["strand_switch"]))
         for name, part in groups.items():
             assert found.get(name, []) == context_loop(part)
