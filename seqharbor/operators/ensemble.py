@@ -35,9 +35,14 @@ def prokaryote_index(labels: list[str]) -> int | None:
 # --- folds to chunks --------------------------------------------------------------------------
 
 
-def _fold_mean(scores: DataFrame, vector: str, num_classes: int, keep: list[str]) -> DataFrame:
+def _chunk_keys(scores: DataFrame, length: str) -> list[str]:
+    """A chunk's own columns: they go along through the fold mean."""
+    return ["accession", length, *(["genome"] if "genome" in scores.columns else [])]
+
+
+def _fold_mean(scores: DataFrame, vector: str, num_classes: int, length: str) -> DataFrame:
     means = [F.avg(v).alias(f"_a{i}") for i, v in enumerate(entries(vector, num_classes))]
-    return scores.groupBy("accession", *keep).agg(*means)
+    return scores.groupBy(*_chunk_keys(scores, length)).agg(*means)
 
 
 def ensemble_logit(
@@ -48,7 +53,7 @@ def ensemble_logit(
     length: str = "chunk_len",
 ) -> DataFrame:
     """Mean of the folds' scores, then calibration."""
-    mean = pack(_fold_mean(scores, logits, num_classes, [length]), "a", num_classes, "logits")
+    mean = pack(_fold_mean(scores, logits, num_classes, length), "a", num_classes, "logits")
     return calibrate(mean, calibration, num_classes, "logits", length).drop("logits")
 
 
@@ -56,7 +61,7 @@ def ensemble_probability(
     fold_probs: DataFrame, num_classes: int, length: str = "chunk_len"
 ) -> DataFrame:
     """Mean of the folds' calibrated (rounded) probabilities, rounded."""
-    mean = _fold_mean(fold_probs, "probs", num_classes, [length])
+    mean = _fold_mean(fold_probs, "probs", num_classes, length)
     mean = with_entries(
         mean, "a", [round_half_even(F.col(c), DIGITS) for c in names("a", num_classes)]
     )
@@ -72,7 +77,9 @@ def ensemble_entropy(
         "_w", F.lit(1.0) / (-total([v * F.log(v + F.lit(1e-9)) for v in p]) + F.lit(1e-4))
     )
     sums = [F.sum(F.col("_w") * v).alias(f"_a{i}") for i, v in enumerate(p)]
-    grouped = weighed.groupBy("accession", length).agg(F.sum("_w").alias("_sum"), *sums)
+    grouped = weighed.groupBy(*_chunk_keys(fold_probs, length)).agg(
+        F.sum("_w").alias("_sum"), *sums
+    )
     grouped = with_entries(
         grouped,
         "a",

@@ -117,7 +117,7 @@ def _staged_or_new(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     if o.features:
         chunks = chunk_overlap(read_fasta(spark, o.fasta), o.chunk_size, o.overlap)
-        index = materialize(chunks.select("accession", "chunk_len"), "chunk-index")
+        index = materialize(chunks.select("genome", "accession", "chunk_len"), "chunk-index")
         return (index, *load_staged_features(spark, o.features, index))
     tables = _features(spark, o)
     write_report(tables.annotations, f"{o.output}/{o.prefix}.viral_marker_genes.tsv", o.mode)

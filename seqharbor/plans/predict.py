@@ -165,7 +165,8 @@ def score_folds(
     if prokaryote is None:
         raise ValueError("tree scores need a prokaryote class")
     markers = marker_features(marker_summary(chunks, best, ensemble.marker_ref, ensemble.folds))
-    rows = assemble_features(arch, markers).join(chunks.select("accession", "chunk_len"), "accession")
+    own = ["chunk_len", *(["genome"] if "genome" in chunks.columns else [])]
+    rows = assemble_features(arch, markers).join(chunks.select("accession", *own), "accession")
     unseen = MASKS[mask_for("host_only", mask, mask_target)]
     host_row = [
         (F.lit(None).cast("double") if c in unseen else F.col(c)).alias(c)
@@ -177,7 +178,7 @@ def score_folds(
         rows, ensemble.domain_trees, ensemble.domain_features, 2, ensemble.base_score, "_domain_probs"
     )
     rows = rows.withColumn("_raw", F.struct(*ARCH_FEATURES)).select(
-        "fold", "accession", "chunk_len", "n_genes", "_raw", "_domain_probs", "_host.*"
+        "fold", "accession", *own, "n_genes", "_raw", "_domain_probs", "_host.*"
     )
     rows = score_trees(
         rows,
@@ -189,10 +190,10 @@ def score_folds(
     )
     tree_probs = hierarchical_probs("_domain_probs", "_host_probs", size, prokaryote, ensemble.host_classes)
     rows = rows.select(
-        "fold", "accession", "chunk_len", "n_genes", "_raw.*", tree_probs.alias("tree_probs")
+        "fold", "accession", *own, "n_genes", "_raw.*", tree_probs.alias("tree_probs")
     )
     rows = gate_inputs(rows, ensemble.raw_feature_dim, ensemble.gate_marker_dim, "tree_probs")
-    rows = rows.select("fold", "accession", "chunk_len", "n_genes", "raw", "tree_probs")
+    rows = rows.select("fold", "accession", *own, "n_genes", "raw", "tree_probs")
     if model_logits is None:
         return stream_fallback(rows, size, None, "tree_probs", "logits").drop("raw")
     rows = rows.join(
