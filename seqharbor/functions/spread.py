@@ -1,8 +1,8 @@
-"""Use all cores on small inputs."""
+"""Place rows: all cores on small inputs, broadcasts behind a count."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
@@ -15,3 +15,14 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     if scan.rdd.getNumPartitions() >= cores:
         return scan
     return scan.repartition(cores, key)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """Mark ``df`` for broadcast if it has at most ``most_rows`` rows, which is counted.
+
+    A larger one is returned as it is and joins by a shuffle, whose hot keys adaptive execution
+    splits (``session.DEFAULT_CONF`` lets it do so in every join).
+    """
+    if df.limit(most_rows + 1).count() > most_rows:
+        return df
+    return F.broadcast(df)

@@ -14,11 +14,13 @@ from ..constants import (
 )
 from ..functions.medians import spread_median
 from ..functions.scalars import nan_to_null
+from ..functions.spread import broadcast_if_small
 from ..session import materialize
 
 VIRAL_CLASS = "VV"
 MEDIAN_GROUP_LIMIT = 2_000_000  # markers of a single chunk one task may sort
-BROADCAST_ROWS = 2_000_000  # rows (marker, class, cutoff) of all folds, some 100 bytes each
+BROADCAST_ROWS = 2_000_000  # marker rows of some 100 bytes
+BROADCAST_WIDE_ROWS = 200_000  # marker rows with all their metadata
 
 
 def viral_markers(metadata: DataFrame) -> DataFrame:
@@ -63,9 +65,9 @@ def filter_hits(
 
 
 def whitelist_hits(hits: DataFrame, markers: DataFrame) -> DataFrame:
-    """Hits on a viral marker. Catalyst broadcasts the marker list when its size allows."""
+    """Hits on a viral marker."""
     names = markers.select(F.col("marker").alias("target")).distinct()
-    return hits.join(names, "target", "left_semi")
+    return hits.join(broadcast_if_small(names, BROADCAST_ROWS), "target", "left_semi")
 
 
 def parent_id(query: str | Column = "query") -> Column:
@@ -93,7 +95,7 @@ def annotate_hits(
     )
     joined = covered.join(
         proteins.withColumnRenamed("protein_id", "query"), "query", "left"
-    ).join(tagged, "target", "left")
+    ).join(broadcast_if_small(tagged, BROADCAST_WIDE_ROWS), "target", "left")
     renamed = {
         "parent_seq_id": parent_id("query"),
         "protein_id": F.col("query"),

@@ -7,7 +7,7 @@ from seqharbor import session
 from seqharbor.functions.rand import uniform, uniform_int
 from seqharbor.functions.ranking import blocked_rank
 from seqharbor.functions.scalars import clamp, first_argmax, let, round_half_even, zero_if_missing
-from seqharbor.functions.spread import spread
+from seqharbor.functions.spread import broadcast_if_small, spread
 
 
 def test_scalars(spark):
@@ -67,3 +67,10 @@ def test_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_root(Session())
+
+
+def test_broadcast_needs_a_small_count(spark):
+    plan = lambda df: df._jdf.queryExecution().logical().toString()
+    left = spark.range(50)
+    assert "broadcast" in plan(left.join(broadcast_if_small(spark.range(10), 10), "id")).lower()
+    assert "broadcast" not in plan(left.join(broadcast_if_small(spark.range(11), 10), "id")).lower()

@@ -5,7 +5,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from seqharbor.operators import scoring as ops
 

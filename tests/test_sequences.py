@@ -4,7 +4,6 @@ import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from seqharbor.operators import sequences as ops
 

@@ -3,7 +3,6 @@ from __future__ import annotations
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from seqharbor.sources import fasta, hits_json, models, reports, tables
 
