@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import (
     ARCH_FEATURES,
@@ -109,20 +109,18 @@ def gate_inputs(
 def align_features(accessions: DataFrame, table: DataFrame, strict: bool = False) -> DataFrame:
     """A feature table for exactly the given accessions; missing values are 0.0.
 
-    ``strict`` fails the job on an accession the table does not have.
+    ``strict`` fails the job on an accession the table does not have and keeps its missing values.
     """
     names = [c for c in table.columns if c != "accession"]
     joined = accessions.select("accession").join(
         table.withColumn("_here", F.lit(True)), "accession", "left"
     )
-    value = zero_if_missing
-    if strict:
-        missing = F.raise_error(
-            F.concat(F.lit("no features for "), F.col("accession"))
-        ).cast("double")
-        value = lambda c: F.when(F.col("_here").isNull(), missing).otherwise(
-            zero_if_missing(c)
-        )
-    return joined.select(
-        "accession", *[value(F.col(n).cast("double")).cast("float").alias(n) for n in names]
-    )
+    absent = F.raise_error(F.concat(F.lit("no features for "), F.col("accession"))).cast("double")
+
+    def value(name: str) -> Column:
+        number = F.col(name).cast("double")
+        if strict:
+            return F.when(F.col("_here").isNull(), absent).otherwise(number)
+        return zero_if_missing(number)
+
+    return joined.select("accession", *[value(n).cast("float").alias(n) for n in names])

@@ -150,6 +150,36 @@ def orf_scan(chunks: DataFrame, min_bases: int = MIN_ORF_BASES) -> DataFrame:
     )
 
 
+def gene_table(orfs: DataFrame) -> DataFrame:
+    """Numbered open reading frames in the gene table's form."""
+    return orfs.select(
+        "accession",
+        "idx",
+        "begin_pos",
+        "end_pos",
+        "strand",
+        "aa_len",
+        F.nullif("rbs_motif", F.lit("")).alias("motif"),
+        F.lit(None).cast("double").alias("score"),
+    )
+
+
+def protein_table(orfs: DataFrame) -> DataFrame:
+    return orfs.select(
+        "protein_id",
+        "amino_acid_sequence",
+        F.col("begin_pos").alias("protein_start"),
+        F.col("end_pos").alias("protein_end"),
+        F.col("strand").alias("protein_strand"),
+        "partial_begin",
+        "partial_end",
+        "start_type",
+        "rbs_motif",
+        "rbs_spacer",
+        "translation_table",
+    )
+
+
 def number_proteins(genes: DataFrame) -> DataFrame:
     """Add ``idx`` (from 1 by position, all genes) and ``protein_id`` = ``{accession}_{idx}`` to a
     supplied gene table."""

@@ -6,10 +6,13 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..constants import ARCH_MODEL_FEATURES
 from ..functions.ranking import hash_rank
 from ..functions.scalars import largest, total
 from ..functions.vectors import entries
+from ..session import materialize
 from .features import align_features
+from .genes import arch_features, gene_context, gene_table, orf_scan
 
 FOCAL_GAMMA = 2.0
 MAX_CLASSES = 10_000
@@ -154,15 +157,30 @@ def load_fold_training_set(
     return table
 
 
+def sequence_features(sequences: DataFrame, chunk_size: int = 10000) -> DataFrame:
+    """Architecture features of whole sequences, from scanned genes (written once)."""
+    orfs = materialize(orf_scan(sequences), "orfs")
+    sized = sequences.select("accession", F.length("seq").alias("chunk_len"))
+    features = arch_features(sized, gene_context(gene_table(orfs)), chunk_size)
+    return features.select("accession", *ARCH_MODEL_FEATURES)
+
+
 def load_training_set(
     sequences: DataFrame,
     labels: DataFrame,
     features: DataFrame | None = None,
     test_size: float = 0.2,
     seed: int = 42,
+    compute_features: bool = False,
 ) -> DataFrame:
-    """Labelled sequences with label index, features (strict) and the train / val split."""
+    """Labelled sequences with label index, features (strict) and the train / val split.
+
+    Features come from a table or, on request, from the sequences: the architecture features of
+    their genes.
+    """
     table = join_labels(sequences, labels)
+    if features is None and compute_features:
+        features = sequence_features(table.select("accession", "seq"))
     split = stratified_split(table.select("accession", "label"), test_size, seed)
     result = split.join(label_index(labels), "label").join(sequences, "accession")
     if features is not None:

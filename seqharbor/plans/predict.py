@@ -32,7 +32,14 @@ from ..operators.features import (
     mask_features,
     mask_for,
 )
-from ..operators.genes import arch_features, gene_context, most_orfs, orf_scan
+from ..operators.genes import (
+    arch_features,
+    gene_context,
+    gene_table,
+    most_orfs,
+    orf_scan,
+    protein_table,
+)
 from ..operators.markers import annotate_hits, extract_markers, marker_features, marker_summary
 from ..operators.scoring import (
     GateWeights,
@@ -62,36 +69,6 @@ class FeatureTables:
     annotations: DataFrame
 
 
-def gene_table(orfs: DataFrame) -> DataFrame:
-    """Numbered open reading frames in the gene table's form."""
-    return orfs.select(
-        "accession",
-        "idx",
-        "begin_pos",
-        "end_pos",
-        "strand",
-        "aa_len",
-        F.nullif("rbs_motif", F.lit("")).alias("motif"),
-        F.lit(None).cast("double").alias("score"),
-    )
-
-
-def protein_table(orfs: DataFrame) -> DataFrame:
-    return orfs.select(
-        "protein_id",
-        "amino_acid_sequence",
-        F.col("begin_pos").alias("protein_start"),
-        F.col("end_pos").alias("protein_end"),
-        F.col("strand").alias("protein_strand"),
-        "partial_begin",
-        "partial_end",
-        "start_type",
-        "rbs_motif",
-        "rbs_spacer",
-        "translation_table",
-    )
-
-
 def run_features(
     sequences: DataFrame,
     metadata: DataFrame,

@@ -102,12 +102,15 @@ def read_gate_features(spark: SparkSession, path: str, sep: str = "\t") -> DataF
     return table.select("accession", *present) if present else None
 
 
-def read_labels(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """The first two columns as ``(accession, label)``."""
+def read_labels(
+    spark: SparkSession, path: str, sep: str = "\t", skip_short: bool = False
+) -> DataFrame:
+    """The first two columns as ``(accession, label)``; ``skip_short`` drops rows without a label."""
     raw = read_delimited(spark, path, sep)
     if len(raw.columns) < 2:
         raise ValueError("a label file needs two columns (accession, label)")
     first, second = raw.columns[:2]
-    return raw.select(
+    labels = raw.select(
         F.col(first).cast("string").alias("accession"), F.col(second).cast("string").alias("label")
     )
+    return labels.where(F.col("label").isNotNull()) if skip_short else labels

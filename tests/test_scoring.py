@@ -191,3 +191,21 @@ def test_user_model_keeps_the_key(spark):
 def test_stream_weight(spark):
     df = spark.createDataFrame([(0.25,), (0.75,)], "alpha double")
     assert ops.stream_weight_mean(df).first()[0] == 0.5
+
+
+def test_user_model_with_weights_per_stream(spark):
+    from pyspark.sql import types as T
+
+    def make_predict():
+        def predict(vectors):
+            x = np.asarray(vectors)
+            return {"logits": x * 2.0, "glm": x[:, 0], "arch": x[:, 1], "marker": x.sum(axis=1)}
+
+        return predict
+
+    fields = [T.StructField("logits", T.ArrayType(T.DoubleType()))]
+    fields += [T.StructField(n, T.DoubleType()) for n in ("glm", "arch", "marker")]
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "accession string, vec array<double>")
+    got = ops.batch_model_score(df, make_predict, ["vec"], T.StructType(fields), input_shapes=[[2]])
+    flat = {r["accession"]: (r["logits"]["logits"], r["logits"]["glm"], r["logits"]["marker"]) for r in got.collect()}
+    assert flat == {"a": ([2.0, 4.0], 1.0, 3.0), "b": ([6.0, 8.0], 3.0, 7.0)}

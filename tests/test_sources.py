@@ -87,6 +87,8 @@ def test_feature_table(spark, rows, tmp_path):
 def test_labels(spark, rows, tmp_path):
     path = write(tmp_path / "l.tsv", "acc\tkind\tmore\n1\tx\tz\n2\ty\tz\n")
     assert rows(tables.read_labels(spark, path)) == [("1", "x"), ("2", "y")]
+    short = write(tmp_path / "s.tsv", "acc\tkind\n1\tx\n2\n")
+    assert rows(tables.read_labels(spark, short, skip_short=True)) == [("1", "x")]
     with pytest.raises(ValueError, match="two columns"):
         tables.read_labels(spark, write(tmp_path / "c.csv", "acc,kind\n1,x\n"))
     assert rows(tables.read_labels(spark, str(tmp_path / "c.csv"), sep=",")) == [("1", "x")]

@@ -98,3 +98,11 @@ def test_losses(spark):
     assert ops.focal_loss(df, 3, gamma=1.0).first()[0] == pytest.approx(((1 - p) * nll).mean())
     with pytest.raises(ValueError):
         ops.class_balanced_loss(df, 3, 0.9, counts, "other")
+
+
+def test_computed_features(spark):
+    seqs = spark.createDataFrame([(f"{g}{i}", "GCC" * (100 + i)) for g in "ab" for i in range(5)], "accession string, seq string")
+    table = ops.load_training_set(seqs, labelled(spark, a=5, b=5), compute_features=True)
+    row = table.where("accession = 'a0'").first()
+    assert table.count() == 10 and len(row["features"]) == 12
+    assert row["features"][1] == pytest.approx(6 * 299 / 300, abs=0.02)  # six open frames
