@@ -16,7 +16,10 @@ HASH_PREFIX = 3  # hex digits of the order hash used as block: 4096 blocks per g
 def blocked_rank(
     df: DataFrame, groups: list[str], block: Column, order: list[str], out: str = "rank"
 ) -> DataFrame:
-    """1-based rank of each row in its group by ``order``; ``block`` must be monotone in it."""
+    """1-based rank of each row in its group by ``order``; ``block`` must be monotone in it.
+
+    ``df`` is read twice, once for the block sizes: pass narrow or written tables.
+    """
     keyed = df.withColumn("_block", block)
     sizes = keyed.groupBy(*groups, "_block").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy(*groups).orderBy("_block").rowsBetween(

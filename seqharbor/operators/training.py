@@ -181,11 +181,12 @@ def load_training_set(
     table = join_labels(sequences, labels)
     if features is None and compute_features:
         features = sequence_features(table.select("accession", "seq"))
-    split = stratified_split(table.select("accession", "label"), test_size, seed)
+    # Names and labels feed the counts and the ranks: the sequence files are not read for each.
+    named = materialize(table.select("accession", "label"), "labelled")
+    split = stratified_split(named, test_size, seed)
     result = split.join(label_index(labels), "label").join(sequences, "accession")
     if features is not None:
-        labelled = table.select("accession")
-        aligned = align_features(labelled, features, strict=True)
+        aligned = align_features(named, features, strict=True)
         columns = [c for c in aligned.columns if c != "accession"]
         result = result.join(
             aligned.select("accession", F.array(*columns).alias("features")), "accession"
