@@ -1,7 +1,5 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
 DECONTAMINATE = r"""
 with dw as (
   select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -30,3 +28,38 @@ select dw.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
   coalesce(n_hit, 0) > 0 as contaminated
 from dw left join hit using (doc_id) left join items using (doc_id)
 """
+
+URLS = r"""
+with rules(rule_host, rule_path, said) as (values
+  ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), rest as (
+  select page_id, case when url like '%://%' then substr(url, strpos(url, '://') + 3) else '' end as r from pages
+), parts as (
+  select page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    substr(regexp_extract(r, '^[^?#]*'), length(regexp_extract(r, '^[^/?#]*')) + 1) as path from rest
+)
+select page_id, host, path, rule_host || rule_path as rule, coalesce(said, 'allow') as verdict
+from parts left join rules
+  on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+qualify row_number() over (partition by page_id order by length(rule_host || rule_path) desc, length(rule_host) desc) = 1
+"""
+
+LINES = r"""
+with l as (
+  select doc_id, source, text, case when text is null then [] else string_split(text, chr(10)) end as ls from documents
+), k as (
+  select distinct doc_id, source, trim(x) as line from (select doc_id, source, unnest(ls) as x from l) where trim(x) <> ''
+), totals as (select source, count(*) as n from documents group by 1), bad as (
+  select source, list(line) as lines from (
+    select k.source, line from k join totals t on k.source is not distinct from t.source
+    group by k.source, line, n having count(*) >= 5 and count(*) > 0.1 * n
+  ) group by 1
+), kept as (
+  select doc_id, text, ls, list_filter(ls, lambda x: trim(x) = '' or not list_contains(coalesce(lines, []), trim(x))) as stays
+  from l left join bad b on l.source is not distinct from b.source
+)
+select doc_id, len(ls)::bigint as n_lines, (len(ls) - len(stays))::bigint as n_dropped,
+  case when len(ls) = len(stays) then text else array_to_string(stays, chr(10)) end as text
+from kept
+"""
