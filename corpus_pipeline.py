@@ -2,11 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from seqharbor.llm import decontaminate, lines, pieces, simhash, toxicity
 from seqharbor.llm.common import materialize, table
 
-STAGES: list = []
+REJECTED = 0.5
+NEAR_WORDS, NEAR_BITS, NEAR_BLOCKS, NEAR_GUARD = 5, 7, 9, 16
+
+
+def _measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``n_chars`` follows a text that a stage has changed."""
+    return docs.withColumn("n_chars", F.length(text).cast("bigint")) if "n_chars" in docs.columns else docs
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5; nulls and empty texts are scored like any other."""
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.filter(F.col("tox_score") < REJECTED).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without their source's boilerplate lines; one that loses all of them stays empty."""
+    kept = lines.drop_boilerplate(docs)
+    new = kept.withColumn("text", F.col("ld_text")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _measured(new)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id.
+
+    Shingles of five words; at most 7 of 64 bits differ (a similarity of 0.89), and at most 16 of a
+    second fingerprint. Rows that share an id are one document and stay or go together; documents
+    without an id stay unless one with an id is like them.
+    """
+    groups = simhash.simhash_components(docs, NEAR_WORDS, NEAR_BITS, NEAR_BLOCKS, NEAR_GUARD)
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    kept = materialize(kept.distinct(), "kept")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that benchmark windows cover."""
+    return _measured(decontaminate.remove_passages(docs, table(spark, sf_dir, "benchmark")))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document that is left."""
+    return pieces.piece_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_lines),
+    ("simhash_near_dedup", drop_near_copies),
+    ("decontamination", remove_benchmark),
+    ("sentencepiece", encode),
+]
+#: Learned scores, fingerprint groups and piece ids have no SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from .common import bounded, materialize, slices_by_bytes
 from .components import components
 
 GROUP_ROWS = 2048
+FRONTIER = 400_000
 _LANES = 255  # rows that byte-wide counters can add up
 
 
@@ -40,22 +41,23 @@ def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_hashes(text: bytes, words: int) -> list[int]:
-    """XXH64 (seed 42) of each shingle of a lower-cased text; a shorter text is one shingle."""
+def shingle_hashes(text: bytes, words: int, seed: int = 42) -> list[int]:
+    """XXH64 of each shingle of a lower-cased text; a shorter text is one shingle."""
     tokens = text.lower().split()
     if not tokens:
         return []
     if len(tokens) <= words:
-        return [xxhash.xxh64_intdigest(b" ".join(tokens), 42)]
+        return [xxhash.xxh64_intdigest(b" ".join(tokens), seed)]
     runs = zip(*(tokens[i:] for i in range(words)), strict=False)
-    return list(map(xxhash.xxh64_intdigest, map(b" ".join, runs), repeat(42)))
+    return list(map(xxhash.xxh64_intdigest, map(b" ".join, runs), repeat(seed)))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp): the SimHash of every whole text, as a signed long.
+    """(key, fp, guard): the SimHash of every whole text, as a signed long, and a second one.
 
     Only A-Z are lower-cased, words are runs without ASCII white space, shingles keep their
-    repeats. A null text or one without words has fingerprint zero.
+    repeats. A null text or one without words has fingerprint zero. ``guard`` is made of the same
+    hashes, mixed once more, so that its bits tell chance agreement from likeness.
     """
     bounded(docs.sparkSession)
 
@@ -64,63 +66,91 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", key: str =
             per_doc = [shingle_hashes(t, words) for t in texts]
             sizes = np.array([len(h) for h in per_doc], dtype=np.int64)
             hashes = np.fromiter((h for one in per_doc for h in one), dtype=np.uint64, count=int(sizes.sum()))
+            prints = majority_bits(hashes, sizes), majority_bits(_mixed(hashes), sizes)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(majority_bits(hashes, sizes).view(np.int64))], names=[key, "fp"]
+                [part.column(0), *[pa.array(p.view(np.int64)) for p in prints]], names=[key, "fp", "guard"]
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp bigint")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp bigint, guard bigint")
 
 
-def trie_pairs(fps: np.ndarray, groups: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of one group whose fingerprints differ in at most ``budget`` bits.
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    out = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return out ^ (out >> np.uint64(29))
 
-    ``fps`` is sorted by (group, unsigned value) and distinct within a group. A trie node is a
-    range of the sorted array; all node pairs of a level are walked at once, from each group's
-    root with itself, and a pair is dropped as soon as its differing bits exceed the budget.
+
+def trie_roots(
+    fps: np.ndarray, groups: np.ndarray, budget: int, guards: np.ndarray | None = None, guard_budget: int = 64
+) -> np.ndarray:
+    """For each fingerprint the first one of its component, linking within ``budget`` differing bits.
+
+    ``fps`` is sorted by (group, unsigned value) and distinct within a group; only fingerprints of
+    one group are linked. A trie node is a range of the sorted array. Node pairs are walked level
+    by level from each group's root with itself, and a pair is dropped as soon as its differing
+    bits exceed the budget; two leaves compare the bits they have left at once. Wide levels are
+    walked in parts, so that memory stays bounded.
     """
-    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(fps) else np.zeros(0, np.int64)
+    root = np.arange(len(fps))
+    if not len(fps):
+        return root
+    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     ends = np.r_[starts[1:], len(fps)]
     many = ends - starts > 1
-    a0, a1 = starts[many], ends[many]
-    b0, b1, off = a0, a1, np.zeros(len(a0), np.int8)
-    for bit in range(63, -1, -1):
-        zero = np.r_[0, np.cumsum((fps >> np.uint64(bit)) & np.uint64(1) == 0)]
-        am, bm = a0 + zero[a1] - zero[a0], b0 + zero[b1] - zero[b0]
-        if np.array_equal(am, a1) and np.array_equal(bm, b1):
+    zeros: dict[int, np.ndarray] = {}
+    stack = [(63, starts[many], ends[many], starts[many], ends[many], np.zeros(int(many.sum()), np.int8))]
+    while stack:
+        bit, a0, a1, b0, b1, off = stack.pop()
+        if not len(a0):
             continue
-        same = a0 == b0
+        if len(a0) > FRONTIER:
+            half = len(a0) // 2
+            stack += [(bit, *(x[half:] for x in (a0, a1, b0, b1, off))), (bit, *(x[:half] for x in (a0, a1, b0, b1, off)))]
+            continue
+        if bit not in zeros:
+            zeros[bit] = np.r_[0, np.cumsum((fps >> np.uint64(bit)) & np.uint64(1) == 0)]
+        zero = zeros[bit]
+        am, bm = a0 + zero[a1] - zero[a0], b0 + zero[b1] - zero[b0]
+        other = a0 != b0
         kids = [
-            (a0, am, b0, bm, off), (am, a1, bm, b1, off),
-            (a0, am, bm, b1, off + 1),
-            (am[~same], a1[~same], b0[~same], bm[~same], off[~same] + 1),
+            (a0, am, b0, bm, off), (am, a1, bm, b1, off), (a0, am, bm, b1, off + 1),
+            (am[other], a1[other], b0[other], bm[other], off[other] + 1),
         ]
-        kept = []
-        for k in kids:
-            # a node with itself needs two leaves to hold a pair
-            live = (k[1] > k[0]) & (k[3] > k[2]) & (k[4] <= budget) & ((k[0] != k[2]) | (k[1] - k[0] > 1))
-            kept.append(tuple(x[live] for x in k))
-        a0, a1, b0, b1, off = (np.concatenate(x) for x in zip(*kept, strict=True))
-    return a0, b0
-
-
-def local_roots(size: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The smallest position reachable from each position over the given links."""
-    root = np.arange(size)
+        kids = [np.concatenate(x) for x in zip(*kids, strict=True)]
+        wide, high = kids[1] - kids[0], kids[3] - kids[2]
+        # a node with itself needs two leaves to hold a pair
+        live = (wide > 0) & (high > 0) & (kids[4] <= budget) & ((kids[0] != kids[2]) | (wide > 1))
+        leaves = live & (wide == 1) & (high == 1)
+        left, right = kids[0][leaves], kids[2][leaves]
+        near = np.bitwise_count(fps[left] ^ fps[right]) <= budget
+        if guards is not None:
+            near &= np.bitwise_count(guards[left] ^ guards[right]) <= guard_budget
+        root = join_roots(root, left[near], right[near])
+        live &= ~leaves
+        stack.append((bit - 1, *(x[live] for x in kids)))
+    return root
+
+
+def join_roots(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest position reachable from each position when further links are added."""
+    if not len(left):
+        return root
     while True:
+        before = root
+        root = root.copy()
         low = np.minimum(root[left], root[right])
-        before = root.copy()
-        np.minimum.at(root, root[left], low)
-        np.minimum.at(root, root[right], low)
+        np.minimum.at(root, before[left], low)
+        np.minimum.at(root, before[right], low)
         root = root[root]
         if np.array_equal(root, before):
             return root
 
 
-def block_masks(budget: int, bits: list[int] | None = None) -> list[list[int]]:
-    """The bits cut into ``budget`` + 1 blocks: fingerprints within the budget agree on one of them."""
-    bits = list(range(63, -1, -1)) if bits is None else bits
-    return [x.tolist() for x in np.array_split(np.array(bits), budget + 1)]
+def block_masks(budget: int, blocks: int, bits: list[int]) -> list[list[int]]:
+    """``bits`` cut into blocks, and every choice of blocks - budget of them: fingerprints within the
+    budget agree on all bits of one choice."""
+    cut = [x.tolist() for x in np.array_split(np.array(bits), blocks)]
+    return [sum(chosen, []) for chosen in combinations(cut, blocks - budget)]
 
 
 def _signed(bits: list[int]) -> int:
@@ -128,105 +158,110 @@ def _signed(bits: list[int]) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _cut(rows: DataFrame, masks: list[tuple[int, list[int]]], budget: int) -> tuple[DataFrame, list]:
-    """Rows (fp, mask) dealt to the blocks that their mask leaves open: (fp, mask, part)."""
+def _cut(rows: DataFrame, masks: list[tuple[int, list[int]]], budget: int, blocks: int) -> tuple[DataFrame, list]:
+    """Rows (fp, guard, mask) dealt to the block choices that their mask leaves open: (fp, guard, mask, part)."""
     new, branches = [], []
     for number, fixed in masks:
-        left = [b for b in range(63, -1, -1) if b not in set(fixed)]
-        for block in block_masks(budget, left):
-            chosen = fixed + block
-            new.append((len(new), chosen))
-            branches.append((number, len(new) - 1, _signed(chosen)))
+        taken = set(fixed)
+        for chosen in block_masks(budget, blocks, [b for b in range(63, -1, -1) if b not in taken]):
+            new.append((len(new), fixed + chosen))
+            branches.append((number, len(new) - 1, _signed(fixed + chosen)))
     options = F.array(*[
         F.struct(F.lit(m).alias("was"), F.lit(i).alias("mask"), F.lit(bits).cast("long").alias("bits"))
         for m, i, bits in branches
     ])
-    dealt = rows.select("fp", F.explode(F.filter(options, lambda o: o.was == F.col("mask"))).alias("o"))
-    return dealt.select("fp", F.col("o.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("o.bits")).alias("part")), new
+    if len(masks) > 1:
+        options = F.filter(options, lambda o: o.was == F.col("mask"))
+    dealt = rows.select("fp", "guard", F.explode(options).alias("o"))
+    part = F.col("fp").bitwiseAND(F.col("o.bits"))
+    return dealt.select("fp", "guard", F.col("o.mask").alias("mask"), part.alias("part")), new
 
 
-def trie_links(nodes: DataFrame, budget: int = 2, group_rows: int = GROUP_ROWS) -> DataFrame:
+def trie_links(
+    nodes: DataFrame, budget: int = 2, blocks: int | None = None, guard_budget: int = 64, group_rows: int = GROUP_ROWS
+) -> DataFrame:
     """(fp, root): for the distinct fingerprints of ``nodes``, links that connect the same components
     as all pairs within ``budget`` differing bits.
 
-    Two fingerprints within the budget agree on one of budget + 1 blocks of bits, so the trie is
-    cut below each value of a block and the subtries are joined with themselves in parallel. A
-    subtrie of more than ``group_rows`` fingerprints is cut again by the same rule on its open
-    bits, three times at most, when few enough bits are open to bound it. A task emits a
-    fingerprint and the first one of its component in that subtrie, never all pairs.
+    The bits are cut into ``blocks`` (budget + 1 unless given). Two fingerprints within the budget
+    agree on some blocks - budget of them, so for every such choice the trie that starts with its
+    bits is cut below each of their values, and the subtries are joined with themselves in
+    parallel. A subtrie of more than ``group_rows`` fingerprints is cut again on its open bits,
+    twice at most, when few enough are open to bound it. A task emits a fingerprint and the
+    first one of its component in that subtrie, never all pairs.
     """
-    rows, masks = nodes.select("fp").withColumn("mask", F.lit(0)), [(0, [])]
-    found = []
+    rows, masks = nodes.select("fp", "guard").withColumn("mask", F.lit(0)), [(0, [])]
+    found, blocks = [], blocks or budget + 1
     for level in range(3):
-        dealt, masks = _cut(rows, masks, budget)
+        dealt, masks = _cut(rows, masks, budget, budget + 1 if level else blocks)
         dealt = materialize(dealt, "subtries") if level else dealt
         sizes = dealt.groupBy("mask", "part").agg(F.count("*").alias("n")).filter("n > 1")
         sizes = materialize(sizes, "subtrie-sizes")
         sized = materialize(dealt.join(sizes, ["mask", "part"]), "subtries")
         last = level == 2
         found.append(sized if last else sized.filter(F.col("n") <= group_rows))
-        rows = sized.filter(F.col("n") > group_rows).select("fp", "mask")
+        rows = sized.filter(F.col("n") > group_rows).select("fp", "guard", "mask")
         if last or rows.isEmpty():
             break
 
     def run(batches):
-        for fps, groups in _whole_groups(batches, 8 * group_rows):
+        for fps, guards, groups in _whole_groups(batches, 8 * GROUP_ROWS):
             order = np.lexsort((fps, groups))
-            fps, groups = fps[order], groups[order]
-            left, right = trie_pairs(fps, groups, budget)
-            root = local_roots(len(fps), left, right)
+            fps, guards, groups = fps[order], guards[order], groups[order]
+            root = trie_roots(fps, groups, budget, guards if guard_budget < 64 else None, guard_budget)
             moved = np.flatnonzero(root != np.arange(len(fps)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(fps[moved].view(np.int64)), pa.array(fps[root[moved]].view(np.int64))],
                 names=["fp", "root"],
             )
 
-    outs = []
-    for level, part in enumerate(found):
+    out = None
+    for part in found:
         placed = part.repartition("mask", "part").sortWithinPartitions("mask", "part")
-        outs.append(placed.select("fp", "mask", "part").mapInArrow(run, "fp bigint, root bigint"))
-    out = outs[0]
-    for other in outs[1:]:
-        out = out.union(other)
+        links = placed.select("fp", "mask", "part", "guard").mapInArrow(run, "fp bigint, root bigint")
+        out = links if out is None else out.union(links)
     return out
 
 
 def _whole_groups(batches, rows: int):
-    """Rows sorted by (mask, part) as slices of whole groups of about ``rows`` rows."""
+    """Rows sorted by (mask, part) as slices of whole groups of about ``rows`` rows: (fp, guard, group)."""
     held, size = [], 0
     for batch in batches:
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
         held.append(columns)
         size += len(columns[0])
         if size >= rows:
-            fp, mask, part = (np.concatenate(x) for x in zip(*held, strict=True))
+            fp, mask, part, guard = (np.concatenate(x) for x in zip(*held, strict=True))
             same = (mask == mask[-1]) & (part == part[-1])
             cut = len(fp) - int(same.sum())
             if cut:
-                yield _numbered(fp[:cut], mask[:cut], part[:cut])
-            held, size = [[fp[cut:], mask[cut:], part[cut:]]], len(fp) - cut
+                yield _numbered(fp[:cut], mask[:cut], part[:cut], guard[:cut])
+            held, size = [[x[cut:] for x in (fp, mask, part, guard)]], len(fp) - cut
     if size:
         yield _numbered(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def _numbered(fp, mask, part):
+def _numbered(fp, mask, part, guard):
     change = np.r_[False, (mask[1:] != mask[:-1]) | (part[1:] != part[:-1])]
-    return np.ascontiguousarray(fp, dtype=np.int64).view(np.uint64), np.cumsum(change)
+    unsigned = [np.ascontiguousarray(x, dtype=np.int64).view(np.uint64) for x in (fp, guard)]
+    return *unsigned, np.cumsum(change)
 
 
 def simhash_components(
-    docs: DataFrame, words: int = 3, budget: int = 2, text: str = "text", key: str = "doc_id"
+    docs: DataFrame, words: int = 3, budget: int = 2, blocks: int | None = None, guard_budget: int = 64,
+    text: str = "text", key: str = "doc_id",
 ) -> DataFrame:
     """(key, fingerprint, component_id), a row for each row of ``docs``.
 
-    Fingerprints that differ in at most ``budget`` bits are linked, equal ones among them;
+    Fingerprints that differ in at most ``budget`` bits are linked, equal ones among them (for a wide
+    budget, different ones only if their second fingerprints are within ``guard_budget`` as well);
     ``component_id`` is the smallest key reachable. Empty and null texts share fingerprint zero
     and are linked like any other. A null key keeps its row and names no component: a component
     of null keys only has a null id. Further columns of ``docs`` are not read.
     """
     prints = materialize(fingerprints(docs, words, text, key), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min(key).alias("first")), "nodes")
-    roots = materialize(components(trie_links(nodes, budget)), "roots")
+    nodes = materialize(prints.groupBy("fp").agg(F.min(key).alias("first"), F.min("guard").alias("guard")), "nodes")
+    roots = materialize(components(trie_links(nodes, budget, blocks, guard_budget)), "roots")
     linked = nodes.join(roots, nodes.fp == roots.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
