@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, embeddings, lines, oracles, pieces, simhash, token_counts, toxicity, urls
+from . import context_trees, decontaminate, embeddings, lines, oracles, pieces, simhash, token_counts, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_trees.score_texts(table(spark, sf_dir, "documents"))
