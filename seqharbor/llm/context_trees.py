@@ -6,28 +6,26 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+import zstandard
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import bounded, crc_fold, materialize
 
-DEPTH = 6
+DEPTH = 5
 TOP = 3  # context bytes that tell the parallel subtrees apart
-BLOCK_BYTES = 8 << 20
-CHUNK_GRAMS = 1 << 18
+BLOCK_BYTES = 32 << 20
+SLICE_BYTES = 2 << 20
 END = b"\n"
+_MIX = 2654435761
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Lower-cased words and one end."""
-    return [*text.lower().split(), END]
-
-
-def gram_stream(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def gram_stream(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The grams (``depth`` context bytes and the byte after them) of all texts, and where each text ends.
 
     A text is its words joined by blanks and closed by a line feed; line feeds stand before it.
     """
-    parts = [b" ".join(t[:-1]) + t[-1] for t in texts]
+    parts = [b" ".join(words) + END for words in texts]
     lead = END * depth
     data = np.frombuffer(lead + lead.join(parts), dtype=np.uint8).astype(np.uint64)
     sizes = np.array([len(p) for p in parts])
@@ -135,20 +133,76 @@ class Subtrees:
         return total
 
 
-def _whole(batches, width: int, rows: int):
-    """Columns of Arrow batches that are sorted by their first one, in chunks of whole values of it."""
-    held, size = [], 0
+def pack(values: np.ndarray) -> bytes:
+    """Ascending unsigned numbers as compressed steps, the bytes of one place together."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    columns = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(columns.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def pack_numbers(values: np.ndarray) -> bytes:
+    return zstandard.compress(values.tobytes(), 1)
+
+
+def unpack_numbers(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), dtype=kind)
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of several lists and the sums of their counts."""
+    grams, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    counts = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(grams))
+    return grams, counts.astype(np.int64)
+
+
+def gram_shard(grams: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a gram's last three context bytes."""
+    c3 = (grams >> np.uint64(8)) & np.uint64(0xFFFFFF)
+    return (((c3 * np.uint64(_MIX)) & np.uint64(0xFFFFFFFF)) >> np.uint64(16)).astype(np.int64) % shards
+
+
+def _context_shard(c3: str, shards: int) -> Column:
+    mixed = (F.col(c3) * F.lit(_MIX)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return (F.shiftright(mixed, 16) % shards).cast("int")
+
+
+def _slices(texts: list[bytes]):
+    """(first text, words of each text) of slices of about ``SLICE_BYTES``."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= SLICE_BYTES:
+            yield first, [t.lower().split() for t in texts[first : i + 1]]
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, [t.lower().split() for t in texts[first:]]
+
+
+def _by_shard(batches):
+    """(kind, shard, rows) of whole shards, from batches sorted by kind and shard."""
+    held, now = [], None
     for batch in batches:
-        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)])
-        size += batch.num_rows
-        if size >= rows:
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            cut = int(np.searchsorted(columns[0], columns[0][-1]))
-            if cut:
-                yield [c[:cut] for c in columns]
-            held, size = [[c[cut:] for c in columns]], size - cut
-    if size:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+        kind, shard = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cut = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (shard[1:] != shard[:-1])]) if len(kind) else []
+        for a, b in zip(cut, [*cut[1:], len(kind)], strict=False):
+            if now != (kind[a], shard[a]):
+                if held:
+                    yield *now, pa.Table.from_batches(held).combine_chunks()
+                held, now = [], (kind[a], shard[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield *now, pa.Table.from_batches(held).combine_chunks()
+
+
+def _shard_grams(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The grams of each block, the distinct ones and their training counts."""
+    grams = [unpack(d) for d in rows.column("keys").to_pylist()]
+    counts = [unpack_numbers(d, np.int64) for d in rows.column("counts").to_pylist()]
+    return grams, *merged(list(zip(grams, counts, strict=True)))
 
 
 def _inner(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -171,59 +225,82 @@ def _sum_up(rows: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def gram_probabilities(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(gram, logp) for (gram, n): the weighted probability of each gram's last byte after its context.
+def top_weights(requests: DataFrame, depth: int) -> DataFrame:
+    """(c3, node, done, left): what contexts of up to two bytes give to a one in each node of the
+    three-byte contexts, and the weight that they leave.
 
-    ``n`` is the training count, 0 for a gram that only held-out texts have. Subtrees of one
-    three-byte context are summed in parallel; the few nodes above them are summed by groupings,
-    weighted, and sent down again by joins.
+    Subtrees of three-byte contexts are summed shard by shard; the few nodes above them are summed
+    by groupings, weighted, and sent down again by joins.
     """
-    counted = materialize(
-        grams.groupBy("gram").agg(F.sum("n").alias("n")).select(
-            F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1)).alias("c3"), "gram", "n"
-        ),
-        "gram-counts",
-    )
-
-    def trees(columns):
-        order = np.argsort(columns[1].view(np.uint64), kind="stable")
-        return Subtrees(columns[1][order].view(np.uint64), columns[2][order], depth)
 
     def sum_subtrees(batches):
-        for columns in _whole(batches, 3, CHUNK_GRAMS):
-            found = trees(columns).roots()
+        for _, _, rows in _by_shard(batches):
+            _, grams, counts = _shard_grams(rows)
+            found = Subtrees(grams, counts, depth).roots()
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["c3", "node", "zeros", "ones", "logw"])
 
-    placed = counted.repartition("c3").sortWithinPartitions("c3")
+    placed = requests.filter("kind = 0").repartition("kind", "shard").sortWithinPartitions("kind", "shard")
     roots = materialize(
-        placed.mapInArrow(sum_subtrees, "c3 bigint, node bigint, zeros double, ones double, logw double"), "subtrees"
+        placed.select("kind", "shard", "keys", "counts").mapInArrow(
+            sum_subtrees, "c3 bigint, node bigint, zeros double, ones double, logw double"
+        ),
+        "subtrees",
     )
     two = materialize(_sum_up(roots.withColumn("c2", F.col("c3").bitwiseAND(F.lit(0xFFFF))), ["c2", "node"]), "two")
     one = materialize(_sum_up(two.withColumn("c1", F.col("c2").bitwiseAND(F.lit(0xFF))), ["c1", "node"]), "one")
     none = _sum_up(one, ["node"])
-    # downwards: what the shorter contexts give to a one, and the weight that they leave
-    shortest = none.select("node", (F.col("own") * F.col("guess")).alias("done"), (1 - F.col("own")).alias("left"))
-    above = materialize(_down(one, shortest, ["node"], ["c1", "node"]), "down-one")
-    above = materialize(
-        _down(two.withColumn("c1", F.col("c2").bitwiseAND(F.lit(0xFF))), above, ["c1", "node"], ["c2", "node"]), "down-two"
-    )
-    contexts = roots.select("c3", "node").withColumn("c2", F.col("c3").bitwiseAND(F.lit(0xFFFF)))
-    sent = contexts.join(above, ["c2", "node"]).select(
-        "c3", F.col("node").alias("gram"), F.lit(-1).cast("long").alias("n"), "done", "left"
+    above = none.select("node", (F.col("own") * F.col("guess")).alias("done"), (1 - F.col("own")).alias("left"))
+    above = materialize(_down(one, above, ["node"], ["c1", "node"]), "down-one")
+    two = two.withColumn("c1", F.col("c2").bitwiseAND(F.lit(0xFF)))
+    above = materialize(_down(two, above, ["c1", "node"], ["c2", "node"]), "down-two")
+    contexts = roots.select("c3", "node", F.col("c3").bitwiseAND(F.lit(0xFFFF)).alias("c2"))
+    return contexts.join(above, ["c2", "node"]).select("c3", "node", "done", "left")
+
+
+def answers(requests: DataFrame, depth: int, shards: int) -> DataFrame:
+    """(block, kind, keys, values): for the grams of a block their log probabilities, for its tokens
+    their training counts."""
+    top = top_weights(requests, depth).withColumns(
+        {"kind": F.lit(0), "shard": _context_shard("c3", shards), "block": F.lit(-1)}
     )
-    zero = F.lit(None).cast("double")
-    both = counted.select("c3", "gram", "n", zero.alias("done"), zero.alias("left")).union(sent)
+    columns = ["kind", "shard", "block", "keys", "counts", "c3", "node", "done", "left"]
+    both = requests.unionByName(top, allowMissingColumns=True).select(columns)
 
-    def score(batches):
-        for columns in _whole(batches, 5, CHUNK_GRAMS):
-            rows = columns[2] >= 0
-            tree = trees([c[rows] for c in columns[:3]])
-            name = columns[0][~rows].astype(np.int64) * 256 + columns[1][~rows]
-            order = np.argsort(name, kind="stable")
-            logp = tree.log_probabilities(name[order], columns[3][~rows][order], columns[4][~rows][order])
-            yield pa.RecordBatch.from_arrays([pa.array(tree.grams[depth].view(np.int64)), pa.array(logp)], names=["gram", "logp"])
-
-    return both.repartition("c3").sortWithinPartitions("c3").mapInArrow(score, "gram bigint, logp double")
+    def run(batches):
+        for kind, _, rows in _by_shard(batches):
+            asked = np.array(rows.column("block").to_numpy()) >= 0
+            blocks = rows.filter(pa.array(asked))
+            if not blocks.num_rows:
+                continue
+            if kind == 0:
+                given = rows.filter(pa.array(~asked))
+                lists, grams, counts = _shard_grams(blocks)
+                c3, node, done, left = (given.column(c).to_numpy() for c in ("c3", "node", "done", "left"))
+                order = np.argsort(c3 * 256 + node)
+                tree = Subtrees(grams, counts, depth)
+                logs = tree.log_probabilities((c3 * 256 + node)[order], done[order], left[order]).astype(np.float32)
+                values = [pack_numbers(logs[np.searchsorted(grams, one)]) for one in lists]
+            else:
+                lists = [zstandard.decompress(d).split(END) for d in blocks.column("keys").to_pylist()]
+                total: Counter = Counter()
+                for one, data in zip(lists, blocks.column("counts").to_pylist(), strict=True):
+                    for token, n in zip(one, unpack_numbers(data, np.int64).tolist(), strict=True):
+                        total[token] += n
+                values = [pack_numbers(np.array([total[t] for t in one], dtype=np.int64)) for one in lists]
+                known = [n for n in total.values() if n]
+                yield _answer([-1], [1], [b""], [pack_numbers(np.array([sum(known), len(known)], dtype=np.int64))])
+            n = blocks.num_rows
+            yield _answer(blocks.column("block").to_pylist(), [int(kind)] * n, blocks.column("keys").to_pylist(), values)
+
+    placed = both.repartition("kind", "shard").sortWithinPartitions("kind", "shard")
+    return placed.mapInArrow(run, "block int, kind int, keys binary, values binary")
+
+
+def _answer(block: list[int], kind: list[int], keys: list[bytes], values: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(block, pa.int32()), pa.array(kind, pa.int32()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())],
+        names=["block", "kind", "keys", "values"],
+    )
 
 
 def _down(rows: DataFrame, above: DataFrame, on: list[str], names: list[str]) -> DataFrame:
@@ -244,84 +321,89 @@ def score_texts(
     smoothed by one half. Both learn from all documents but those of the held-out fold. A null or
     empty text is an end alone; without any training document all estimates are those of no counts.
 
-    Documents are grouped in blocks of about 8 MB by a hash of their id. A block sends each gram
-    and token that it has once, with its training count, and gets their scores back once, so what
-    moves follows the distinct grams of the blocks and a frequent gram is one row per block.
+    Documents are grouped in blocks of about ``BLOCK_BYTES`` by a hash of their id. A block sends each
+    gram and token that it has once, with its training count, packed by the shard of its last
+    context bytes, and gets their values back once. What moves follows the distinct grams of the
+    blocks, and a frequent gram costs its shard no more than a rare one per block.
     """
     spark = bounded(docs.sparkSession)
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = int(size // BLOCK_BYTES) + 1
-    fold = crc_fold(key, folds)
+    held = crc_fold(key, folds) == held_out
+    size, ends = docs.agg(F.sum(F.octet_length(text)), F.count(F.when(~held, 1))).first()
+    blocks = int((size or 0) // BLOCK_BYTES) + 1
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(
         F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.col(key).alias("id"),
-        F.coalesce(text, F.lit("")).cast("binary").alias("text"), (fold == held_out).alias("held"),
+        F.coalesce(text, F.lit("")).cast("binary").alias("text"), held.alias("held"),
     )
 
-    def grams(batch: pa.Table) -> pa.Table:
-        found = [tokens(t) for t in batch.column("text").to_pylist()]
-        held = np.array(batch.column("held").to_pylist(), dtype=bool)
-        stream, ends = gram_stream(found, depth)
-        learned = np.repeat(~held, np.diff(np.r_[0, ends]))
-        distinct = np.unique(stream)
-        known, many = np.unique(stream[learned], return_counts=True)
-        counts = np.zeros(len(distinct), dtype=np.int64)
-        counts[np.searchsorted(distinct, known)] = many
-        words: Counter = Counter()
-        for one, out in zip(found, held, strict=True):
-            words.update(dict.fromkeys(one, 0) if out else one)
-        n = len(distinct)
-        block = batch.column("block")[0].as_py()
+    def ask(rows: pa.Table) -> pa.Table:
+        out = np.array(rows.column("held").to_pylist(), dtype=bool)
+        parts, counted = [], Counter()
+        for first, words in _slices(rows.column("text").to_pylist()):
+            stream, stops = gram_stream(words, depth)
+            learned = np.repeat(~out[first : first + len(words)], np.diff(np.r_[0, stops]))
+            grams, inverse = np.unique(stream, return_inverse=True)
+            parts.append((grams, np.bincount(inverse, learned, len(grams))))
+            for one, skipped in zip(words, out[first : first + len(words)], strict=True):
+                counted.update(dict.fromkeys(one, 0) if skipped else one)
+        grams, counts = merged(parts)
+        shard = gram_shard(grams, shards)
+        order = np.argsort(shard, kind="stable")
+        found = []
+        for places in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            found.append((int(shard[places[0]]), 0, pack(grams[places]), pack_numbers(counts[places])))
+        named: dict[int, list[bytes]] = {}
+        for token in counted:
+            named.setdefault(xxhash.xxh32_intdigest(token) % shards, []).append(token)
+        for number, some in named.items():
+            some.sort()
+            many = np.array([counted[t] for t in some], dtype=np.int64)
+            found.append((number, 1, zstandard.compress(END.join(some), 1), pack_numbers(many)))
+        number, kind, keys, many = zip(*found, strict=True)
         return pa.table({
-            "block": pa.array(np.full(n + len(words), block, dtype=np.int32)),
-            "gram": pa.concat_arrays([pa.array(distinct.view(np.int64)), pa.nulls(len(words), pa.int64())]),
-            "token": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(list(words), pa.binary())]),
-            "n": pa.concat_arrays([pa.array(counts), pa.array(list(words.values()), pa.int64())]),
+            "block": pa.array([rows.column("block")[0].as_py()] * len(found), pa.int32()),
+            "shard": pa.array(number, pa.int32()), "kind": pa.array(kind, pa.int32()),
+            "keys": pa.array(keys, pa.binary()), "counts": pa.array(many, pa.binary()),
         })
 
-    shape = "block int, gram bigint, token binary, n bigint"
-    found = materialize(source.groupBy("block").applyInArrow(grams, shape), "block-grams")
-    by_gram, by_token = found.filter("gram is not null"), found.filter("token is not null")
-    logs = materialize(gram_probabilities(by_gram, depth), "gram-logs")
-    counts = materialize(by_token.groupBy("token").agg(F.sum("n").alias("c")), "token-counts")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    scored = (
-        by_gram.select("block", "gram").join(logs.withColumnRenamed("gram", "of"), F.col("gram") == F.col("of"))
-        .select("block", "gram", F.lit(None).cast("binary").alias("token"), "logp")
-        .union(
-            by_token.select("block", "token").join(counts.withColumnRenamed("token", "of"), F.col("token") == F.col("of"))
-            .select("block", F.lit(None).cast("long"), "token", F.col("c").cast("double"))
-        )
+    requests = materialize(
+        source.groupBy("block").applyInArrow(ask, "block int, shard int, kind int, keys binary, counts binary"), "requests"
     )
-    kind = docs.schema[key].dataType.simpleString()
-    least = np.log10(total + 0.5 * (kinds + 1)) if total or kinds else np.log10(0.5)
-
-    def judge(texts: pa.Table, logs: pa.Table) -> pa.Table:
-        words = [tokens(t) for t in texts.column("text").to_pylist()]
-        gram, token, value = logs.column("gram"), logs.column("token"), logs.column("logp").to_numpy()
-        is_gram = gram.is_valid().to_numpy()
-        names = gram.filter(gram.is_valid()).to_numpy().view(np.uint64)
-        order = np.argsort(names)
-        names, logp = names[order], value[is_gram][order]
-        seen = dict(zip(token.filter(token.is_valid()).to_pylist(), value[~is_gram], strict=True))
-        stream, ends = gram_stream(words, depth)
-        # a loop by text keeps the lookups of one text together
-        at = np.r_[0, ends]
-        score = np.array([
-            logp[np.searchsorted(names, stream[a:b])].sum() for a, b in zip(at, at[1:], strict=False)
-        ])
-        base, known = [], []
-        for one in words:
-            c = np.fromiter(map(seen.__getitem__, one), dtype=np.float64, count=len(one))
-            base.append(float((np.log10(c + 0.5) - least).sum()))
-            known.append(int((c > 0).sum()))
+    answered = materialize(answers(requests, depth, shards), "answers")
+    sums = [unpack_numbers(r[0], np.int64) for r in answered.filter("block < 0").select("values").collect()]
+    total = int(sum(x[0] for x in sums)) + ends
+    kinds = int(sum(x[1] for x in sums)) + (ends > 0)
+    least = float(np.log10(total + 0.5 * (kinds + 1)))
+
+    def judge(docs: pa.Table, logs: pa.Table) -> pa.Table:
+        seen: dict[bytes, int] = {}
+        names, values = [], []
+        for kind, keys, data in zip(*(logs.column(c).to_pylist() for c in ("kind", "keys", "values")), strict=True):
+            if kind:
+                seen.update(zip(zstandard.decompress(keys).split(END), unpack_numbers(data, np.int64).tolist(), strict=True))
+            else:
+                names.append(unpack(keys))
+                values.append(unpack_numbers(data, np.float32))
+        order = np.argsort(np.concatenate(names))
+        names, values = np.concatenate(names)[order], np.concatenate(values)[order].astype(np.float64)
+        many, known, base, score = [], [], [], []
+        for _, words in _slices(docs.column("text").to_pylist()):
+            stream, stops = gram_stream(words, depth)
+            logp = values[np.searchsorted(names, stream)]
+            score.append(np.add.reduceat(logp, np.r_[0, stops[:-1]]) / np.log(10))
+            for one in words:
+                c = np.fromiter((*map(seen.__getitem__, one), ends), dtype=np.float64, count=len(one) + 1)
+                many.append(len(c))
+                known.append(int((c > 0).sum()))
+                base.append(float((np.log10(c + 0.5) - least).sum()))
         return pa.table({
-            key: texts.column("id"), "held_out": texts.column("held"),
-            "n_tokens": pa.array([len(w) for w in words], pa.int64()), "n_known": pa.array(known, pa.int64()),
-            "train_tokens": pa.array([int(total)] * len(words), pa.int64()),
-            "base_score": pa.array(base, pa.float64()), "score": pa.array(score / np.log(10), pa.float64()),
+            key: docs.column("id"), "held_out": docs.column("held"), "n_tokens": pa.array(many, pa.int64()),
+            "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([total] * len(many), pa.int64()),
+            "base_score": pa.array(base, pa.float64()), "score": pa.array(np.concatenate(score), pa.float64()),
         })
 
-    return source.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(
+    kind = docs.schema[key].dataType.simpleString()
+    return source.groupBy("block").cogroup(answered.filter("block >= 0").groupBy("block")).applyInArrow(
         judge,
         f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
         "base_score double, score double",
