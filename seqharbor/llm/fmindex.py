@@ -116,15 +116,16 @@ class FMIndex:
         both = self.tree.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
         return base + both[: len(symbol)], base + both[len(symbol):]
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of a matrix with one pattern in each row: those that occur, with their row ranges."""
+    def search(self, patterns: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a matrix with one pattern in each row: those that occur ``least`` times, with their row
+        ranges. A pattern is given up at the suffix that is rarer."""
         alive = np.arange(len(patterns))
         symbol = patterns[:, -1]
         low, high = self.starts[symbol], self.starts[symbol + 1]
         for j in range(patterns.shape[1] - 1, -1, -1):
             if j < patterns.shape[1] - 1:
                 low, high = self.extend(patterns[alive, j], low, high)
-            some = high > low
+            some = high - low >= least
             alive, low, high = alive[some], low[some], high[some]
         return alive, low, high
 

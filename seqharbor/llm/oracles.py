@@ -63,3 +63,24 @@ select doc_id, len(ls)::bigint as n_lines, (len(ls) - len(stays))::bigint as n_d
   case when len(ls) = len(stays) then text else array_to_string(stays, chr(10)) end as text
 from kept
 """
+
+SUBSTRINGS = r"""
+with w as (
+  select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as ws from documents
+), win as (
+  select doc_id, i, array_to_string(ws[i : i + 19], ' ') as g
+  from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from w where len(ws) >= 20)
+), later as (
+  select doc_id, i from win qualify row_number() over (partition by g order by doc_id, i) > 1
+), gone as (
+  select distinct doc_id, unnest(range(i, i + 20)) as p from later
+), word as (
+  select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from w
+), kept as (
+  select doc_id, string_agg(word, ' ' order by p) as text, count(*) as n
+  from word anti join gone using (doc_id, p) group by 1
+)
+select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed,
+  sha256(coalesce(kept.text, '')) as kept_sha256
+from w left join kept using (doc_id)
+"""
