@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqharbor.llm import decontaminate, lines, pieces, simhash, toxicity
-from seqharbor.llm.common import materialize, table
+from seqharbor.llm.common import free_prefix, materialize, table
 
 REJECTED = 0.5
 NEAR_WORDS, NEAR_BITS, NEAR_BLOCKS, NEAR_GUARD = 5, 7, 9, 16
@@ -19,14 +19,16 @@ def _measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5; nulls and empty texts are scored like any other."""
-    scored = toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.filter(F.col("tox_score") < REJECTED).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = free_prefix(docs, "tox_")
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), names=names)
+    return scored.filter(F.col(f"{names}score") < REJECTED).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their source's boilerplate lines; one that loses all of them stays empty."""
-    kept = lines.drop_boilerplate(docs)
-    new = kept.withColumn("text", F.col("ld_text")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = free_prefix(docs, "ld_")
+    kept = lines.drop_boilerplate(docs, names=names)
+    new = kept.withColumn("text", F.col(f"{names}text")).select(*[F.col(f"`{c}`") for c in docs.columns])
     return _measured(new)
 
 
@@ -38,9 +40,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     without an id stay unless one with an id is like them.
     """
     groups = simhash.simhash_components(docs, NEAR_WORDS, NEAR_BITS, NEAR_BLOCKS, NEAR_GUARD)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    name = free_prefix(docs, "kept_")
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name))
     kept = materialize(kept.distinct(), "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,15 +5,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqharbor.session import materialize
 
 __all__ = [
-    "binary_column", "bounded", "crc_fold", "ints", "materialize", "null_words", "sha256",
-    "slices_by_bytes", "table",
+    "binary_column", "bounded", "crc_fold", "free_prefix", "materialize", "sha256", "slices_by_bytes", "table",
 ]
 
 
@@ -41,12 +39,11 @@ def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [value or b"" for value in column.cast(kind).to_pylist()]
 
 
-def null_words() -> list[bytes]:
-    return []
-
-
-def ints(values: Iterable[int], kind=np.int64) -> np.ndarray:
-    return np.fromiter(values, dtype=kind)
+def free_prefix(docs: DataFrame, prefix: str) -> str:
+    """``prefix``, with underscores in front until no column starts with it."""
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix
 
 
 def sha256(data: bytes) -> str:

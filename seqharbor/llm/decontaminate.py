@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import bounded, slices_by_bytes
+from .common import bounded, free_prefix, slices_by_bytes
 from .fmindex import FMIndex
 
 WINDOW = 10
@@ -187,18 +187,18 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text") -
     A span goes from the first byte of its first word to the last byte of its last one; what
     stands around it stays.
     """
-    columns = docs.columns
-    marked = mark_passages(docs, benchmark, text=text)
+    columns, names = docs.columns, free_prefix(docs, "bm_")
+    marked = mark_passages(docs, benchmark, text=text, names=names)
     schema = marked.schema
 
     def run(batches):
         for batch in batches:
-            hit = [i for i, s in enumerate(batch.column(batch.schema.get_field_index("bm_starts")).to_pylist()) if s]
+            hit = [i for i, s in enumerate(batch.column(batch.schema.get_field_index(f"{names}starts")).to_pylist()) if s]
             if hit:
                 at = batch.schema.get_field_index(text)
                 texts = batch.column(at).to_pylist()
-                starts = batch.column(batch.schema.get_field_index("bm_starts"))
-                ends = batch.column(batch.schema.get_field_index("bm_ends"))
+                starts = batch.column(batch.schema.get_field_index(f"{names}starts"))
+                ends = batch.column(batch.schema.get_field_index(f"{names}ends"))
                 for i in hit:
                     texts[i] = _cut(texts[i].encode(), starts[i].as_py(), ends[i].as_py()).decode()
                 batch = batch.set_column(at, text, pa.array(texts, batch.column(at).type))

@@ -28,10 +28,10 @@ def boilerplate(
     site are a site of their own. A line must stand on ``least`` pages at least, so that a site
     of a few pages does not lose lines that it merely has twice.
     """
-    totals = pages.groupBy(F.col(site).alias("site")).agg(F.count("*").alias("site_pages"))
+    totals = pages.groupBy(F.col(f"`{site}`").alias("site")).agg(F.count("*").alias("site_pages"))
     keys = F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _key)
     found = (
-        pages.select(F.col(site).alias("site"), F.explode(F.array_distinct(keys)).alias("line_key"))
+        pages.select(F.col(f"`{site}`").alias("site"), F.explode(F.array_distinct(keys)).alias("line_key"))
         .groupBy("site", "line_key")
         .agg(F.count("*").alias("pages"))
         .filter(F.col("pages") >= least)
@@ -45,31 +45,33 @@ def boilerplate(
 
 
 def drop_boilerplate(
-    pages: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES
+    pages: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES,
+    names: str = "ld_",
 ) -> DataFrame:
     """``pages`` with ``ld_lines``, ``ld_dropped`` (long) and ``ld_text``, the lines that stay.
 
     Lines that stay keep their order and their blanks, joined by line feeds. A text that loses
     nothing is unchanged, a null text has no lines and stays null. A site has at most
     lines-per-page / ``ratio`` boilerplate lines, so their keys travel as one array per site.
+    Columns of ``pages`` whose name starts with ``names`` are replaced.
     """
-    kept = pages.drop("ld_lines", "ld_dropped", "ld_text")
+    kept = pages.select(*[F.col(f"`{c}`") for c in pages.columns if not c.startswith(names)])
+    own, keys, every, stays = (f"{names}{c}" for c in ("site", "keys", "all", "stays"))
     sites = (
         boilerplate(pages, site, text, ratio, least)
-        .groupBy(F.col("site").alias("ld_site"))
-        .agg(F.collect_set("line_key").alias("ld_keys"))
+        .groupBy(F.col("site").alias(own))
+        .agg(F.collect_set("line_key").alias(keys))
     )
     sites = materialize(sites, "boilerplate")
-    stays = F.filter("ld_all", lambda x: (F.trim(x) == "") | ~F.array_contains("ld_keys", _key(x)))
-    out = kept.join(sites, F.col(site).eqNullSafe(F.col("ld_site")), "left").withColumn(
-        "ld_all", F.when(F.col(text).isNull(), F.array().cast("array<string>")).otherwise(_lines(text))
+    left = F.filter(every, lambda x: (F.trim(x) == "") | ~F.array_contains(keys, _key(x)))
+    out = kept.join(sites, F.col(site).eqNullSafe(F.col(own)), "left").withColumn(
+        every, F.when(F.col(text).isNull(), F.array().cast("array<string>")).otherwise(_lines(text))
     )
-    out = out.withColumn("ld_stays", F.when(F.col("ld_keys").isNull(), F.col("ld_all")).otherwise(stays))
+    out = out.withColumn(stays, F.when(F.col(keys).isNull(), F.col(every)).otherwise(left))
+    same = F.size(every) == F.size(stays)
     return out.select(
         *[F.col(f"`{c}`") for c in kept.columns],
-        F.size("ld_all").cast("long").alias("ld_lines"),
-        (F.size("ld_all") - F.size("ld_stays")).cast("long").alias("ld_dropped"),
-        F.when(F.size("ld_all") == F.size("ld_stays"), F.col(text))
-        .otherwise(F.array_join("ld_stays", "\n"))
-        .alias("ld_text"),
+        F.size(every).cast("long").alias(f"{names}lines"),
+        (F.size(every) - F.size(stays)).cast("long").alias(f"{names}dropped"),
+        F.when(same, F.col(text)).otherwise(F.array_join(stays, "\n")).alias(f"{names}text"),
     )
