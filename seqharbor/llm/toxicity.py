@@ -74,7 +74,7 @@ def log_odds(counts: dict[str, np.ndarray], clean: float, toxic: float) -> Odds:
     ``counts`` has an array for ``stem`` and one for ``word``: clean and toxic documents by bucket,
     and for a word the bucket of its stem. Words that no training document has are NaN.
     """
-    rate = (toxic + 1) / (clean + toxic + 2)
+    rate = (toxic + 1) / (clean + toxic + 20)  # one in twenty before any document is seen
     s = counts["stem"]
     stem_rate = (s[:, 1] + PRIOR * rate) / (s[:, 0] + s[:, 1] + PRIOR)
     w = counts["word"]
@@ -188,8 +188,8 @@ def fit(
     def count(batches):
         # document counts by bucket: words clean and toxic, stems clean and toxic, for folds 1 to 3
         # and again for fold 4; a word's stem
-        tables = np.zeros((8, buckets), dtype=np.int64)
-        stem_of = np.full(buckets, buckets, dtype=np.int64)
+        tables = np.zeros((8, buckets), dtype=np.int32)
+        stem_of = np.full(buckets, buckets, dtype=np.int32)
         totals, places = [0] * 8, {}
         for part, texts in slices_by_bytes(batches, text, 4 << 20):
             for one, data in zip(part.column(0).to_pylist(), texts, strict=True):
@@ -207,9 +207,11 @@ def fit(
                 tables[label, np.unique(both[:, 0])] += 1
                 tables[2 + label, np.unique(both[:, 1])] += 1
                 np.minimum.at(stem_of, both[:, 0], both[:, 1])
-        at = np.flatnonzero(tables.any(axis=0))
-        rows = [np.r_[at, -1], np.r_[stem_of[at], -1], *(np.r_[t[at], x] for t, x in zip(tables, totals, strict=True))]
-        yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["w", "s", *names])
+        for some in np.array_split(np.flatnonzero(tables.any(axis=0)), 32):
+            columns = [some, stem_of[some], *tables[:, some]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["w", "s", *names])
+        totals = [pa.array([x], pa.int64()) for x in (-1, -1, *totals)]
+        yield pa.RecordBatch.from_arrays(totals, names=["w", "s", *names])
 
     counted = source.mapInArrow(count, "w bigint, s bigint, " + ", ".join(f"{c} bigint" for c in names))
     # of the stems of words that share a bucket the smallest stands for them
@@ -225,7 +227,7 @@ def fit(
 
 def _odds(found: np.ndarray, total: np.ndarray, columns: list, buckets: int) -> Odds:
     """The log-odds of the added-up count columns: words clean and toxic, stems clean and toxic."""
-    picked = [found[:, 2:][:, c].reshape(len(found), -1).sum(axis=1) for c in columns]
+    picked = [found[:, 2:][:, np.atleast_1d(c)].sum(axis=1) for c in columns]
     clean, toxic = (float(np.sum(total[columns[i]])) for i in (0, 1))
     counts = {"word": np.zeros((buckets, 3)), "stem": np.zeros((buckets, 2))}
     at = found[:, 0].astype(np.int64)
@@ -262,7 +264,8 @@ def _calibrate(source: DataFrame, odds: Odds, sent, key: str, text: str) -> Odds
 
     table = source.mapInArrow(measure, "label int, n bigint, segments array<double>").toArrow()
     label, size, segments = (c.to_pylist() for c in table.columns)
-    if not label:
+    if not label:  # nothing to calibrate with: the base rate, raised by the evidence
+        odds.weights = (float(logit(odds.rate)), 0.5, 0.0)
         return odds
     y, n = np.array(label, dtype=float), np.array(size, dtype=float)
     best = np.array([s[0] if s else 0.0 for s in segments])
