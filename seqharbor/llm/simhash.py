@@ -159,7 +159,10 @@ def _signed(bits: list[int]) -> int:
 
 
 def _cut(rows: DataFrame, masks: list[tuple[int, list[int]]], budget: int, blocks: int) -> tuple[DataFrame, list]:
-    """Rows (fp, guard, mask) dealt to the block choices that their mask leaves open: (fp, guard, mask, part)."""
+    """Rows (fp, guard, mask) dealt to the block choices that their mask leaves open: (fp, guard, mask, cell).
+
+    A cell is one value of the chosen bits, by a hash; two values in one cell only mean more to compare.
+    """
     new, branches = [], []
     for number, fixed in masks:
         taken = set(fixed)
@@ -173,8 +176,8 @@ def _cut(rows: DataFrame, masks: list[tuple[int, list[int]]], budget: int, block
     if len(masks) > 1:
         options = F.filter(options, lambda o: o.was == F.col("mask"))
     dealt = rows.select("fp", "guard", F.explode(options).alias("o"))
-    part = F.col("fp").bitwiseAND(F.col("o.bits"))
-    return dealt.select("fp", "guard", F.col("o.mask").alias("mask"), part.alias("part")), new
+    cell = F.xxhash64("o.mask", F.col("fp").bitwiseAND(F.col("o.bits")))
+    return dealt.select("fp", "guard", F.col("o.mask").alias("mask"), cell.alias("cell")), new
 
 
 def trie_links(
@@ -190,19 +193,21 @@ def trie_links(
     twice at most, when few enough are open to bound it. A task emits a fingerprint and the
     first one of its component in that subtrie, never all pairs.
     """
-    rows, masks = nodes.select("fp", "guard").withColumn("mask", F.lit(0)), [(0, [])]
+    guard = F.col("guard") if guard_budget < 64 else F.lit(0).cast("long").alias("guard")
+    rows, masks = nodes.select("fp", guard).withColumn("mask", F.lit(0)), [(0, [])]
     found, blocks = [], blocks or budget + 1
     for level in range(3):
         dealt, masks = _cut(rows, masks, budget, budget + 1 if level else blocks)
-        dealt = materialize(dealt, "subtries") if level else dealt
-        sizes = dealt.groupBy("mask", "part").agg(F.count("*").alias("n")).filter("n > 1")
-        sizes = materialize(sizes, "subtrie-sizes")
-        sized = materialize(dealt.join(sizes, ["mask", "part"]), "subtries")
-        last = level == 2
-        found.append(sized if last else sized.filter(F.col("n") <= group_rows))
-        rows = sized.filter(F.col("n") > group_rows).select("fp", "guard", "mask")
-        if last or rows.isEmpty():
+        if level == 2:
+            found.append(dealt)
+            break
+        sizes = dealt.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > group_rows)
+        large = materialize(sizes.select("cell"), "large-cells")
+        if large.isEmpty():
+            found.append(dealt)
             break
+        found.append(dealt.join(large, "cell", "left_anti"))
+        rows = materialize(dealt.join(large, "cell", "left_semi").select("fp", "guard", "mask"), "large-rows")
 
     def run(batches):
         for fps, guards, groups in _whole_groups(batches, 8 * GROUP_ROWS):
@@ -217,34 +222,32 @@ def trie_links(
 
     out = None
     for part in found:
-        placed = part.repartition("mask", "part").sortWithinPartitions("mask", "part")
-        links = placed.select("fp", "mask", "part", "guard").mapInArrow(run, "fp bigint, root bigint")
+        placed = part.select("fp", "guard", "cell").repartition("cell").sortWithinPartitions("cell")
+        links = placed.mapInArrow(run, "fp bigint, root bigint")
         out = links if out is None else out.union(links)
     return out
 
 
 def _whole_groups(batches, rows: int):
-    """Rows sorted by (mask, part) as slices of whole groups of about ``rows`` rows: (fp, guard, group)."""
+    """Rows sorted by cell as slices of whole cells of about ``rows`` rows: (fp, guard, number of the cell)."""
     held, size = [], 0
     for batch in batches:
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
         held.append(columns)
         size += len(columns[0])
         if size >= rows:
-            fp, mask, part, guard = (np.concatenate(x) for x in zip(*held, strict=True))
-            same = (mask == mask[-1]) & (part == part[-1])
-            cut = len(fp) - int(same.sum())
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(columns[2], columns[2][-1]))
             if cut:
-                yield _numbered(fp[:cut], mask[:cut], part[:cut], guard[:cut])
-            held, size = [[x[cut:] for x in (fp, mask, part, guard)]], len(fp) - cut
+                yield _numbered(*(c[:cut] for c in columns))
+            held, size = [[c[cut:] for c in columns]], size - cut
     if size:
         yield _numbered(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def _numbered(fp, mask, part, guard):
-    change = np.r_[False, (mask[1:] != mask[:-1]) | (part[1:] != part[:-1])]
+def _numbered(fp, guard, cell):
     unsigned = [np.ascontiguousarray(x, dtype=np.int64).view(np.uint64) for x in (fp, guard)]
-    return *unsigned, np.cumsum(change)
+    return *unsigned, np.cumsum(np.r_[False, cell[1:] != cell[:-1]])
 
 
 def simhash_components(
