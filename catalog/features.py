@@ -149,6 +149,21 @@ HOST_TREES = [
         ]
     )
 ]
+LARGE_FEATURES = ARCH_MODEL_FEATURES + DOMAIN_MARKER_FEATURES
+
+
+def _large_tree(fold: str, t: int) -> list[tuple]:
+    """Seven nodes whose features, thresholds and leaves follow from the tree's number."""
+    inner = [
+        (fold, t, 0, n, LARGE_FEATURES[(t * 3 + n) % len(LARGE_FEATURES)], ((t * 7 + n * 5) % 19) / 10, 2 * n + 1, 2 * n + 2,
+         (t + n) % 2 == 0, None)
+        for n in range(3)
+    ]
+    leaves = [(fold, t, 0, n, None, None, None, None, None, ((t * 5 + n * 3) % 11 - 5) / 40) for n in range(3, 7)]
+    return inner + leaves
+
+
+LARGE_TREES = [node for fold in sorted({row[0] for row in TREES}) for t in range(60) for node in _large_tree(fold, t)]
 NODE_SCHEMA = (
     "fold string, tree int, class int, node int, feature string, threshold double, left int, "
     "right int, default_left boolean, leaf double"

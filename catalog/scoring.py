@@ -36,6 +36,22 @@ def score_trees(spark, sf):
     return tidy(scored)
 
 
+@query(
+    "score_trees_large",
+    sql(
+        features.VIEWS,
+        f"select fold, accession, {r('1/(1+exp(-m))', alias='euk')} from margins",
+        {**features.CTES, "margins": f"select *, {features.margin_sql(features.LARGE_TREES)} m from wide"},
+    ),
+)
+def score_trees_large(spark, sf):
+    """A model of more nodes than are written as expressions."""
+    scored = ops.score_trees(
+        features.wide(spark, sf), features.trees(spark, features.LARGE_TREES), features.LARGE_FEATURES, 2
+    )
+    return tidy(scored.select("fold", "accession", F.col("probs")[1].alias("euk")))
+
+
 @query(
     "hierarchical_probs",
     sql(features.VIEWS, f"select fold, accession, {features.PROBS} from class_probs", features.TREE_CTES),
@@ -380,7 +396,7 @@ ATTENTION_CTES = {
     + " from cat",
     "active": "select grp, [" + ",".join(gelu_sql(f"z{o}") for o in range(NECK)) + "] y from neck",
 }
-POOLED = [f"d{i}" for i in range(OUT)]
+REST = ["null::double"] * (DIM - OUT)
 
 
 @query(
@@ -390,18 +406,18 @@ POOLED = [f"d{i}" for i in range(OUT)]
         "select grp, 'weighted_sum' how, "
         + ", ".join(
             r(f"h0[{i + 1}]*{HEAD_WEIGHT[0]}::double+h1[{i + 1}]*{HEAD_WEIGHT[1]}::double", alias=f"d{i}")
-            for i in range(OUT)
+            for i in range(DIM)
         )
         + " from cat union all select grp, 'linear', "
-        + ", ".join(r(f"{_dot('x', W_LINEAR[o])}+{B_LINEAR[o]}::double") for o in range(OUT))
+        + ", ".join([*[r(f"{_dot('x', W_LINEAR[o])}+{B_LINEAR[o]}::double") for o in range(OUT)], *REST])
         + " from cat union all select grp, 'bottleneck', "
-        + ", ".join(r(f"{_dot('y', W_OUT[o])}+{B_OUT[o]}::double") for o in range(OUT))
+        + ", ".join([*[r(f"{_dot('y', W_OUT[o])}+{B_OUT[o]}::double") for o in range(OUT)], *REST])
         + " from active",
         ATTENTION_CTES,
     ),
 )
 def attention_pooling(spark, sf):
-    """The three head combinations (first entries of the weighted sum)."""
+    """The three head combinations; a projection has fewer entries than the weighted sum."""
     v = views.vectors(spark, sf)
     how = {
         "weighted_sum": {"head_weights": HEAD_WEIGHT},
@@ -409,9 +425,9 @@ def attention_pooling(spark, sf):
         "bottleneck": {"projection": (W_NECK, B_NECK, W_OUT, B_OUT)},
     }
     parts = [
-        unpack(ops.attention_pooling(v, Q, TEMPERATURE, name, **extra), "pooled", OUT, "d").withColumn(
-            "how", F.lit(name)
-        )
+        unpack(
+            ops.attention_pooling(v, Q, TEMPERATURE, name, **extra), "pooled", DIM if name == "weighted_sum" else OUT, "d"
+        ).withColumn("how", F.lit(name))
         for name, extra in how.items()
     ]
-    return tidy(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return tidy(parts[0].unionByName(parts[1], True).unionByName(parts[2], True))

@@ -7,7 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seqharbor.functions.ranking import blocked_rank
 from seqharbor.functions.spread import spread
 
-LETTERS = ("abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtncgtacgtac")
+# Every character becomes a base: letters one by one, all others by code point class.
+LETTERS = (
+    "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "ACGTACGTACGTACGTNCGTACGTACACGTACGTACGTACGTNCGTACGTAC",
+)
+OTHERS = (("[\\x00-\\x20]", "A"), ("[\\x21-\\x40]", "C"), ("[\\x5B-\\xBF]", "G"), ("[^ACGTN]", "T"))
 FOLDS = [f"fold_{i}" for i in range(5)]
 CLASSES = 5
 LABELS = ["Animal", "Plant", "Fungi", "Protist", "Prokaryote"]
@@ -18,8 +23,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _letters(text: str):
-    plain = F.regexp_replace(F.lower(text), "[^a-z]", "")
-    return F.upper(F.translate(plain, *LETTERS))
+    seq = F.translate(text, *LETTERS)
+    for pattern, base in OTHERS:
+        seq = F.regexp_replace(seq, pattern, base)
+    return seq
 
 
 def sequences(spark, sf) -> DataFrame:
@@ -196,10 +203,10 @@ def labels(spark, sf) -> DataFrame:
 
 
 def _sql_letters(text: str) -> str:
-    return (
-        f"upper(translate(regexp_replace(lower({text}),'[^a-z]','','g'),"
-        f"'{LETTERS[0]}','{LETTERS[1]}'))"
-    )
+    seq = f"translate({text},'{LETTERS[0]}','{LETTERS[1]}')"
+    for pattern, base in OTHERS:
+        seq = f"regexp_replace({seq},'{pattern}','{base}','g')"
+    return seq
 
 
 SQL = {

@@ -12,13 +12,11 @@ from ..constants import (
     HOST_FAMILIES,
     HOST_MARKER_FEATURES,
 )
-from ..functions.medians import spread_median
 from ..functions.scalars import nan_to_null
 from ..functions.spread import broadcast_if_small
 from ..session import materialize
 
 VIRAL_CLASS = "VV"
-MEDIAN_GROUP_LIMIT = 2_000_000  # markers of a single chunk one task may sort
 BROADCAST_ROWS = 2_000_000  # marker rows of some 100 bytes
 BROADCAST_WIDE_ROWS = 200_000  # marker rows with all their metadata
 
@@ -125,23 +123,29 @@ def annotate_hits(
 
 
 def marker_ratios(hits: DataFrame, marker_ref: DataFrame) -> DataFrame:
-    """Classified best hits as ``(fold, accession, class_code, ratio)``, ratio = score / cutoff.
+    """Classified best hits as ``(fold, accession, class_code, ratio, uncut)``, ratio = score / cutoff.
 
-    Fails the job when a hit's classified marker has no positive cutoff.
+    A marker without a positive cutoff has no ratio and is named in ``uncut``; the features of the
+    families that it belongs to fail.
     """
     classified = marker_ref.where(F.col("class_code").isNotNull())
     bad = F.col("cutoff").isNull() | F.isnan("cutoff") | (F.col("cutoff") <= 0)
-    complaint = F.raise_error(
-        F.concat(F.lit("no positive cutoff for marker "), F.col("marker"))
-    ).cast("double")
     return hits.join(classified, "marker").select(
         "fold",
         "accession",
         "class_code",
-        F.when(bad, complaint).otherwise(F.col("bitscore") / F.col("cutoff")).alias("ratio"),
+        F.when(~bad, F.col("bitscore") / F.col("cutoff")).alias("ratio"),
+        F.when(bad, F.col("marker")).alias("uncut"),
     )
 
 
+def _cut(family: str, value: Column) -> Column:
+    """``value``, or an error if a marker of the family has no positive cutoff."""
+    uncut = F.col(f"{family}_uncut")
+    complaint = F.raise_error(F.concat(F.lit("no positive cutoff for marker "), uncut)).cast("double")
+    return F.when(uncut.isNotNull(), complaint).otherwise(value)
+
+
 def _families() -> dict[str, list[str]]:
     return {**DOMAIN_FAMILIES, **HOST_FAMILIES, "specific": GATE_CODES}
 
@@ -173,37 +177,11 @@ def _grouped_ratios(ratios: DataFrame) -> DataFrame:
             F.sum(f"_in_{name}").alias(f"{name}_n"),
             F.avg(F.when(middle, F.col("ratio"))).alias(f"{name}_median"),
             F.max(F.when(member, F.col("ratio"))).alias(f"{name}_max"),
+            F.max(F.when(F.col("class_code").isin(families[name]), F.col("uncut"))).alias(f"{name}_uncut"),
         ]
     return marked.groupBy("fold", "accession").agg(*parts)
 
 
-def _spread_ratios(ratios: DataFrame) -> DataFrame:
-    """The same table without gathering a group: medians by rank over value ranges."""
-    parts = [F.count(F.lit(1)).alias("n_classified")]
-    for name, codes in _families().items():
-        value = F.when(F.col("class_code").isin(codes), F.col("ratio"))
-        parts += [F.count(value).alias(f"{name}_n"), F.max(value).alias(f"{name}_max")]
-    grouped = ratios.groupBy("fold", "accession").agg(*parts)
-    families = F.array(
-        *[
-            F.when(F.col("class_code").isin(codes), F.lit(name))
-            for name, codes in _families().items()
-        ]
-    )
-    tagged = materialize(
-        ratios.select("fold", "accession", F.explode(F.array_compact(families)).alias("family"), "ratio"),
-        "ratios",
-    )
-    medians = spread_median(tagged, ["fold", "accession", "family"], "ratio")
-    wide = medians.groupBy("fold", "accession").agg(
-        *[
-            F.max(F.when(F.col("family") == name, F.col("median"))).alias(f"{name}_median")
-            for name in _families()
-        ]
-    )
-    return grouped.join(wide, ["fold", "accession"], "left")
-
-
 def chunk_folds(chunks: DataFrame, folds: list[str]) -> DataFrame:
     """Every chunk once per fold (a handful of names known to the driver)."""
     return chunks.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds])))
@@ -219,8 +197,7 @@ def marker_summary(
     join use a partitioning by some of its keys (``session.DEFAULT_CONF``).
 
     Best hits are unique per (chunk, marker), so a chunk's rows are at most the marker list. The
-    list is counted: up to the limits it is broadcast and medians are taken per group, beyond
-    them Spark joins by marker and medians are taken by rank.
+    list is counted: up to the limit it is broadcast, beyond it Spark joins by marker.
     """
     listed = marker_ref.where(F.col("class_code").isNotNull() & F.col("fold").isin(folds))
     sizes = [r["count"] for r in listed.groupBy("fold").count().collect()]
@@ -228,8 +205,7 @@ def marker_summary(
         ratios = marker_ratios(hits.repartition("accession"), F.broadcast(listed))
     else:
         ratios = marker_ratios(hits, listed)
-    bounded = max(sizes, default=0) <= MEDIAN_GROUP_LIMIT
-    grouped = _grouped_ratios(ratios) if bounded else _spread_ratios(ratios)
+    grouped = _grouped_ratios(ratios)
     every = chunk_folds(chunks.select("accession").repartition("accession"), folds)
     return every.join(grouped, ["fold", "accession"], "left")
 
@@ -244,7 +220,7 @@ def _family_features(names: list[str]) -> list[Column]:
             "median_bitscore": F.col(f"{family}_median"),
             "max_bitscore": F.col(f"{family}_max"),
         }[kind]
-        features.append(source.cast("double").alias(name))
+        features.append(_cut(family, source.cast("double")).alias(name))
     return features
 
 
@@ -269,9 +245,9 @@ def gate_context(summary: DataFrame) -> DataFrame:
     return summary.select(
         "fold",
         "accession",
-        F.coalesce("specific_n", F.lit(0)).cast("double").alias("specific_count"),
-        F.col("specific_median").alias("specific_median_bitscore"),
-        F.col("specific_max").alias("specific_max_bitscore"),
+        _cut("specific", F.coalesce("specific_n", F.lit(0)).cast("double")).alias("specific_count"),
+        _cut("specific", F.col("specific_median")).alias("specific_median_bitscore"),
+        _cut("specific", F.col("specific_max")).alias("specific_max_bitscore"),
     )
 
 

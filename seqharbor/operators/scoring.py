@@ -15,7 +15,6 @@ from ..functions.scalars import clamp, largest, sigmoid, total, zero_if_missing
 from ..functions.vectors import entries, names, pack, with_entries, with_softmax
 
 MIN_PROB = 1e-7
-MAX_TREE_NODES = 2_000_000
 EXPRESSION_NODES = 300
 
 TREE_COLUMNS = [
@@ -26,6 +25,43 @@ TREE_COLUMNS = [
 # --- tree ensembles ---------------------------------------------------------------------------
 
 
+def _checked_model(model: pd.DataFrame, features: list[str], outputs: int) -> pd.DataFrame:
+    """The node table in one order, or an error that names everything wrong with it."""
+    inner = model["left"].notna()
+    problems = []
+    unknown = sorted(set(model["feature"].dropna()) - set(features))
+    if unknown:
+        problems.append(f"the trees use features that are not given: {unknown}")
+    if inner.any() and model.loc[inner, ["feature", "threshold", "right", "default_left"]].isna().any(axis=None):
+        problems.append("an inner node lacks its feature, threshold, right child or default branch")
+    if model.loc[~inner, "leaf"].isna().any():
+        problems.append("a leaf has no value")
+    if not model["class"].between(0, outputs - 1).all():
+        problems.append(f"a tree is of a class outside 0 to {outputs - 1}")
+    tree = ["fold", "class", "tree"]
+    if model.duplicated([*tree, "node"]).any():
+        problems.append("a node stands twice in a tree")
+    if not model.groupby(tree)["node"].agg(lambda n: 0 in set(n)).all():
+        problems.append("a tree has no node 0")
+    here = set(model[[*tree, "node"]].itertuples(index=False, name=None))
+    for side in ("left", "right"):
+        asked = model.loc[inner, [*tree, side]].dropna().itertuples(index=False, name=None)
+        if not {(*a[:3], int(a[3])) for a in asked} <= here:
+            problems.append(f"a {side} child is missing")
+    if problems:
+        raise ValueError("; ".join(problems))
+    return model.sort_values([*tree, "node"], ignore_index=True)
+
+
+def _bases(base: float | dict[str, float], folds: list[str]) -> dict[str, float]:
+    if not isinstance(base, dict):
+        return dict.fromkeys(folds, float(base))
+    lacking = sorted(set(folds) - set(base))
+    if lacking:
+        raise ValueError(f"no base score for folds {lacking}")
+    return {fold: float(base[fold]) for fold in folds}
+
+
 def _tree_expression(nodes: dict[int, dict], at: int) -> Column:
     node = nodes[at]
     if node["left"] is None:
@@ -40,28 +76,23 @@ def _tree_expression(nodes: dict[int, dict], at: int) -> Column:
     ).otherwise(_tree_expression(nodes, node["right"]))
 
 
-def _margins_as_expressions(df: DataFrame, rows: list[dict], outputs: int, base: float) -> DataFrame:
+def _margins_as_expressions(df: DataFrame, rows: list[dict], outputs: int, base: dict[str, float]) -> DataFrame:
     """Small ensembles as CASE expressions: no Python, no exchange of rows."""
     trees: dict[tuple[str, int, int], dict[int, dict]] = {}
     for row in rows:
         trees.setdefault((row["fold"], row["class"], row["tree"]), {})[row["node"]] = row
-    folds = sorted({fold for fold, _, _ in trees})
+    unknown = F.raise_error(F.concat(F.lit("no trees for fold "), F.coalesce("fold", F.lit("null")))).cast("double")
     margins = []
     for k in range(outputs):
-        chain = None
-        for fold in folds:
+        chain = F
+        for fold, start in base.items():
             parts = [_tree_expression(t, 0) for (f, c, _), t in trees.items() if (f, c) == (fold, k)]
-            value = total([F.lit(float(base)), *parts])
-            chain = (
-                F.when(F.col("fold") == fold, value)
-                if chain is None
-                else chain.when(F.col("fold") == fold, value)
-            )
-        margins.append(chain)
+            chain = chain.when(F.col("fold") == fold, total([F.lit(start), *parts]))
+        margins.append(unknown if chain is F else chain.otherwise(unknown))
     return with_entries(df, "m", margins)
 
 
-def _margin_udf(nodes: pd.DataFrame, features: list[str], outputs: int, base: float):
+def _margin_udf(nodes: pd.DataFrame, features: list[str], outputs: int, base: dict[str, float]):
     """Level-by-level traversal of all trees of a fold over an Arrow batch."""
     position = {name: i for i, name in enumerate(features)}
     models = {}
@@ -82,7 +113,7 @@ def _margin_udf(nodes: pd.DataFrame, features: list[str], outputs: int, base: fl
                     tree["threshold"].to_numpy(np.float32),
                     follow("left"),
                     follow("right"),
-                    ~tree["default_left"].eq(False).to_numpy(bool),
+                    tree["default_left"].eq(True).to_numpy(bool),
                     leaf,
                     tree["leaf"].fillna(0.0).to_numpy(float),
                 )
@@ -93,8 +124,11 @@ def _margin_udf(nodes: pd.DataFrame, features: list[str], outputs: int, base: fl
     def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for pdf in batches:
             x = pdf[features].to_numpy(np.float32)
-            out = np.full((len(pdf), outputs), base, dtype=float)
-            for fold, rows in pdf.groupby("fold").indices.items():
+            out = np.zeros((len(pdf), outputs))
+            for fold, rows in pdf.groupby("fold", dropna=False).indices.items():
+                if fold not in models:
+                    raise ValueError(f"no trees for fold {fold}")
+                out[rows] = base[fold]
                 part = x[rows]
                 each = np.arange(len(rows))
                 for cls, feat, threshold, left, right, default, leaf, weight in models[fold]:
@@ -114,7 +148,7 @@ def score_trees(
     nodes: DataFrame,
     features: list[str],
     num_classes: int = 2,
-    base_score: float = 0.0,
+    base_score: float | dict[str, float] = 0.0,
     out: str = "probs",
 ) -> DataFrame:
     """Class probabilities of a gradient-boosted tree ensemble per (fold, row).
@@ -122,15 +156,13 @@ def score_trees(
     ``nodes`` is the model as a table: ``fold, tree, node, feature, threshold, left, right,
     default_left, leaf, class``; the root is node 0, leaves have no ``left``. Features compare as
     float32; a missing value takes the default branch. Two classes use one margin and a sigmoid,
-    more use one margin per class and a softmax. The model is counted before it is collected.
+    more use one margin per class and a softmax. ``base_score`` is one intercept or one per fold.
+    The model is checked before it is used, a row of a fold without trees fails the job, and small
+    and large models add their trees in the same order.
     """
-    model = nodes.select(*TREE_COLUMNS).limit(MAX_TREE_NODES + 1).toPandas()
-    if len(model) > MAX_TREE_NODES:
-        raise ValueError("tree model too large to hold in a task")
-    unknown = sorted(set(model["feature"].dropna()) - set(features))
-    if unknown:
-        raise ValueError(f"the trees use features that are not given: {unknown}")
     outputs = 1 if num_classes == 2 else num_classes
+    model = _checked_model(nodes.select(*TREE_COLUMNS).toPandas(), features, outputs)
+    base_score = _bases(base_score, sorted(model["fold"].unique()))
     if len(model) <= EXPRESSION_NODES:
         rows = model.astype(object).where(model.notna(), None).to_dict("records")
         scored = _margins_as_expressions(df, rows, outputs, base_score)
@@ -208,6 +240,17 @@ def linear_head(
     return df.withColumn(out, head(F.col(vector).cast("array<double>")))
 
 
+def erf(x: np.ndarray) -> np.ndarray:
+    """The error function by its series of positive terms, to double precision; 1 from 6 on."""
+    z = np.minimum(np.abs(x), 6.0)
+    term = z.copy()
+    sum_ = z.copy()
+    for n in range(1, 120):
+        term *= 2.0 * z * z / (2 * n + 1)
+        sum_ += term
+    return np.sign(x) * np.minimum(2.0 / np.sqrt(np.pi) * np.exp(-z * z) * sum_, 1.0)
+
+
 def gate_features(raw: Column, raw_dim: int, class_probs: list[Column], marker: Column | None, marker_dim: int) -> Column:
     """The gate's input row: scaled raw features, class probabilities, scaled marker scalars."""
     squash = lambda c: F.log1p(F.greatest(zero_if_missing(c), F.lit(0.0)))
@@ -257,15 +300,14 @@ def gate_alpha(
 
     @F.pandas_udf("double")
     def gate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        import math
-
-        erf = np.frompyfunc(math.erf, 1, 1)
         for pdf in batches:
             out = np.zeros(len(pdf))
-            for fold, rows in pdf.groupby("fold").indices.items():
+            for fold, rows in pdf.groupby("fold", dropna=False).indices.items():
+                if fold not in weights:
+                    raise ValueError(f"no gate for fold {fold}")
                 w1, b1, w2, b2 = weights[fold]
                 z = np.stack(pdf["x"].to_numpy()[rows]).astype(float) @ w1.T + b1
-                gelu = 0.5 * z * (1.0 + erf(z / math.sqrt(2.0)).astype(float))
+                gelu = 0.5 * z * (1.0 + erf(z / np.sqrt(2.0)))
                 out[rows] = 1.0 / (1.0 + np.exp(-(gelu @ w2 + b2)))
             yield pd.Series(out)
 
@@ -458,16 +500,13 @@ def _projection(projection: tuple, combine: str):
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import math
-
-        erf = np.frompyfunc(math.erf, 1, 1)
         for rows in batches:
             if not len(rows):
                 yield pd.Series([], dtype=object)
                 continue
             x = np.stack(rows.to_numpy()).astype(float) @ parts[0].T + parts[1]
             if combine == "bottleneck":
-                x = 0.5 * x * (1.0 + erf(x / math.sqrt(2.0)).astype(float))
+                x = 0.5 * x * (1.0 + erf(x / np.sqrt(2.0)))
                 x = x @ parts[2].T + parts[3]
             yield pd.Series(list(x), dtype=object)
 

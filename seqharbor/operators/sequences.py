@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,6 @@ PASS_THROUGH_MARGIN = 500
 MAX_TRIES = 50
 PIECE_TYPE = "struct<start:int,end:int>"
 MIN_GENE_SCAN_LENGTH = 100
-MAX_DISTINCT_LENGTHS = 1_000_000
 
 
 def chunk_overlap(df: DataFrame, chunk_size: int = 10000, overlap: int = 1000) -> DataFrame:
@@ -260,7 +259,7 @@ def fragment_size(length: str | Column, chunk_size: int) -> Column:
 
 
 def _batch_starts(
-    histogram: list[tuple[int, int]], batch_size: int, tolerance: int
+    histogram: Iterable[tuple[int, int]], batch_size: int, tolerance: int
 ) -> list[tuple[int, int, int]]:
     """Per length: the batch its first row goes to, and the rows already in that batch."""
     rows, batch, fill, shortest = [], -1, 0, 0
@@ -288,20 +287,13 @@ def length_bucket_batches(
     by at most ``tolerance``. Equal lengths are ordered by a seeded hash of the key.
 
     Where batches break depends on the length histogram alone. Chunk lengths are bounded by the
-    chunk size, so the histogram is small; the rows themselves are ranked by ``hash_rank``, which
+    chunk size, so the histogram is small; it is walked in order and three integers are kept for
+    each length. The rows themselves are ranked by ``hash_rank``, which
     splits the one dominant length (full chunks) over many tasks.
     """
     spark = df.sparkSession
-    counts = (
-        df.groupBy(F.col(length).alias("_l"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .orderBy("_l")
-        .limit(MAX_DISTINCT_LENGTHS + 1)
-        .collect()
-    )
-    if len(counts) > MAX_DISTINCT_LENGTHS:
-        raise ValueError("too many distinct lengths: batch chunks, not whole genomes")
-    starts = _batch_starts([(r["_l"], r["_n"]) for r in counts], batch_size, tolerance)
+    counts = df.groupBy(F.col(length).alias("_l")).agg(F.count(F.lit(1)).alias("_n")).orderBy("_l")
+    starts = _batch_starts(((r["_l"], r["_n"]) for r in counts.toLocalIterator()), batch_size, tolerance)
     plan = spark.createDataFrame(
         pd.DataFrame(starts, columns=["_l", "_batch", "_fill"]).astype("int64"),
         "_l bigint, _batch bigint, _fill bigint",

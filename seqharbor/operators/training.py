@@ -15,7 +15,6 @@ from .features import align_features
 from .genes import arch_features, gene_context, gene_table, orf_scan
 
 FOCAL_GAMMA = 2.0
-MAX_CLASSES = 10_000
 
 
 def label_index(labels: DataFrame) -> DataFrame:
@@ -29,11 +28,18 @@ def label_index(labels: DataFrame) -> DataFrame:
 
 
 def join_labels(sequences: DataFrame, labels: DataFrame, strict: bool = False) -> DataFrame:
-    """Labelled sequences. ``strict`` fails the job on a sequence without a label."""
+    """Labelled sequences. A repeated accession among the labels fails the job, as does, if
+    ``strict``, a sequence without a label."""
+    others = [c for c in labels.columns if c != "accession"]
+    twice = F.raise_error(F.concat(F.lit("two labels for "), F.col("accession"))).cast("string")
+    single = labels.groupBy("accession").agg(
+        *[F.first(c).alias(c) for c in others], F.count(F.lit(1)).alias("_times")
+    )
+    single = single.withColumn("label", F.when(F.col("_times") > 1, twice).otherwise(F.col("label"))).drop("_times")
     if not strict:
-        return sequences.join(labels, "accession")
+        return sequences.join(single, "accession")
     missing = F.raise_error(F.concat(F.lit("no label for "), F.col("accession")))
-    return sequences.join(labels, "accession", "left").withColumn(
+    return sequences.join(single, "accession", "left").withColumn(
         "label", F.coalesce("label", missing.cast("string"))
     )
 
@@ -43,13 +49,10 @@ def skipped_sequences(sequences: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def class_counts(labelled: DataFrame) -> list[tuple[str, int]]:
-    """(label, rows) by name: one small row per class on the driver, of a checked number."""
-    counts = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label")
-    rows = counts.limit(MAX_CLASSES + 1).collect()
+    """(label, rows) by name: one small row per class on the driver."""
+    rows = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()
     if not rows:
         raise ValueError("no sequence has a label")
-    if len(rows) > MAX_CLASSES:
-        raise ValueError("too many labels for a class column")
     return [(r["label"], r["n"]) for r in rows]
 
 
@@ -85,20 +88,21 @@ def split_quotas(counts: list[tuple[str, int]], test_size: float) -> dict[str, i
     return {label: n - train[label] for label, n in counts}
 
 
-def _by_label(values: dict[str, int]) -> Column:
-    pairs = [F.lit(part) for pair in values.items() for part in pair]
-    return F.element_at(F.create_map(*pairs), F.col("label"))
-
-
 def stratified_split(
     labelled: DataFrame, test_size: float = 0.2, seed: int = 42
 ) -> DataFrame:
-    """Add ``split`` = train / val, stratified by label; membership is a seeded hash order."""
+    """Add ``split`` = train / val, stratified by label; membership is a seeded hash order.
+
+    The quotas are a table with a row per class, joined by label.
+    """
     quotas = split_quotas(class_counts(labelled), test_size)
+    table = labelled.sparkSession.createDataFrame(list(quotas.items()), "_label string, _quota bigint")
     ranked = hash_rank(labelled, ["label"], "accession", seed, "_rank")
-    return ranked.withColumn(
-        "split", F.when(F.col("_rank") <= _by_label(quotas), "val").otherwise("train")
-    ).drop("_rank")
+    return (
+        ranked.join(F.broadcast(table), F.col("label") == F.col("_label"))
+        .withColumn("split", F.when(F.col("_rank") <= F.col("_quota"), "val").otherwise("train"))
+        .drop("_rank", "_label", "_quota")
+    )
 
 
 def undersample_quota(n_other: int, n_target: int, max_prop: float) -> int:

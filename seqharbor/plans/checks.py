@@ -80,10 +80,15 @@ def find_problems(spark: SparkSession, checks: list[TableCheck]) -> DataFrame:
     return result
 
 
-def validate_inputs(spark: SparkSession, checks: list[TableCheck], shown: int = 20) -> None:
-    """Raise one error that lists the problems (the first ``shown`` of them), if there are any."""
-    problems = find_problems(spark, checks).orderBy("table_name", "problem", "detail").take(shown + 1)
+def validate_inputs(spark: SparkSession, checks: list[TableCheck]) -> None:
+    """Raise one error that lists all problems, if there are any."""
+    problems = find_problems(spark, checks).orderBy("table_name", "problem", "detail").collect()
     if problems:
-        lines = [f"{p.table_name}: {p.problem} {p.detail} ({p.n_rows})" for p in problems[:shown]]
-        more = ["..."] if len(problems) > shown else []
-        raise ValueError("input checks failed:\n  " + "\n  ".join(lines + more))
+        lines = [f"{p.table_name}: {p.problem} {p.detail} ({p.n_rows})" for p in problems]
+        raise ValueError("input checks failed:\n  " + "\n  ".join(lines))
+
+
+def require_unique(sequences: DataFrame, name: str = "sequences") -> None:
+    """Fail, naming all of them, on accessions that are missing or stand twice."""
+    check = TableCheck(name, sequences.select("accession"), ["accession"], ["accession"])
+    validate_inputs(sequences.sparkSession, [check])

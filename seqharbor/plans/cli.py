@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.spread import spread
 from ..operators.ensemble import MODES, label_list
@@ -29,6 +29,7 @@ from ..sources.hits_json import write_hits_json
 from ..sources.models import load_calibration, load_marker_ref, read_fold_configs, select_folds
 from ..sources.reports import load_staged_features, stage_features, write_report
 from ..sources.tables import read_alignment_hits, read_marker_metadata
+from .checks import require_unique
 from .predict import Ensemble, protein_table, report_run, run_features, score_folds
 
 _NUMBERS = T.ArrayType(T.DoubleType())
@@ -38,6 +39,9 @@ ENSEMBLE_SCHEMA = T.StructType(
         T.StructField("domain_features", T.ArrayType(T.StringType())),
         T.StructField("host_features", T.ArrayType(T.StringType())),
         T.StructField("base_score", T.DoubleType()),
+        T.StructField("base_scores", T.MapType(T.StringType(), T.StructType(
+            [T.StructField("domain", T.DoubleType()), T.StructField("host", T.DoubleType())]
+        ))),
         T.StructField(
             "gates",
             T.MapType(
@@ -67,19 +71,30 @@ def load_ensemble(spark: SparkSession, folder: str, options: argparse.Namespace)
         name: GateWeights(g["hidden_weight"], g["hidden_bias"], g["out_weight"], g["out_bias"])
         for name, g in (spec["gates"] or {}).items()
     }
+    differing = [
+        c for c in ("label_mapping", "num_classes", "gate_marker_dim", "raw_feature_dim")
+        if configs.where(configs.fold.isin(folds)).select(F.to_json(F.struct(c))).distinct().count() > 1
+    ]
+    if differing:
+        raise ValueError(f"the folds differ in {differing}")
+    own = spec["base_scores"] or {}
+    common = spec["base_score"] or 0.0
+    base = {part: {f: own[f][part] if f in own and own[f][part] is not None else common for f in folds} for part in ("domain", "host")}
+    in_fold = F.col("fold").isin(folds)
     lists = {k: list(spec[k]) for k in ("domain_features", "host_features") if spec[k]}
     return Ensemble(
         folds=folds,
         labels=label_list(mapping, len(mapping) or first["num_classes"]),
         calibration=load_calibration(spark, options.calibration or f"{folder}/calibration.json"),
         marker_ref=load_marker_ref(spark, f"{folder}/marker_ref"),
-        domain_trees=spark.read.parquet(f"{folder}/domain_trees"),
-        host_trees=spark.read.parquet(f"{folder}/host_trees"),
+        domain_trees=spark.read.parquet(f"{folder}/domain_trees").where(in_fold),
+        host_trees=spark.read.parquet(f"{folder}/host_trees").where(in_fold),
         host_classes=list(spec["host_classes"]),
         gates=gates,
         gate_marker_dim=first["gate_marker_dim"],
         raw_feature_dim=first["raw_feature_dim"],
-        base_score=spec["base_score"] or 0.0,
+        base_score=base["domain"],
+        host_base_score=base["host"],
         **lists,
     )
 
@@ -105,20 +120,25 @@ def _features(spark: SparkSession, o: argparse.Namespace):
 def run_feature_job(spark: SparkSession, o: argparse.Namespace) -> None:
     tables = _features(spark, o)
     folder = f"{o.output}/{o.prefix}"
-    stage_features(folder, tables.arch, tables.best, tables.annotations)
-    write_report(tables.arch, f"{folder}.arch_features.tsv", o.mode)
-    write_report(tables.annotations, f"{folder}.viral_marker_genes.tsv", o.mode)
+    stage_features(folder, tables.arch, tables.best, tables.annotations, o.mode)
+    staged = [spark.read.parquet(f"{folder}/{name}") for name in ("arch_features", "hits", "annotations")]
+    write_report(staged[0], f"{folder}.arch_features.tsv", o.mode)
+    write_report(staged[2], f"{folder}.viral_marker_genes.tsv", o.mode)
     if o.hits_json:
-        write_hits_json(tables.best, f"{folder}.hits.json")
+        write_hits_json(staged[1], f"{folder}.hits.json", mode=o.mode)
 
 
 def _staged_or_new(
     spark: SparkSession, o: argparse.Namespace
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     if o.features:
-        chunks = chunk_overlap(read_fasta(spark, o.fasta), o.chunk_size, o.overlap)
+        sequences = read_fasta(spark, o.fasta)
+        require_unique(sequences)
+        chunks = chunk_overlap(sequences, o.chunk_size, o.overlap)
         index = materialize(chunks.select("genome", "accession", "chunk_len"), "chunk-index")
-        return (index, *load_staged_features(spark, o.features, index))
+        staged = load_staged_features(spark, o.features, index)
+        write_report(spark.read.parquet(f"{o.features}/annotations"), f"{o.output}/{o.prefix}.viral_marker_genes.tsv", o.mode)
+        return (index, *staged)
     tables = _features(spark, o)
     write_report(tables.annotations, f"{o.output}/{o.prefix}.viral_marker_genes.tsv", o.mode)
     return tables.chunks, tables.arch, tables.best

@@ -53,6 +53,7 @@ from ..operators.sequences import chunk_overlap
 from ..session import materialize
 from ..sources.fasta import write_protein_fasta
 from ..sources.models import Calibration
+from .checks import require_unique
 
 Search = Callable[[DataFrame], DataFrame]
 
@@ -84,8 +85,9 @@ def run_features(
     ``search`` is a table of alignment hits or a function from the protein table to one. Chunks
     feed the gene scan, the features and the sequence model, and genes feed the features and
     the search: both are written once in the shared folder. Later steps then read the columns
-    they need, not the sequence files again.
+    they need, not the sequence files again. A repeated or missing accession fails the run.
     """
+    require_unique(sequences)
     chunks = materialize(chunk_overlap(sequences, chunk_size, overlap), "chunks")
     orfs = materialize(orf_scan(chunks), "orfs")
     context = gene_context(gene_table(orfs), most_genes=most_orfs(chunk_size))
@@ -101,7 +103,8 @@ class Ensemble:
     """A trained ensemble as tables and literals.
 
     ``domain_trees`` and ``host_trees`` are node tables with a fold column. Without ``gates`` there
-    is no mixture: the sequence model alone, or the trees alone, make the score.
+    is no mixture: the sequence model alone, or the trees alone, make the score. Intercepts are one
+    number or one per fold; ``host_base_score`` is ``base_score`` unless given.
     """
 
     folds: list[str]
@@ -114,7 +117,8 @@ class Ensemble:
     gates: dict[str, GateWeights] = field(default_factory=dict)
     gate_marker_dim: int = 0
     raw_feature_dim: int = GATE_DIM
-    base_score: float = 0.0
+    base_score: float | dict[str, float] = 0.0
+    host_base_score: float | dict[str, float] | None = None
     domain_features: list[str] = field(
         default_factory=lambda: ARCH_MODEL_FEATURES + DOMAIN_MARKER_FEATURES
     )
@@ -141,6 +145,9 @@ def score_folds(
     prokaryote = prokaryote_index(ensemble.labels)
     if prokaryote is None:
         raise ValueError("tree scores need a prokaryote class")
+    ungated = sorted(set(ensemble.folds) - set(ensemble.gates)) if ensemble.gates else []
+    if ungated:
+        raise ValueError(f"no gate for folds {ungated}")
     markers = marker_features(marker_summary(chunks, best, ensemble.marker_ref, ensemble.folds))
     own = ["chunk_len", *(["genome"] if "genome" in chunks.columns else [])]
     rows = assemble_features(arch, markers).join(chunks.select("accession", *own), "accession")
@@ -162,7 +169,7 @@ def score_folds(
         ensemble.host_trees,
         ensemble.host_features,
         len(ensemble.host_classes),
-        ensemble.base_score,
+        ensemble.base_score if ensemble.host_base_score is None else ensemble.host_base_score,
         "_host_probs",
     )
     tree_probs = hierarchical_probs("_domain_probs", "_host_probs", size, prokaryote, ensemble.host_classes)
@@ -173,10 +180,14 @@ def score_folds(
     rows = rows.select("fold", "accession", *own, "n_genes", "raw", "tree_probs")
     if model_logits is None:
         return stream_fallback(rows, size, None, "tree_probs", "logits").drop("raw")
+    unscored = F.raise_error(
+        F.concat(F.lit("no model logits for "), F.col("fold"), F.lit(" "), F.col("accession"))
+    ).cast("array<double>")
     rows = rows.join(
         model_logits.select("fold", "accession", F.col("logits").alias("model_logits")),
         ["fold", "accession"],
-    )
+        "left",
+    ).withColumn("model_logits", F.coalesce("model_logits", unscored))
     if not ensemble.gates:
         return stream_fallback(rows, size, "model_logits", None, "logits").drop("raw")
     rows = rows.withColumn("marker", F.array(F.col("n_genes").cast("double")))
@@ -234,6 +245,7 @@ def export_marker_hits(
     min_identity: float = 0.0,
 ) -> DataFrame:
     """Whole sequences to best hits as Parquet, with proteins and annotations on request."""
+    require_unique(sequences)
     orfs = materialize(orf_scan(sequences), "orfs")
     proteins = protein_table(orfs)
     raw = search if isinstance(search, DataFrame) else search(proteins)

@@ -12,13 +12,13 @@ def write_report(df: DataFrame, path: str, mode: str = "error", single: bool = F
 
 
 def stage_features(
-    folder: str, arch: DataFrame, hits: DataFrame, annotations: DataFrame | None = None
+    folder: str, arch: DataFrame, hits: DataFrame, annotations: DataFrame | None = None, mode: str = "error"
 ) -> None:
     """Save what the feature job computed, for the scoring job."""
-    arch.write.parquet(f"{folder}/arch_features")
-    hits.write.parquet(f"{folder}/hits")
+    arch.write.mode(mode).parquet(f"{folder}/arch_features")
+    hits.write.mode(mode).parquet(f"{folder}/hits")
     if annotations is not None:
-        annotations.write.parquet(f"{folder}/annotations")
+        annotations.write.mode(mode).parquet(f"{folder}/annotations")
 
 
 def load_staged_features(

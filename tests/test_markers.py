@@ -1,12 +1,10 @@
 from __future__ import annotations
 
 import random
-import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from seqharbor.functions.medians import spread_median
 from seqharbor.functions.ranking import hash_rank
 from seqharbor.operators import markers as ops
 
@@ -96,26 +94,24 @@ def summary_of(spark, hits, folds=("fold_0", "fold_1")):
     return ops.marker_summary(chunks, best, ref, list(folds))
 
 
-def test_marker_features(spark, monkeypatch):
+def test_marker_features(spark):
     hits = [("c1", "k", 20.0), ("c1", "kt", 5.0), ("c1", "a", 10.0), ("c1", "f", 10.0), ("c1", "u", 1.0),
             ("c1", "none", 99.0), ("c1", "unlisted", 9.0), ("c2", "kt", 30.0), ("c2", "u", 1.0)]
-    for limit in (2_000_000, 0):
-        monkeypatch.setattr(ops, "MEDIAN_GROUP_LIMIT", limit)
-        summary = summary_of(spark, hits)
-        domain = {(r["fold"], r["accession"]): r for r in ops.domain_marker_features(summary).collect()}
-        host = {(r["fold"], r["accession"]): r for r in ops.host_marker_features(summary).collect()}
-        gate = {(r["fold"], r["accession"]): r for r in ops.gate_context(summary).collect()}
-        assert len(domain) == len(host) == len(gate) == 6
-        one = domain["fold_0", "c1"]
-        assert one["prok_marker_freq"] == 0.2 and one["euk_marker_freq"] == 0.4
-        assert one["prok_median_bitscore"] == 2.0 and one["euk_median_bitscore"] == 1.5 and one["euk_max_bitscore"] == 2.0
-        assert host["fold_0", "c1"]["protist_max_bitscore"] == 0.5 and host["fold_0", "c1"]["plant_max_bitscore"] is None
-        two = domain["fold_0", "c2"]
-        assert (two["prok_marker_freq"], two["euk_marker_freq"], two["prok_median_bitscore"]) == (0.0, 0.0, None)
-        assert host["fold_0", "c2"]["protist_marker_freq"] == 0.5
-        assert gate["fold_0", "c1"]["specific_count"] == 4.0 and gate["fold_0", "c1"]["specific_median_bitscore"] == 1.5
-        assert gate["fold_0", "c3"]["specific_count"] == 0.0 and gate["fold_0", "c3"]["specific_max_bitscore"] is None
-        assert domain["fold_1", "c1"]["euk_marker_freq"] == 1.0
+    summary = summary_of(spark, hits)
+    domain = {(r["fold"], r["accession"]): r for r in ops.domain_marker_features(summary).collect()}
+    host = {(r["fold"], r["accession"]): r for r in ops.host_marker_features(summary).collect()}
+    gate = {(r["fold"], r["accession"]): r for r in ops.gate_context(summary).collect()}
+    assert len(domain) == len(host) == len(gate) == 6
+    one = domain["fold_0", "c1"]
+    assert one["prok_marker_freq"] == 0.2 and one["euk_marker_freq"] == 0.4
+    assert one["prok_median_bitscore"] == 2.0 and one["euk_median_bitscore"] == 1.5 and one["euk_max_bitscore"] == 2.0
+    assert host["fold_0", "c1"]["protist_max_bitscore"] == 0.5 and host["fold_0", "c1"]["plant_max_bitscore"] is None
+    two = domain["fold_0", "c2"]
+    assert (two["prok_marker_freq"], two["euk_marker_freq"], two["prok_median_bitscore"]) == (0.0, 0.0, None)
+    assert host["fold_0", "c2"]["protist_marker_freq"] == 0.5
+    assert gate["fold_0", "c1"]["specific_count"] == 4.0 and gate["fold_0", "c1"]["specific_median_bitscore"] == 1.5
+    assert gate["fold_0", "c3"]["specific_count"] == 0.0 and gate["fold_0", "c3"]["specific_max_bitscore"] is None
+    assert domain["fold_1", "c1"]["euk_marker_freq"] == 1.0
 
 
 def test_missing_cutoff_fails_only_when_hit(spark):
@@ -125,17 +121,22 @@ def test_missing_cutoff_fails_only_when_hit(spark):
             ops.domain_marker_features(summary_of(spark, [("c1", marker, 1.0)])).collect()
 
 
-def test_spread_median(spark):
-    rng = random.Random(1)
-    values = [(k, float(rng.choice([1, 2, 3]) if k == 0 else rng.randint(0, 500))) for k in (0, 0, 0, 1, 2) for _ in range(77)]
-    values += [(3, 4.0), (4, None)]
-    df = spark.createDataFrame(values, "k int, v double")
-    for buckets in (2, 50):
-        found = {r["k"]: r["median"] for r in spread_median(df, ["k"], "v", buckets=buckets).collect()}
-        expected = {}
-        for k in (0, 1, 2, 3):
-            expected[k] = statistics.median([v for g, v in values if g == k])
-        assert found == expected
+def test_odd_ratios_and_no_hits(spark):
+    assert ops.domain_marker_features(summary_of(spark, [])).count() == 6
+    hits = [("c1", "k", float("nan")), ("c1", "a", float("inf")), ("c1", "f", 5.0), ("c2", "k", 7.0), ("c2", "kt", 7.0)]
+    host = {(r["fold"], r["accession"]): r for r in ops.host_marker_features(summary_of(spark, hits)).collect()}
+    assert host["fold_0", "c1"]["animal_max_bitscore"] == float("inf") and host["fold_0", "c2"]["fungi_max_bitscore"] is None
+
+
+def test_cutoffs_fail_the_families_that_use_them(spark):
+    ref = [("fold_0", "e", "E", 0.0), ("fold_0", "a", "A", 2.0)]
+    chunks = spark.createDataFrame([("c1", 100)], "accession string, chunk_len int")
+    best = spark.createDataFrame([("c1", "e", 3.0), ("c1", "a", 4.0)], "accession string, marker string, bitscore double")
+    frame = spark.createDataFrame(ref, "fold string, marker string, class_code string, cutoff double")
+    summary = ops.marker_summary(chunks, best, frame, ["fold_0"])
+    assert ops.gate_context(summary).first()["specific_max_bitscore"] == 2.0
+    with pytest.raises(Exception, match="no positive cutoff for marker e"):
+        ops.domain_marker_features(summary).collect()
 
 
 def test_hash_rank_is_a_permutation(spark):

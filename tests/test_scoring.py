@@ -42,6 +42,40 @@ def walk(nodes, x):
     return node[9]
 
 
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_models_are_checked_alike(spark, monkeypatch, limit):
+    monkeypatch.setattr(ops, "EXPRESSION_NODES", limit)
+    rng = random.Random(9)
+    good = random_tree(rng, "fold_0", 0, 0, 2, ["f0"])
+    rows = spark.createDataFrame([("fold_0", 0.5), ("fold_9", 0.5)], "fold string, f0 double")
+    score = lambda nodes, df=rows, **k: ops.score_trees(df, spark.createDataFrame(nodes, NODES), ["f0"], 2, **k).collect()
+    with pytest.raises(Exception, match="no trees for fold fold_9"):
+        score(good)
+    known = rows.where("fold = 'fold_0'")
+    bad = {
+        "default branch": [(*n[:8], None, *n[9:]) for n in good],
+        "outside 0 to 0": [(n[0], n[1], 3, *n[3:]) for n in good],
+        "no node 0": [n for n in good if n[3] != 0],
+        "child is missing": [n for n in good if n[3] != max(m[3] for m in good)],
+        "stands twice": [*good, good[-1]],
+    }
+    for words, nodes in bad.items():
+        with pytest.raises(ValueError, match=words):
+            score(nodes, known)
+    with pytest.raises(ValueError, match="no base score"):
+        score(good, known, base_score={"other": 1.0})
+    both = [*good, *[("fold_1", *n[1:]) for n in good]]
+    two = spark.createDataFrame([("fold_0", 0.5), ("fold_1", 0.5)], "fold string, f0 double")
+    found = {r["fold"]: r["probs"][1] for r in score(both, two, base_score={"fold_0": 0.0, "fold_1": 1.0})}
+    odds = {f: math.log(p / (1 - p)) for f, p in found.items()}
+    assert odds["fold_1"] - odds["fold_0"] == pytest.approx(1.0)
+
+
+def test_erf():
+    x = np.r_[np.linspace(-7, 7, 4001), 0.0, 1e-300, 40.0, -40.0]
+    assert np.abs(ops.erf(x) - [math.erf(v) for v in x]).max() < 1e-12
+
+
 @pytest.mark.parametrize("limit", [0, 10_000])
 @pytest.mark.parametrize("classes", [2, 3])
 def test_trees_equal_a_walk(spark, monkeypatch, limit, classes):
