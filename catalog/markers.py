@@ -218,15 +218,19 @@ def gate_context(spark, sf):
 
 
 K, SHARE = 12, 0.3
-SEED_CTES = {
-    "tk": f"select distinct target, substring(seq, i, {K}) kmer from (select target, seq, unnest(range(1, length(seq)-{K}+2)) i from targets) a",
-    "qk": f"select distinct query, substring(seq, i, {K}) kmer from (select query, seq, unnest(range(1, length(seq)-{K}+2)) i from queries) a",
-    "sizes": "select target, count(*) target_kmers from tk group by target",
-    "shared": "select query, target, count(*) shared from qk join tk on qk.kmer=tk.kmer group by all",
-    "seed_hits": f"""select query, s.target, shared, target_kmers, shared/target_kmers containment
-        from shared s join sizes z on s.target=z.target
-        where shared>=ceil(target_kmers*{SHARE}::double-1e-9)""",
-}
+def _seed_ctes(k: int, share: float) -> dict[str, str]:
+    return {
+        "tk": f"select distinct target, substring(seq, i, {k}) kmer from (select target, seq, unnest(range(1, length(seq)-{k}+2)) i from targets) a",
+        "qk": f"select distinct query, substring(seq, i, {k}) kmer from (select query, seq, unnest(range(1, length(seq)-{k}+2)) i from queries) a",
+        "sizes": "select target, count(*) target_kmers from tk group by target",
+        "shared": "select query, target, count(*) shared from qk join tk on qk.kmer=tk.kmer group by all",
+        "seed_hits": f"""select query, s.target, shared, target_kmers, shared/target_kmers containment
+            from shared s join sizes z on s.target=z.target
+            where shared>=ceil(target_kmers*{share}::double-1e-9)""",
+    }
+
+
+SEED_CTES = _seed_ctes(K, SHARE)
 TOP = """select * exclude (containment), {c} from (select *, (row_number() over (partition by query
     order by containment desc, shared desc, target))::int rank from seed_hits) a where rank<=3""".format(
     c=r("containment", alias="containment")
@@ -279,6 +283,57 @@ def extract_markers(spark, sf):
     return tidy(found)
 
 
+#: Proteins of ``orfs`` against the translated references, which are named like markers.
+PROTEIN_K, PROTEIN_SHARE = 3, 0.1
+PROTEIN_SEED_CTES = {
+    "queries": """select concat(accession,'_',row_number() over (partition by accession
+        order by begin_pos, end_pos, strand)) query, amino_acid_sequence seq from orfs""",
+    "targets": """select target, string_agg(aa,'' order by i) seq from (
+        select target, i, """
+    + residue_sql("substring(seq, 3*i+1, 3)")
+    + """ aa from (select replace(target,'b','m') target, seq, unnest(range(0, length(seq)//3)) i from v_references) x) y
+        group by target""",
+    **_seed_ctes(PROTEIN_K, PROTEIN_SHARE),
+    "seed_lengths": f"""select s.*, length(q.seq) qlen, length(t.seq) tlen,
+        least(shared+{PROTEIN_K - 1}, length(q.seq), length(t.seq)) span from seed_hits s
+        join queries q on q.query=s.query join targets t on t.target=s.target""",
+    "v_gene_hits": """select query, target, qlen*tlen*pow(2.0::double, -4.0::double*shared) evalue,
+        4.0::double*shared bits, qlen, tlen, 1 qstart, span qend, 1 tstart, span tend, span alnlen from seed_lengths""",
+}
+
+
+def protein_search(spark, sf):
+    """The search of a run: proteins against the translated references."""
+    targets = views.references(spark, sf).select(
+        F.regexp_replace("target", "b", "m").alias("target"), gene_ops.translate_codons("seq").alias("seq")
+    )
+
+    def search(proteins):
+        queries = proteins.select(F.col("protein_id").alias("query"), F.col("amino_acid_sequence").alias("seq"))
+        return ops.seed_alignments(queries, targets, PROTEIN_K, PROTEIN_SHARE)
+
+    return search
+
+
+MARKER_PIPELINE = f"""select regexp_replace(query,'_[^_]*$','') accession, target marker,
+    {r('max(bits)', alias='bitscore')} from v_gene_hits
+    where evalue<=1e-3 and (tend-tstart+1)/tlen::double>=0.2 and (qend-qstart+1)/qlen::double>=0
+    and target in ({VIRAL}) group by 1, 2"""
+
+
+@query(
+    "marker_pipeline",
+    sql(["v_sequences", "v_references", "v_markers"], MARKER_PIPELINE, {**ORF_CTES, **PROTEIN_SEED_CTES}),
+)
+def marker_pipeline(spark, sf):
+    """Sequences to best hits in one call: chunks, genes, proteins, own search, filter, whitelist."""
+    proteins = protein_table(orfs(spark, sf))
+    hits = protein_search(spark, sf)(proteins)
+    kept = ops.whitelist_hits(ops.filter_hits(hits, 1e-3, 0.0), ops.viral_markers(views.markers(spark, sf)))
+    long_enough = kept.where((F.col("tend") - F.col("tstart") + 1) / F.col("tlen") >= 0.2)
+    return tidy(ops.best_hits(long_enough))
+
+
 @query(
     "sequence_marker_hits",
     sql(
@@ -294,7 +349,7 @@ def extract_markers(spark, sf):
             + residue_sql("substring(seq, 3*i+1, 3)")
             + """ aa from (select target, seq, unnest(range(0, length(seq)//3)) i from v_references) x) y
                 group by target""",
-            **{k: t.replace(str(K), "6") for k, t in SEED_CTES.items()},
+            **_seed_ctes(6, SHARE),
         },
     ),
 )

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from seqharbor.operators.ensemble import combine_folds, genome_consensus
-from seqharbor.plans.predict import Ensemble, run_features, score_folds
+from seqharbor.plans.predict import Ensemble, run_features, score_folds, score_model
 
 from . import ensemble, features, genes, markers, scoring, views
 from .registry import query, tidy
 from .sequences import OVERLAP, SIZE
-from .sources import protein_hits
 from .views import CLASSES, sql
 
 RUN_FOLDS = markers.MARKER_FOLDS
@@ -18,21 +18,24 @@ SMALL_CHUNKS = {
     name: text.replace("10000", str(SIZE)) if name == "arch" else text
     for name, text in features.TREE_CTES.items()
 }
+BASES = "ACGT"
+LOGIT_WEIGHT = [[((i * 3 + j * 5) % 7 - 3) / 4 for j in range(4)] for i in range(CLASSES)]
+FOLD_WEIGHT = [0.25 * (i % 3) for i in range(CLASSES)]
 RUN_CTES = {
     **genes.ORF_CTES,
     "v_genes": """select accession, (row_number() over (partition by accession
         order by begin_pos, end_pos, strand))::int idx, begin_pos, end_pos, strand,
         length(amino_acid_sequence)::int aa_len, null::varchar motif, null::double score from orfs""",
     "v_gene_chunks": "select accession, length(seq)::int chunk_len from c",
-    "v_gene_hits": """select concat(accession,'_',idx) query,
-        concat('m',(begin_pos+aa_len)%60) target, (aa_len%12)/10000::double evalue,
-        aa_len*1.5::double bits from v_genes""",
+    **markers.PROTEIN_SEED_CTES,
     **SMALL_CHUNKS,
     "raw_rows": "select w.fold, w.accession, c.genome, g.chunk_len, w.n_genes, "
     + ", ".join(f"coalesce(w.{n},0) raw{i}" for i, n in enumerate(features.GATE_RAW))
     + ", "
     + ", ".join(
-        f"((g.chunk_len*{i + 3}+7*right(w.fold,1)::int)%11)/3::double s{i}, t.p{i} tree{i}"
+        "("
+        + "+".join(f"(length(c.seq)-length(replace(c.seq,'{base}','')))*{LOGIT_WEIGHT[i][j]}::double" for j, base in enumerate(BASES))
+        + f")/100.0::double+right(w.fold,1)::int*{FOLD_WEIGHT[i]}::double s{i}, t.p{i} tree{i}"
         for i in range(CLASSES)
     )
     + """ from wide w join class_probs t on t.fold=w.fold and t.accession=w.accession
@@ -65,22 +68,28 @@ def trained(spark, sf) -> Ensemble:
     )
 
 
+def chunk_model(fold: int):
+    """A small sequence model: linear in the base counts, with a shift per fold."""
+
+    def make_predict():
+        weight, shift = np.asarray(LOGIT_WEIGHT).T / 100.0, fold * np.asarray(FOLD_WEIGHT)
+        return lambda counts: np.asarray(counts, dtype=float) @ weight + shift
+
+    return make_predict
+
+
 def model_logits(chunks):
-    """Stands in for a sequence model: scores drawn from the chunk's length."""
-    folds = F.explode(F.array(*[F.lit(i) for i in range(len(RUN_FOLDS))]))
-    scores = [
-        ((F.col("chunk_len") * (i + 3) + 7 * F.col("f")) % 11) / F.lit(3.0) for i in range(CLASSES)
-    ]
-    return chunks.select("accession", "chunk_len", folds.alias("f")).select(
-        F.concat(F.lit("fold_"), "f").alias("fold"), "accession", F.array(*scores).alias("logits")
-    )
+    """Every chunk scored by every fold's model, in batches of like lengths."""
+    counts = F.array(*[(F.length("seq") - F.length(F.replace("seq", F.lit(b), F.lit("")))).cast("double") for b in BASES])
+    models = {fold: chunk_model(int(fold[-1])) for fold in RUN_FOLDS}
+    return score_model(chunks.withColumn("counts", counts), models, ["counts"], input_shapes=[[len(BASES)]])
 
 
-@query("genome_calls", sql(["v_sequences", "v_markers", "v_marker_ref"], ensemble.GENOMES, RUN_CTES))
+@query("genome_calls", sql(["v_sequences", "v_references", "v_markers", "v_marker_ref"], ensemble.GENOMES, RUN_CTES))
 def genome_calls(spark, sf):
-    """Chunks, genes, markers, trees, gate, mixture, fold mean, calibration, genome roll-up."""
+    """Chunks, genes, own marker search, trees, model, gate, mixture, fold mean, calibration, genome roll-up."""
     tables = run_features(
-        views.sequences(spark, sf), views.markers(spark, sf), protein_hits, SIZE, OVERLAP
+        views.sequences(spark, sf), views.markers(spark, sf), markers.protein_search(spark, sf), SIZE, OVERLAP
     )
     model = trained(spark, sf)
     scores = score_folds(tables.chunks, tables.arch, tables.best, model, model_logits(tables.chunks))

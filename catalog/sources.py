@@ -294,36 +294,18 @@ def validate_inputs(spark, sf):
     return find_problems(spark, checks)
 
 
-def protein_hits(proteins):
-    """Stands in for a search tool: hits drawn from the proteins themselves."""
-    size = F.length("amino_acid_sequence")
-    return proteins.select(
-        F.col("protein_id").alias("query"),
-        F.concat(F.lit("m"), (F.col("protein_start") + size) % 60).alias("target"),
-        ((size % 12) / F.lit(10000.0)).alias("evalue"),
-        (size * F.lit(1.5)).alias("bits"),
-        *[size.cast("bigint").alias(c) for c in ("qlen", "tlen")],
-        F.lit(1).cast("bigint").alias("qstart"),
-        size.cast("bigint").alias("qend"),
-        F.lit(1).cast("bigint").alias("tstart"),
-        size.cast("bigint").alias("tend"),
-        size.cast("bigint").alias("alnlen"),
-    )
-
-
 EXPORT_CTES = {
     **genes.ORF_CTES,
     "c": "select accession, seq from v_sequences",
-    "exported": f"""select accession, concat('m',(begin_pos+length(amino_acid_sequence))%60) marker,
-        max(length(amino_acid_sequence)*1.5::double) bitscore from orfs
-        where (length(amino_acid_sequence)%12)/10000::double<=1e-3
-        and concat('m',(begin_pos+length(amino_acid_sequence))%60) in ({markers.VIRAL}) group by 1, 2""",
+    **markers.PROTEIN_SEED_CTES,
+    "exported": f"""select regexp_replace(query,'_[^_]*$','') accession, target marker, max(bits) bitscore
+        from v_gene_hits where evalue<=1e-3 and target in ({markers.VIRAL}) group by 1, 2""",
 }
 
 
 @query(
     "export_marker_hits",
-    sql(["v_sequences", "v_markers"], f"select accession, marker, {r('bitscore', alias='bitscore')} from exported", EXPORT_CTES),
+    sql(["v_sequences", "v_references", "v_markers"], f"select accession, marker, {r('bitscore', alias='bitscore')} from exported", EXPORT_CTES),
 )
 def export_marker_hits_query(spark, sf):
     """Whole sequences from a FASTA folder to a Parquet table of best hits."""
@@ -333,7 +315,7 @@ def export_marker_hits_query(spark, sf):
         export_marker_hits(
             fasta.read_fasta(spark, source),
             views.markers(spark, sf),
-            protein_hits,
+            markers.protein_search(spark, sf),
             scratch_path(spark, "export"),
         )
     )

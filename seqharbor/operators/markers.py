@@ -322,6 +322,34 @@ def kmer_seed_hits(
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
 
 
+def seed_alignments(
+    queries: DataFrame, targets: DataFrame, k: int = 5, min_containment: float = 0.5
+) -> DataFrame:
+    """``kmer_seed_hits`` with the columns of alignment hits, so that they can be filtered like them.
+
+    A shared k-mer scores four bits, about what one matching residue is worth; the expectation is that of so many bits over both lengths, and
+    the aligned part is as long as the shared k-mers chained end to end.
+    """
+    found = kmer_seed_hits(queries, targets, k, min_containment)
+    sizes = lambda df, key, out: df.select(F.col(key), F.length("seq").cast("bigint").alias(out))
+    found = found.join(sizes(queries, "query", "qlen"), "query").join(sizes(targets, "target", "tlen"), "target")
+    bits = F.col("shared") * 4.0
+    span = F.least(F.col("shared") + F.lit(k - 1), "qlen", "tlen")
+    return found.select(
+        "query",
+        "target",
+        (F.col("qlen") * F.col("tlen") * F.pow(F.lit(2.0), -bits)).alias("evalue"),
+        bits.alias("bits"),
+        "qlen",
+        "tlen",
+        F.lit(1).cast("bigint").alias("qstart"),
+        span.alias("qend"),
+        F.lit(1).cast("bigint").alias("tstart"),
+        span.alias("tend"),
+        span.alias("alnlen"),
+    )
+
+
 def hit_summary(best: DataFrame, proteins: DataFrame | None = None) -> DataFrame:
     """One row: (sequence, marker) pairs, sequences with a hit, proteins predicted."""
     counts = best.agg(
