@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import bounded, materialize
 from .components import components
@@ -76,18 +76,25 @@ def train(sample: np.ndarray, lists: int, probes: int = PROBES, subspaces: int =
     return Quantiser(centres, slices, words, min(probes, lists))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Fixed-size binary rows of doubles as a matrix."""
-    return np.stack([np.frombuffer(v, dtype=np.float64) for v in column.to_pylist()])
+def _matrix(column: pa.Array, kind) -> np.ndarray:
+    """Rows of packed components as unit vectors in double precision."""
+    rows = np.stack([np.frombuffer(v, dtype=kind) for v in column.to_pylist()]).astype(np.float64)
+    rows /= np.abs(rows).max(axis=1)[:, None]
+    return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
+
+
+def _component_kind(vectors: DataFrame, column: str):
+    """Components travel as they are stored, singles as singles."""
+    return np.float32 if isinstance(vectors.schema[column].dataType.elementType, T.FloatType) else np.float64
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(key, class, unit): each row's vector scaled to length 1 as bytes, and a 128-bit digest of it.
+    """(key, class, packed): each row's components as bytes, and a 128-bit digest of their direction.
 
     Rows with a null key and vectors that are null, empty, zero or hold a null or non-finite
     component are left out.
     """
-    kind = vectors.schema[key].dataType.simpleString()
+    kind, store = vectors.schema[key].dataType.simpleString(), _component_kind(vectors, column)
 
     def run(batches):
         for batch in batches:
@@ -98,35 +105,35 @@ def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -
                 x = np.array(values, dtype=np.float64)
                 if not np.isfinite(x).all() or not x.any():
                     continue
-                x = x / np.abs(x).max()
                 kept.append(i)
-                units.append((x / np.sqrt(x @ x)).tobytes())
+                units.append(x.astype(store).tobytes())
+                x = x / np.abs(x).max()
                 classes.append(hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest())
             keys = batch.column(0).take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(classes, pa.binary()), pa.array(units, pa.binary())], names=[key, "class", "unit"]
+                [keys, pa.array(classes, pa.binary()), pa.array(units, pa.binary())], names=[key, "class", "packed"]
             )
 
     return vectors.select(key, column).filter(F.col(key).isNotNull()).mapInArrow(
-        run, f"`{key}` {kind}, class binary, unit binary"
+        run, f"`{key}` {kind}, class binary, packed binary"
     )
 
 
-def _fit(nodes: DataFrame, sample_rows: int, probes: int) -> Quantiser | None:
+def _fit(nodes: DataFrame, kind, sample_rows: int, probes: int) -> Quantiser | None:
     """A quantiser of at most ``sample_rows`` vectors, chosen by a hash of their digest."""
     total = nodes.count()
     if not total:
         return None
     share = min(1.0, sample_rows / total)
     picked = nodes.filter(F.pmod(F.xxhash64("class"), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30))))
-    units = picked.orderBy("class").select("unit").limit(2 * sample_rows).toArrow().column(0).combine_chunks()
+    units = picked.orderBy("class").select("packed").limit(2 * sample_rows).toArrow().column(0).combine_chunks()
     if not len(units):
-        units = nodes.select("unit").limit(1).toArrow().column(0).combine_chunks()
-    return train(_matrix(units), max(1, min(MOST_LISTS, total // LIST_ROWS)), probes)
+        units = nodes.select("packed").limit(1).toArrow().column(0).combine_chunks()
+    return train(_matrix(units, kind), max(1, min(MOST_LISTS, total // LIST_ROWS)), probes)
 
 
-def near_links(nodes: DataFrame, quantiser: Quantiser, least: float) -> tuple[DataFrame, DataFrame]:
-    """(node, links) and (node, root) of the pairs of ``nodes`` (node, copies, unit) with cosine >= ``least``.
+def near_links(nodes: DataFrame, quantiser: Quantiser, least: float, store=np.float64) -> tuple[DataFrame, DataFrame]:
+    """(node, links) and (node, root) of the pairs of ``nodes`` (node, copies, packed) with cosine >= ``least``.
 
     Every node is a member of its nearest list and visits the lists of its nearest centres. In a
     list a visitor's lookup tables give its distance to every member's code; the code's own error
@@ -144,7 +151,7 @@ def near_links(nodes: DataFrame, quantiser: Quantiser, least: float) -> tuple[Da
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(2))
+            x = _matrix(batch.column(2), store)
             near = q.coarse(x)
             codes, error = q.encode(x, near[:, 0])
             yield pa.RecordBatch.from_arrays(
@@ -153,13 +160,13 @@ def near_links(nodes: DataFrame, quantiser: Quantiser, least: float) -> tuple[Da
                     pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32())),
                     pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error),
                 ],
-                names=["node", "copies", "unit", "home", "visits", "code", "error"],
+                names=["node", "copies", "packed", "home", "visits", "code", "error"],
             )
 
     placed = materialize(
-        nodes.select("node", "copies", "unit").mapInArrow(
+        nodes.select("node", "copies", "packed").mapInArrow(
             place,
-            "node bigint, copies bigint, unit binary, home int, visits array<int>, code binary, error double",
+            "node bigint, copies bigint, packed binary, home int, visits array<int>, code binary, error double",
         ),
         "placed",
     )
@@ -167,11 +174,11 @@ def near_links(nodes: DataFrame, quantiser: Quantiser, least: float) -> tuple[Da
     blocks = F.broadcast(sizes.withColumnRenamed("home", "at"))  # at most MOST_LISTS rows
     members = placed.join(blocks, placed.home == F.col("at")).select(
         "at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"),
-        "node", "copies", "unit", "home", "visits", "code", "error",
+        "node", "copies", "packed", "home", "visits", "code", "error",
     )
     visitors = placed.withColumn("to", F.explode("visits")).join(blocks, F.col("to") == F.col("at")).select(
         "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"),
-        "node", "copies", "unit", "home", "visits", F.lit(None).cast("binary").alias("code"),
+        "node", "copies", "packed", "home", "visits", F.lit(None).cast("binary").alias("code"),
         F.lit(None).cast("double").alias("error"),
     )
     together = members.union(visitors).repartition("at", "block").sortWithinPartitions("at", "block", "kind", "node")
@@ -189,20 +196,20 @@ def near_links(nodes: DataFrame, quantiser: Quantiser, least: float) -> tuple[Da
                     held.append(part)
                 elif held and now == (at[a], block[a]):
                     for i in range(0, part.num_rows, 1024):
-                        yield from _measure(q, int(at[a]), held, part.slice(i, 1024), least, reach)
+                        yield from _measure(q, int(at[a]), held, part.slice(i, 1024), least, reach, store)
 
     found = materialize(together.mapInArrow(run, "node bigint, links bigint, root bigint"), "near-links")
     links = found.filter("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     return links, found.filter("root <> node").select("node", "root")
 
 
-def _measure(q: Quantiser, at: int, held: list[pa.RecordBatch], part: pa.RecordBatch, least: float, reach: float):
+def _measure(q: Quantiser, at: int, held: list, part: pa.RecordBatch, least: float, reach: float, kind):
     if len(held) > 1:
         held[:] = [pa.Table.from_batches(held).combine_chunks().to_batches()[0]]
     group = held[0]
     mine, theirs = group.column(3).to_numpy(), part.column(3).to_numpy()
     codes = np.stack([np.frombuffer(c, dtype=np.uint8) for c in group.column(8).to_pylist()])
-    x, y = _matrix(part.column(5)), _matrix(group.column(5))
+    x, y = _matrix(part.column(5), kind), _matrix(group.column(5), kind)
     square = np.zeros((len(theirs), len(mine)))
     for i, lookup in enumerate(q.tables(x, at)):
         square += lookup[:, codes[:, i]]
@@ -241,20 +248,21 @@ def near_vectors(
     rows that repeat a key are vectors of their own.
     """
     bounded(vectors.sparkSession)
+    kind = _component_kind(vectors, column)
     rows = materialize(usable(vectors, key, column), "units")
-    lengths = rows.groupBy(F.octet_length("unit").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    rows = rows.filter(F.octet_length("unit") == (lengths["size"] if lengths else 0))
+    lengths = rows.groupBy(F.octet_length("packed").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    rows = rows.filter(F.octet_length("packed") == (lengths["size"] if lengths else 0))
     nodes = materialize(
         rows.groupBy("class").agg(
-            F.min(key).cast("long").alias("node"), F.count("*").alias("copies"), F.min("unit").alias("unit")
+            F.min(key).cast("long").alias("node"), F.count("*").alias("copies"), F.min("packed").alias("packed")
         ),
         "classes",
     )
-    quantiser = _fit(nodes, sample_rows, probes)
+    quantiser = _fit(nodes, kind, sample_rows, probes)
     plain = vectors.select(key)
     if quantiser is None:
         return plain.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    links, edges = near_links(nodes, quantiser, least)
+    links, edges = near_links(nodes, quantiser, least, kind)
     roots = materialize(components(edges), "roots").withColumnRenamed("node", "of")
     judged = materialize(
         nodes.join(links.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
