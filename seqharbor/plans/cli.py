@@ -23,7 +23,7 @@ from ..operators.genes import orf_scan
 from ..operators.markers import marker_features, marker_summary
 from ..operators.scoring import GateWeights
 from ..operators.sequences import chunk_overlap
-from ..session import build_session, materialize
+from ..session import build_session, materialize, scratch_run
 from ..sources.fasta import read_fasta, write_protein_fasta
 from ..sources.hits_json import write_hits_json
 from ..sources.models import load_calibration, load_marker_ref, read_fold_configs, select_folds
@@ -205,4 +205,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if options.job != "proteins" and not getattr(options, "features", None):
         if not (options.hits and options.metadata):
             top.error("--hits and --metadata are needed without staged features")
-    options.run(spark or build_session(), options)
+    spark = spark or build_session()
+    with scratch_run(spark, options.job):
+        options.run(spark, options)

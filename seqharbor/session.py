@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +26,9 @@ DEFAULT_CONF = {
 }
 
 
+_RUN_FOLDER: ContextVar[str | None] = ContextVar("run_folder", default=None)
+
+
 def build_session(app: str = "seqharbor", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -42,15 +48,33 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="run-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+@contextmanager
+def scratch_run(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """Keep all scratch tables of a job in one shared folder, which is removed when the job ends.
+
+    Frames that read them must be written before.
+    """
+    folder = f"{shared_root(spark)}/seqharbor-{name}-{uuid.uuid4().hex}"
+    token = _RUN_FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN_FOLDER.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/seqharbor-{name}-{uuid.uuid4().hex}"
+    root = _RUN_FOLDER.get() or shared_root(spark)
+    return f"{root}/seqharbor-{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
