@@ -252,9 +252,11 @@ def gate_context(summary: DataFrame) -> DataFrame:
 
 
 def _kmers(df: DataFrame, key: str, seq: str, k: int, out: str) -> DataFrame:
-    """Distinct k-mers of each sequence, found inside its row; letter runs with N are kept."""
-    every = F.regexp_extract_all(F.col(seq), F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
-    return df.select(F.col(key).alias(out), F.explode(F.array_distinct(every)).alias("kmer"))
+    """Every k-mer of each sequence at its place, cut from bytes; no row holds those of a sequence."""
+    data = df.select(F.col(key).alias(out), F.col(seq).cast("binary").alias("_s"))
+    starts = F.sequence(F.lit(1), F.octet_length("_s") - F.lit(k - 1))
+    placed = data.where(F.octet_length("_s") >= k).select(out, "_s", F.explode(starts).alias("_i"))
+    return placed.select(out, F.expr(f"cast(substring(_s, _i, {k}) as string)").alias("kmer"))
 
 
 def kmer_seed_hits(
@@ -268,13 +270,13 @@ def kmer_seed_hits(
 
     ``queries(query, seq)``, ``targets(target, seq)``. Exact. A target with n k-mers must share
     r = ceil(min_containment * n), so any query reaching it holds one of its n - r + 1 rarest
-    k-mers, and r target k-mers in all: only such pairs are candidates, which are then counted in
-    full. A k-mer that sits in a third of all queries therefore makes no pairs unless a target has
-    little else.
+    k-mers, and r target k-mers in all: only such pairs are candidates, which are then counted by
+    the target's k-mers. A k-mer that sits in a third of all queries therefore makes no pairs unless
+    a target has little else.
     """
     if not 0 < min_containment <= 1:
         raise ValueError("min_containment must be in (0, 1]")
-    seeds = materialize(_kmers(targets, "target", "seq", k, "target"), "target-kmers")
+    seeds = materialize(_kmers(targets, "target", "seq", k, "target").distinct(), "target-kmers")
     sizes = seeds.groupBy("target").agg(
         F.count(F.lit(1)).alias("target_kmers"),
         F.ceil(F.count(F.lit(1)) * F.lit(float(min_containment)) - F.lit(1e-9)).alias("needed"),
@@ -282,7 +284,7 @@ def kmer_seed_hits(
     present = materialize(
         _kmers(queries, "query", "seq", k, "query").join(
             seeds.select("kmer").distinct(), "kmer", "left_semi"
-        ),
+        ).distinct(),
         "query-kmers",
     )
     frequency = present.groupBy("kmer").agg(F.count(F.lit(1)).alias("_f"))
@@ -302,8 +304,8 @@ def kmer_seed_hits(
         .distinct()
     )
     hits = (
-        pairs.join(present, "query")
-        .join(seeds, ["target", "kmer"])
+        pairs.join(seeds, "target")
+        .join(present, ["query", "kmer"])
         .groupBy("query", "target")
         .agg(F.count(F.lit(1)).alias("shared"))
         .join(sizes, "target")
