@@ -58,6 +58,11 @@ ANNOTATION_COLUMNS = [
     "query_coverage", "target_coverage",
 ]
 
+# The name of a chunk without a class, and the columns of the genome and chunk reports.
+UNASSIGNED = "Unassigned"
+GENOME_COLUMNS = ["genome", "predicted_domain", "domain_confidence", "predicted_host", "confidence"]
+CHUNK_DOMAIN_COLUMNS = ["prokaryote_score", "eukaryote_score", "predicted_domain", "domain_confidence"]
+
 # Class labels that are shown under another name.
 LABEL_RENAMES = {"Metazoa (All Animals)": "Animal", "Viridiplantae (Plants)": "Plant"}
 

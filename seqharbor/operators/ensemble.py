@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..constants import LABEL_RENAMES
+from ..constants import CHUNK_DOMAIN_COLUMNS, GENOME_COLUMNS, LABEL_RENAMES, UNASSIGNED
 from ..functions.scalars import first_argmax, largest, round_half_even, total
 from ..functions.vectors import entries, names, pack, with_entries, with_softmax
 from ..sources.models import Calibration
 from .calibration import DIGITS, calibrate
 from .sequences import genome_id
 
-UNASSIGNED = "Unassigned"
 MODES = ("logit", "probability", "entropy")
 
 
@@ -180,9 +179,8 @@ def genome_consensus(
     )
     mean = pack(grouped.drop("_sum"), "a", size, "probs")
     called = domain_call(resolve_conflict(call_class(mean, labels), labels), labels)
-    shown = ["genome", "predicted_domain", "domain_confidence", "predicted_host", "confidence"]
     report = called.withColumn("confidence", round_half_even(F.col("confidence"), DIGITS)).select(
-        *[c for c in shown if c in called.columns]
+        *[c for c in GENOME_COLUMNS if c in called.columns]
     )
     return report.orderBy("genome") if ordered else report
 
@@ -253,13 +251,12 @@ def model_scores_report(fold_probs: DataFrame, labels: list[str]) -> DataFrame:
 
 def chunk_report(called: DataFrame, labels: list[str], ordered: bool = True) -> DataFrame:
     """Chunk predictions, without the internal weight."""
-    domain = ["prokaryote_score", "eukaryote_score", "predicted_domain", "domain_confidence"]
     report = called.select(
         "accession",
         "predicted_host",
         "confidence",
         *_class_columns(labels),
-        *[c for c in domain if c in called.columns],
+        *[c for c in CHUNK_DOMAIN_COLUMNS if c in called.columns],
     )
     return report.orderBy("accession") if ordered else report
 

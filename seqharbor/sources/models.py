@@ -81,8 +81,8 @@ FOLD_NUMBER = r"fold_(\d+)$"
 def load_folds(manifest: DataFrame) -> DataFrame:
     """Fold names in numeric order; names without a number come last."""
     number = F.regexp_extract("fold", FOLD_NUMBER, 1)
-    position = F.when(number != "", number.cast("int")).otherwise(F.lit(10**9))
-    return manifest.where(F.col("fold").startswith("fold_")).orderBy(position, "fold")
+    position = F.when(number != "", number.cast("int"))
+    return manifest.where(F.col("fold").startswith("fold_")).orderBy(position.asc_nulls_last(), "fold")
 
 
 def select_folds(
