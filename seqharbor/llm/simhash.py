@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import bounded, materialize, slices_by_bytes
 from .components import components
 
-GROUP_ROWS = 2048
+GROUP_ROWS = 16_384
 FRONTIER = 400_000
 _LANES = 255  # rows that byte-wide counters can add up
 
@@ -210,7 +210,7 @@ def trie_links(
         rows = materialize(dealt.join(large, "cell", "left_semi").select("fp", "guard", "mask"), "large-rows")
 
     def run(batches):
-        for fps, guards, groups in _whole_groups(batches, 8 * GROUP_ROWS):
+        for fps, guards, groups in _whole_groups(batches, 2 * GROUP_ROWS):
             order = np.lexsort((fps, groups))
             fps, guards, groups = fps[order], guards[order], groups[order]
             root = trie_roots(fps, groups, budget, guards if guard_budget < 64 else None, guard_budget)
