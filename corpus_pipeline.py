@@ -43,7 +43,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     name = free_prefix(docs, "kept_")
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name))
     kept = materialize(kept.distinct(), "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+    # the ids grow with the corpus: never broadcast, however few they are
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
