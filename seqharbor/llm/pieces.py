@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from .common import bounded, sha256
 
 SPACE = "▁"
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 250_000
 LONGEST_KEPT = 64
 _CHUNK = re.compile(f"[ {SPACE}]+[^ {SPACE}]*")
 
