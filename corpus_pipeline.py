@@ -5,11 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqharbor.llm import decontaminate, lines, pieces, simhash, toxicity
+from seqharbor.llm import decontaminate, lines, near_copies, pieces, toxicity
 from seqharbor.llm.common import free_prefix, materialize, table
 
 REJECTED = 0.5
-NEAR_WORDS, NEAR_BITS, NEAR_BLOCKS, NEAR_GUARD = 5, 7, 9, 16
+NEAR_WORDS = 5
 
 
 def _measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -35,13 +35,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id.
 
-    Shingles of five words; at most 7 of 64 bits differ (a similarity of 0.89), and at most 16 of a
-    second fingerprint. Rows that share an id are one document and stay or go together; documents
-    without an id stay unless one with an id is like them.
+    Copies are linked by an exact Jaccard similarity of 0.8 or more of their five-word shingles.
+    Rows that share an id are one document and stay or go together; documents without an id stay
+    unless one with an id is like them.
     """
-    groups = simhash.simhash_components(docs, NEAR_WORDS, NEAR_BITS, NEAR_BLOCKS, NEAR_GUARD)
+    groups = near_copies.near_components(docs, NEAR_WORDS)
     name = free_prefix(docs, "kept_")
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name))
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component.id"))).select(F.col("doc_id").alias(name))
     kept = materialize(kept.distinct(), "kept")
     # the ids grow with the corpus: never broadcast, however few they are
     return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

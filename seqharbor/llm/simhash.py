@@ -158,10 +158,13 @@ def _signed(bits: list[int]) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _cut(rows: DataFrame, masks: list[tuple[int, list[int]]], budget: int, blocks: int) -> tuple[DataFrame, list]:
+def _cut(
+    rows: DataFrame, masks: list[tuple[int, list[int]]], budget: int, blocks: int, also: list[str]
+) -> tuple[DataFrame, list]:
     """Rows (fp, guard, mask) dealt to the block choices that their mask leaves open: (fp, guard, mask, cell).
 
     A cell is one value of the chosen bits, by a hash; two values in one cell only mean more to compare.
+    ``also`` are further columns to keep; a ``seed`` among them has cells of its own.
     """
     new, branches = [], []
     for number, fixed in masks:
@@ -175,13 +178,14 @@ def _cut(rows: DataFrame, masks: list[tuple[int, list[int]]], budget: int, block
     ])
     if len(masks) > 1:
         options = F.filter(options, lambda o: o.was == F.col("mask"))
-    dealt = rows.select("fp", "guard", F.explode(options).alias("o"))
-    cell = F.xxhash64("o.mask", F.col("fp").bitwiseAND(F.col("o.bits")))
-    return dealt.select("fp", "guard", F.col("o.mask").alias("mask"), cell.alias("cell")), new
+    dealt = rows.select("fp", "guard", *also, F.explode(options).alias("o"))
+    cell = F.xxhash64("o.mask", F.col("fp").bitwiseAND(F.col("o.bits")), *[c for c in also if c == "seed"])
+    return dealt.select("fp", "guard", *also, F.col("o.mask").alias("mask"), cell.alias("cell")), new
 
 
 def trie_links(
-    nodes: DataFrame, budget: int = 2, blocks: int | None = None, guard_budget: int = 64, group_rows: int = GROUP_ROWS
+    nodes: DataFrame, budget: int = 2, blocks: int | None = None, guard_budget: int = 64, group_rows: int = GROUP_ROWS,
+    agree: int | None = None,
 ) -> DataFrame:
     """(fp, root): for the distinct fingerprints of ``nodes``, links that connect the same components
     as all pairs within ``budget`` differing bits.
@@ -192,12 +196,20 @@ def trie_links(
     parallel. A subtrie of more than ``group_rows`` fingerprints is cut again on its open bits,
     twice at most, when few enough are open to bound it. A task emits a fingerprint and the
     first one of its component in that subtrie, never all pairs.
+
+    With ``agree``, pairs must agree on that many blocks at first, whatever the budget. Rows with
+    ``node`` and ``seed`` give (node, root) instead: only fingerprints of one seed are linked, and
+    equal ones may belong to several nodes.
     """
+    also = [c for c in ("node", "seed") if c in nodes.columns]
     guard = F.col("guard") if guard_budget < 64 else F.lit(0).cast("long").alias("guard")
-    rows, masks = nodes.select("fp", guard).withColumn("mask", F.lit(0)), [(0, [])]
+    rows, masks = nodes.select("fp", guard, *also).withColumn("mask", F.lit(0)), [(0, [])]
     found, blocks = [], blocks or budget + 1
     for level in range(3):
-        dealt, masks = _cut(rows, masks, budget, budget + 1 if level else blocks)
+        if level or agree is None:
+            dealt, masks = _cut(rows, masks, budget, budget + 1 if level else blocks, also)
+        else:
+            dealt, masks = _cut(rows, masks, blocks - agree, blocks, also)
         if level == 2:
             found.append(dealt)
             break
@@ -207,32 +219,37 @@ def trie_links(
             found.append(dealt)
             break
         found.append(dealt.join(large, "cell", "left_anti"))
-        rows = materialize(dealt.join(large, "cell", "left_semi").select("fp", "guard", "mask"), "large-rows")
+        rows = materialize(dealt.join(large, "cell", "left_semi").select("fp", "guard", *also, "mask"), "large-rows")
 
     def run(batches):
-        for fps, guards, groups in _whole_groups(batches, 2 * GROUP_ROWS):
+        for fps, guards, groups, *ids in _whole_groups(batches, 2 * GROUP_ROWS):
             order = np.lexsort((fps, groups))
             fps, guards, groups = fps[order], guards[order], groups[order]
-            root = trie_roots(fps, groups, budget, guards if guard_budget < 64 else None, guard_budget)
+            names = ids[0][order] if ids else fps.view(np.int64)
+            new = np.r_[True, (fps[1:] != fps[:-1]) | (groups[1:] != groups[:-1])][: len(fps)]
+            firsts = np.flatnonzero(new)
+            found = trie_roots(
+                fps[firsts], groups[firsts], budget, guards[firsts] if guard_budget < 64 else None, guard_budget
+            )
+            root = firsts[found][np.cumsum(new) - 1]
             moved = np.flatnonzero(root != np.arange(len(fps)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(fps[moved].view(np.int64)), pa.array(fps[root[moved]].view(np.int64))],
-                names=["fp", "root"],
+                [pa.array(names[moved]), pa.array(names[root[moved]])], names=[name, "root"]
             )
 
-    out = None
+    out, name = None, "node" if also else "fp"
     for part in found:
-        placed = part.select("fp", "guard", "cell").repartition("cell").sortWithinPartitions("cell")
-        links = placed.mapInArrow(run, "fp bigint, root bigint")
+        placed = part.select("fp", "guard", "cell", *also[:1]).repartition("cell").sortWithinPartitions("cell")
+        links = placed.mapInArrow(run, f"{name} bigint, root bigint")
         out = links if out is None else out.union(links)
     return out
 
 
 def _whole_groups(batches, rows: int):
-    """Rows sorted by cell as slices of whole cells of about ``rows`` rows: (fp, guard, number of the cell)."""
+    """Rows sorted by cell as slices of whole cells of about ``rows`` rows: (fp, guard, number of the cell, others)."""
     held, size = [], 0
     for batch in batches:
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
         held.append(columns)
         size += len(columns[0])
         if size >= rows:
@@ -245,9 +262,9 @@ def _whole_groups(batches, rows: int):
         yield _numbered(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def _numbered(fp, guard, cell):
+def _numbered(fp, guard, cell, *others):
     unsigned = [np.ascontiguousarray(x, dtype=np.int64).view(np.uint64) for x in (fp, guard)]
-    return *unsigned, np.cumsum(np.r_[False, cell[1:] != cell[:-1]])
+    return *unsigned, np.cumsum(np.r_[False, cell[1:] != cell[:-1]]), *others
 
 
 def simhash_components(
