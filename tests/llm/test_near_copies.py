@@ -92,3 +92,14 @@ def test_sides_and_thresholds():
     assert near_copies.similar(sets, both).tolist() == [0, 0, 0, 3, 4]
     assert near_copies.similar([sets[1], sets[2]], both[:2]).tolist() == [0, 1]
     assert near_copies.similar(sets[:3], np.array([0, 1, 0])).tolist() == [0, 0, 2]
+
+
+def test_rows_are_known_by_id_and_text(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"w{rng.randrange(50000)}" for _ in range(100)) for _ in range(4))
+    rows = [(None, a), (None, a + " more"), (None, b), (5, b + " more"), (6, c), (7, c + " more"), (7, d), (8, d)]
+    left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    kept = sorted([tuple(r) for r in left], key=repr)
+    lone = [r for r in kept if r[0] is None]
+    assert len(lone) == 1 and lone[0][1] in (a, a + " more")
+    assert [r for r in kept if r[0] is not None] == [(5, b + " more"), (6, c), (7, d)]
