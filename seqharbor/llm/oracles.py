@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from .licenses import CERTAINTY, RULES
+
 DECONTAMINATE = r"""
 with dw as (
   select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -84,3 +86,51 @@ select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as
   sha256(coalesce(kept.text, '')) as kept_sha256
 from w left join kept using (doc_id)
 """
+
+_RULE_ROWS = ",\n  ".join(
+    f"('{r.keyword}', '{r.also or r.keyword}', '({r.pattern})', {r.tier}, {i}, '{r.label}')" for i, r in enumerate(RULES)
+)
+
+LICENSES = rf"""
+with rules(keyword, also, pattern, tier, rule, label) as (values
+  {_RULE_ROWS}
+), sure(tier, value) as (values {", ".join(f"({i}, {x}::double)" for i, x in enumerate(CERTAINTY))}), w as (
+  select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
+), phrases(words, said) as (values
+  (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')
+), base as (
+  select r, i - 1 as start, said from (select r, ws, unnest(range(1, len(ws) + 1)) as i from w), phrases
+  where ws[i : i + len(words) - 1] = words
+), line as (
+  select r, ' ' || array_to_string(ws, '  ') || ' ' as line from w where len(ws) > 0
+), tried as (
+  select r, tier, rule, label,
+    regexp_replace(line, pattern, ' ' || chr(1) || ' \1 ' || chr(2) || ' ', 'g') as m
+  from line join rules on contains(line, keyword) and contains(line, also) where regexp_matches(line, pattern)
+), marked as (
+  select r, tier, rule, label, string_split(substr(m, 2, len(m) - 2), '  ') as t from tried
+), place as (
+  select r, tier, rule, label,
+    unnest(list_transform(list_filter(list_transform(t, lambda x, i: case when x = chr(1) then i end),
+      lambda p: p is not null), lambda p, k: p + 1 - 2 * k)) as s,
+    unnest(list_transform(list_filter(list_transform(t, lambda x, i: case when x = chr(2) then i end),
+      lambda p: p is not null), lambda p, k: p - 2 * k)) as e
+  from marked
+), kept as (
+  select r, tier, label from place p where not exists (
+    select 1 from place q where q.r = p.r and q.s <= p.s and q.e >= p.e and (
+      q.tier < p.tier or (q.tier = p.tier and (q.e - q.s > p.e - p.s or q.rule < p.rule))))
+), stated as (
+  select r, count(*) as n, min(start) as a, max(start) as b, array_to_string(list_sort(list_distinct(list(said))), ',') as said
+  from base group by r
+), every as (
+  select r, array_to_string(list_sort(list_distinct(list(label))), ',') as labels
+  from (select r, label from kept union all select r, said from base) group by r
+), best as (select r, max(value) as value from kept join sure using (tier) group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_base, a::bigint as first_word, b::bigint as last_word,
+  coalesce(said, '') as base_labels, coalesce(labels, '') as labels,
+  greatest(coalesce(value, 0), case when n > 0 then {CERTAINTY[-1]} else 0 end)::double as score
+from w left join stated using (r) left join every using (r) left join best using (r)
+"""

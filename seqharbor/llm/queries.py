@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import context_trees, decontaminate, embeddings, lines, oracles, pieces, simhash, substrings, token_counts, toxicity, urls
+from . import context_trees, decontaminate, embeddings, licenses, lines, oracles, pieces, simhash, substrings, token_counts, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracles.SUBSTRINGS)
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed_words(table(spark, sf_dir, "documents"))
+
+
+@query(oracles.LICENSES)
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")))
