@@ -134,3 +134,28 @@ select doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_base, a::
   greatest(coalesce(value, 0), case when n > 0 then {CERTAINTY[-1]} else 0 end)::double as score
 from w left join stated using (r) left join every using (r) left join best using (r)
 """
+
+RANKED = r"""
+with d as (
+  select doc_id, row_number() over () as r, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) as ws from documents
+), size as (
+  select count(*)::bigint as nn, sum(len(ws))::bigint as ll from d where len(ws) > 0
+), q as (
+  select distinct item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark
+), tf as (
+  select r, doc_id, term, count(*)::bigint as tf, any_value(n)::bigint as n
+  from (select r, doc_id, len(ws) as n, unnest(ws) as term from d) where term in (select term from q) group by 1, 2, 3
+), df as (
+  select term, floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, size group by term, nn
+), score as (
+  select item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::bigint as score
+  from q join df using (term) join tf using (term), size group by 1, 2, 3
+)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from score where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 50
+"""
