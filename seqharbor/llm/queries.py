@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import context_trees, decontaminate, embeddings, licenses, lines, oracles, pieces, ranked, simhash, substrings, token_counts, toxicity, urls
+from . import context_trees, decontaminate, embeddings, licenses, lines, oracles, periods, pieces, ranked, simhash, substrings, token_counts, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,9 @@ def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracles.RANKED)
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periods.with_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periods.run_digest(periods.find_runs(docs))
