@@ -19,6 +19,7 @@ MOST_LISTS = 2048
 PROBES = 16
 SUBSPACES, CODES = 8, 256
 BLOCK_ROWS = 1024
+DEALT = 32
 
 
 @dataclass
@@ -119,11 +120,9 @@ def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -
     )
 
 
-def _fit(nodes: DataFrame, kind, sample_rows: int, probes: int) -> Quantiser | None:
+def _fit(nodes: DataFrame, kind, sample_rows: int, probes: int) -> Quantiser:
     """A quantiser of at most ``sample_rows`` vectors, chosen by a hash of their digest."""
     total = nodes.count()
-    if not total:
-        return None
     share = min(1.0, sample_rows / total)
     picked = nodes.filter(F.pmod(F.xxhash64("class"), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30))))
     units = picked.orderBy("class").select("packed").limit(2 * sample_rows).toArrow().column(0).combine_chunks()
@@ -242,41 +241,64 @@ def near_vectors(
 ) -> DataFrame:
     """(key, n_links, component_id, kept), a row for each row of ``vectors``.
 
-    Vectors are linked by a cosine of at least ``least``. Equal directions are one class with
-    a count, so copies are never paired. Rows without a usable vector and rows with a null key
-    have no links and stay; vectors of another length than most have none either. Keys are longs;
-    rows that repeat a key are vectors of their own.
+    Vectors are linked by a cosine of at least ``least``; vectors of different length never are. Equal
+    directions are one class with a count, so copies are never paired. Rows without a usable vector and rows with a null key
+    have no links and stay. Keys are longs; rows that repeat a key are vectors of their own, each
+    with its own links and component. One quantiser is fitted and one search made for each length.
     """
     bounded(vectors.sparkSession)
     kind = _component_kind(vectors, column)
     rows = materialize(usable(vectors, key, column), "units")
-    lengths = rows.groupBy(F.octet_length("packed").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    rows = rows.filter(F.octet_length("packed") == (lengths["size"] if lengths else 0))
+    classes = rows.groupBy("class").agg(
+        F.min(key).cast("long").alias("first"), F.count("*").alias("copies"), F.min("packed").alias("packed")
+    )
+    # numbered in the order of the smallest key: the smallest number of a component has its smallest key
     nodes = materialize(
-        rows.groupBy("class").agg(
-            F.min(key).cast("long").alias("node"), F.count("*").alias("copies"), F.min("packed").alias("packed")
-        ),
-        "classes",
+        classes.orderBy("first", "class").withColumn("node", F.monotonically_increasing_id()), "classes"
     )
-    quantiser = _fit(nodes, kind, sample_rows, probes)
-    plain = vectors.select(key)
-    if quantiser is None:
-        return plain.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    links, edges = near_links(nodes, quantiser, least, kind)
-    roots = materialize(components(edges), "roots").withColumnRenamed("node", "of")
+    size = F.octet_length("packed")
+    lengths = nodes.groupBy(size.alias("size")).count().filter("count > 1").collect()
+    links = edges = None
+    for found in sorted(lengths):
+        same = nodes.filter(size == found["size"])
+        here, joined = near_links(same, _fit(same, kind, sample_rows, probes), least, kind)
+        links = here if links is None else links.union(here)
+        edges = joined if edges is None else edges.union(joined)
+    judged = nodes.select("class", "copies", "first", F.lit(0).cast("long").alias("links"))
+    if links is not None:
+        judged = _judged(nodes, links, edges)
     judged = materialize(
-        nodes.join(links.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
-        .join(roots, F.col("node") == F.col("of"), "left")
-        .select(
-            F.col("class").alias("known"),
-            (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-            F.coalesce("root", "node").alias("component_id"),
+        judged.select(
+            F.col("class").alias("known"), (F.col("copies") - 1 + F.col("links")).alias("n_links"),
+            F.col("first").alias("component_id"),
         ),
         "judged",
     )
     named = rows.select(key, "class").join(judged, F.col("class") == F.col("known")).select(key, "n_links", "component_id")
-    taken = materialize(rows.select(F.col(key).alias("taken")).distinct(), "taken")
-    rest = plain.join(taken, F.col(key) == F.col("taken"), "left_anti").select(
+    rest = _unusable(vectors, key, column).select(
         key, F.lit(0).cast("long").alias("n_links"), F.col(key).cast("long").alias("component_id")
     )
     return named.union(rest).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+
+
+def _judged(nodes: DataFrame, links: DataFrame, edges: DataFrame) -> DataFrame:
+    """(class, copies, first, links) with the first key of the class's component."""
+    roots = materialize(components(edges), "roots").withColumnRenamed("node", "of")
+    firsts = roots.select(F.col("root").alias("top")).distinct().join(nodes.select("node", "first"), F.col("top") == F.col("node"))
+    # a component may hold a third of all classes: its members are dealt over as many copies of its first key
+    copies = firsts.select("top", F.col("first").alias("top_first"), F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("at"))
+    dealt = roots.withColumn("part", F.pmod(F.xxhash64("of"), F.lit(DEALT)))
+    known = dealt.join(copies, (F.col("root") == F.col("top")) & (F.col("part") == F.col("at"))).select("of", "top_first")
+    return (
+        nodes.drop("packed").join(links.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+        .join(known, F.col("node") == F.col("of"), "left")
+        .select("class", "copies", F.coalesce("top_first", "first").alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
+    )
+
+
+def _unusable(vectors: DataFrame, key: str, column: str) -> DataFrame:
+    """The rows that ``usable`` leaves out, judged by the same rules in place."""
+    x = F.col(column)
+    odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    fine = (F.size(x) > 0) & ~F.exists(x, odd) & F.exists(x, lambda v: v != 0)
+    return vectors.filter(F.col(key).isNull() | ~F.coalesce(fine, F.lit(False)))

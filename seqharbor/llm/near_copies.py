@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded, materialize, slices_by_bytes
+from .common import bounded, free_prefix, materialize, slices_by_bytes
 from .components import components
 from .simhash import join_roots, majority_bits, shingle_hashes, trie_links
 
@@ -15,6 +15,7 @@ SEEDS = 16  # four blocks of 16 bits each: at a similarity of 0.8 one of the 64
 BITS, GUARD = 14, 18
 BLOCK = 512
 _COLUMNS = 4096
+DEALT = 32
 _PRINTS = [f"f{s}" for s in range(SEEDS)]
 
 
@@ -34,25 +35,33 @@ def text_key(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
-def sketches(docs: DataFrame, words: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, tk, node, f0 ...): the text's hash, its shingle set's hash and a fingerprint of the set per seed."""
-    bounded(docs.sparkSession)
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` as a written table whose rows have a number: equal rows can be told apart by it."""
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+
+
+def sketches(rows: DataFrame, words: int) -> DataFrame:
+    """(row, key, tk, node, f0 ...) of rows (row, key, text).
+
+    ``tk`` is the text's hash, ``node`` the hash of its shingle set, f0 ... a fingerprint of the set per seed.
+    """
+    bounded(rows.sparkSession)
 
     def run(batches):
-        for part, texts in slices_by_bytes(batches, text, 2 << 20):
+        for part, texts in slices_by_bytes(batches, "text", 2 << 20):
             sets = [shingle_set(t, words) for t in texts]
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             hashes = np.concatenate(sets)
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64)
             prints = [majority_bits(seeded(hashes, s), sizes) for s in range(SEEDS)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), *[pa.array(x.view(np.int64)) for x in (nodes, *prints)]],
-                names=[key, "tk", "node", *_PRINTS],
+                [*(part.column(i) for i in range(3)), *[pa.array(x.view(np.int64)) for x in (nodes, *prints)]],
+                names=["row", "key", "tk", "node", *_PRINTS],
             )
 
-    kind = docs.schema[key].dataType.simpleString()
+    kind = rows.schema["key"].dataType.simpleString()
     columns = ", ".join(f"{c} bigint" for c in ("tk", "node", *_PRINTS))
-    return docs.select(key, text, text_key(text).alias("tk")).mapInArrow(run, f"`{key}` {kind}, {columns}")
+    return rows.select("row", "key", text_key().alias("tk"), "text").mapInArrow(run, f"row bigint, key {kind}, {columns}")
 
 
 def candidate_links(nodes: DataFrame) -> DataFrame:
@@ -124,13 +133,11 @@ def _verified(rows: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "node bigint, root bigint")
 
 
-def _shingles(docs: DataFrame, members: DataFrame, words: int, text: str, key: str) -> DataFrame:
-    """(node, grp, m, shingles) of the members' texts, found by id and text hash."""
-    wanted = members.select("node", "grp", "m", F.col("first.id").alias("_id"), F.col("first.tk").alias("_tk"))
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), text_key(text).alias("_text_tk"))
-    found = texts.join(
-        wanted.hint("merge"), (F.col("_tk") == F.col("_text_tk")) & F.col("_key").eqNullSafe(F.col("_id"))
-    ).select("node", "grp", "m", "_text")
+def _shingles(rows: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """(node, grp, m, shingles) of the members' texts."""
+    wanted = members.select("node", "grp", "m", F.col("first.row").alias("_row"))
+    texts = rows.select("row", F.col("text").alias("_text"))
+    found = texts.join(wanted.hint("merge"), F.col("row") == F.col("_row")).select("node", "grp", "m", "_text")
 
     def run(batches):
         for part, raw in slices_by_bytes(batches, "_text", 2 << 20):
@@ -193,22 +200,17 @@ def _across(sets: DataFrame, links: DataFrame) -> DataFrame:
     return links.union(_verified(a.select(*wanted).union(b.select(*wanted)).union(c.select(*wanted))))
 
 
-def near_components(docs: DataFrame, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, tk, component): a row for each row of ``docs``; ``tk`` is the hash of its text.
-
-    Texts of one component are connected by pairs whose shingle sets have a Jaccard similarity of 0.8 or
-    more. Fingerprints only choose what is compared: groups of candidates are compared whole, large
-    ones block by block. ``component`` is the smallest (without id, id, tk) of its rows.
-    """
-    prints = materialize(sketches(docs, words, text, key), "sketches")
-    first = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("tk").alias("tk"))
+def _linked(rows: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """Sketches of rows (row, key, text), and (node, first, root): each shingle set with its first row and its component."""
+    prints = materialize(sketches(rows, words), "sketches")
+    first = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("id"), "tk", "row")
     nodes = prints.groupBy("node").agg(F.min(first).alias("first"), *[F.min(f).alias(f) for f in _PRINTS])
     nodes = materialize(nodes, "nodes")
     loose = materialize(components(candidate_links(nodes)), "loose")
     sizes = loose.groupBy(F.col("root").alias("grp")).agg(F.count("*").alias("m"))
     members = loose.withColumnRenamed("node", "of").join(sizes, F.col("root") == F.col("grp"))
     members = nodes.select("node", "first").join(members, F.col("node") == F.col("of"))
-    sets = materialize(_shingles(docs, members.select("node", "first", "grp", "m"), words, text, key), "shingles")
+    sets = materialize(_shingles(rows, members.select("node", "first", "grp", "m"), words), "shingles")
     cells = sets.withColumn("cell", F.xxhash64("grp", _dealt("node", _parts(F.col("m"))))).withColumn("side", F.lit(2))
     links = materialize(_verified(cells), "exact-links")
     large = sets.filter(F.col("m") > BLOCK)
@@ -216,7 +218,37 @@ def near_components(docs: DataFrame, words: int = 5, text: str = "text", key: st
         links = materialize(_across(materialize(large.dropDuplicates(["node"]), "large-sets"), links), "all-links")
     roots = materialize(components(links), "roots").select(F.col("node").alias("of"), "root")
     linked = nodes.select("node", "first").join(roots, F.col("node") == F.col("of"), "left")
-    linked = materialize(linked.select("node", "first", F.coalesce("root", "node").alias("root")), "linked")
+    return prints, materialize(linked.select("node", "first", F.coalesce("root", "node").alias("root")), "linked")
+
+
+def near_components(docs: DataFrame, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, tk, component): a row for each row of ``docs``; ``tk`` is the hash of its text.
+
+    Texts of one component are connected by pairs whose shingle sets have a Jaccard similarity of 0.8 or
+    more. Fingerprints only choose what is compared: groups of candidates are compared whole, large
+    ones block by block. ``component`` is the first of its rows: the smallest (without id, id, tk, row number).
+    """
+    rows = numbered(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), "row")
+    prints, linked = _linked(rows, words)
     smallest = linked.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component"))
-    named = materialize(linked.join(smallest, F.col("root") == F.col("of")).select("node", "component"), "named")
-    return prints.select(key, "tk", "node").join(named, "node").select(key, "tk", "component")
+    # a component may hold a third of all sets: its rows are dealt over as many copies of its name
+    dealt = linked.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(DEALT)))
+    copies = smallest.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    named = dealt.join(copies, (F.col("root") == F.col("of")) & (F.col("part") == F.col("at")))
+    named = materialize(named.select("node", "component"), "named")
+    return prints.select(F.col("key").alias(key), "tk", "node").join(named, "node").select(key, "tk", "component")
+
+
+def first_of_each(docs: DataFrame, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of ``docs`` for each component of near copies: the first in the order of ``near_components``.
+
+    Rows are known by a number, so that of rows equal in everything one stays as well.
+    """
+    row = free_prefix(docs, "row_") + "number"
+    every = numbered(docs, row)
+    rows = every.select(F.col(row).alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    _, linked = _linked(rows, words)
+    first = linked.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    # the kept rows grow with the corpus: never broadcast, however few they are
+    kept = every.join(materialize(first, "kept").hint("merge"), row, "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -103,3 +103,12 @@ def test_rows_are_known_by_id_and_text(spark):
     lone = [r for r in kept if r[0] is None]
     assert len(lone) == 1 and lone[0][1] in (a, a + " more")
     assert [r for r in kept if r[0] is not None] == [(5, b + " more"), (6, c), (7, d)]
+
+
+def test_one_of_equal_rows_stays(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    for rows, ids in (([(None, text)] * 3, [None]), ([(5, text), (5, text), (6, text)], [5]), ([(None, text), (6, text)], [6])):
+        left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
+        assert [tuple(r) for r in left.collect()] == [(i, text) for i in ids]
+    extra = spark.createDataFrame([(1, text, "a"), (1, text, "a"), (2, text + " z", "b")], SCHEMA + ", row_number string")
+    assert [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, extra, "").collect()] == [(1, text, "a")]

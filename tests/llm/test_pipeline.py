@@ -95,12 +95,15 @@ def test_clashing_columns_nulls_and_empty_tables(spark, folder):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             got = stage(spark, rows, folder)
             assert got.columns == rows.columns
-            assert sorted(map(repr, got.collect())) == sorted(map(repr, rows.collect()))
+            want = sorted(map(repr, rows.collect()))
+            # equal rows are near copies of each other: one of them stays
+            want = sorted(set(want)) if stage is corpus_pipeline.drop_near_copies else want
+            assert sorted(map(repr, got.collect())) == want
 
 
 def test_every_query_is_registered():
     found = entry.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(found)
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert sentencepiece and public_tokenizers
