@@ -33,20 +33,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id.
+    """Of each group of near copies the row with the smallest id.
 
     Copies are linked by an exact Jaccard similarity of 0.8 or more of their five-word shingles. A row
-    is known by its id and its text's hash: of rows with one id those of one text stay, and a row
-    without an id stays only for a group in which none has one. Rows equal in both stay together.
+    without an id comes after all others, so it stays only for a group in which no row has one. Rows
+    are told apart by number: of repeated rows one stays, and of rows with one id and near texts too.
     """
-    groups = near_copies.near_components(docs, NEAR_WORDS)
-    name = free_prefix(docs, "kept_")
-    one = F.col("doc_id").eqNullSafe(F.col("component.id")) & (F.col("tk") == F.col("component.tk"))
-    kept = groups.filter(one).select(F.col("doc_id").alias(name), F.col("tk").alias(f"{name}tk"))
-    kept = materialize(kept.distinct(), "kept")
-    # the ids grow with the corpus: never broadcast, however few they are
-    same = F.col("doc_id").eqNullSafe(F.col(name)) & (near_copies.text_key() == F.col(f"{name}tk"))
-    return docs.join(kept.hint("merge"), same, "left_semi")
+    return near_copies.first_of_each(docs, NEAR_WORDS)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
