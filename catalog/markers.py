@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqharbor.constants import DOMAIN_MARKER_FEATURES, HOST_MARKER_FEATURES
+from seqharbor.constants import DOMAIN_MARKER_FEATURES, HOST_MARKER_FEATURES, RESIDUE_FREQUENCIES
+from seqharbor.operators import alignment
 from seqharbor.operators import genes as gene_ops
 from seqharbor.operators import markers as ops
 from seqharbor.plans.predict import protein_table
+from seqharbor.session import materialize
 
 from . import views
 from .genes import ORF_CTES, orfs, residue_sql
@@ -283,8 +285,25 @@ def extract_markers(spark, sf):
     return tidy(found)
 
 
-#: Proteins of ``orfs`` against the translated references, which are named like markers.
-PROTEIN_K, PROTEIN_SHARE = 3, 0.1
+#: Proteins of ``orfs`` against the translated references, which are named like markers. SQL expresses alignments
+#: on one diagonal, so these queries search without gaps.
+PROTEIN_K = 4
+SCORES = alignment.Scoring()
+LAMBDA, KARLIN = SCORES.statistics()
+
+
+def _letters(text) -> str:
+    return ", ".join(f"'{c}'" for c in text)
+
+
+_ALIKE = " or ".join(f"(a in ({_letters(g)}) and b in ({_letters(g)}))" for g in SCORES.groups)
+
+
+def _seed_places(table: str, name: str, at: str) -> str:
+    return f"""select {name}, i-1 {at}, substring(seq, i, {PROTEIN_K}) kmer
+        from (select {name}, seq, unnest(range(1, length(seq)-{PROTEIN_K}+2)) i from {table}) a"""
+
+
 PROTEIN_SEED_CTES = {
     "queries": """select concat(accession,'_',row_number() over (partition by accession
         order by begin_pos, end_pos, strand)) query, amino_acid_sequence seq from orfs""",
@@ -293,16 +312,34 @@ PROTEIN_SEED_CTES = {
     + residue_sql("substring(seq, 3*i+1, 3)")
     + """ aa from (select replace(target,'b','m') target, seq, unnest(range(0, length(seq)//3)) i from v_references) x) y
         group by target""",
-    **_seed_ctes(PROTEIN_K, PROTEIN_SHARE),
-    "seed_lengths": f"""select s.*, length(q.seq) qlen, length(t.seq) tlen,
-        least(shared+{PROTEIN_K - 1}, length(q.seq), length(t.seq)) span from seed_hits s
-        join queries q on q.query=s.query join targets t on t.target=s.target""",
-    "v_gene_hits": """select query, target, qlen*tlen*pow(2.0::double, -4.0::double*shared) evalue,
-        4.0::double*shared bits, qlen, tlen, 1 qstart, span qend, 1 tstart, span tend, span alnlen from seed_lengths""",
+    "query_seeds": _seed_places("queries", "query", "qp"),
+    "target_seeds": _seed_places("targets", "target", "tp"),
+    "diagonals": """select query, target, qp-tp d, count(*) n from query_seeds join target_seeds using (kmer)
+        group by all having count(*)>=2""",
+    "seed_pairs": """select query, target, d from diagonals
+        qualify row_number() over (partition by query, target order by n desc, d)=1""",
+    "residue_pairs": """select query, target, d, tp, qlen, tlen, substring(qs, tp+d+1, 1) a, substring(ts, tp+1, 1) b from (
+        select query, target, d, q.seq qs, t.seq ts, length(q.seq) qlen, length(t.seq) tlen,
+        unnest(range(greatest(0,-d), least(length(t.seq), length(q.seq)-d))) tp
+        from seed_pairs join queries q using (query) join targets t using (target)) x""",
+    "residue_scores": f"""select *, case when a=b and a in ({_letters(SCORES.rare_residues)}) then {SCORES.rare}
+        when a=b and a in ({_letters(RESIDUE_FREQUENCIES)}) then {SCORES.same} when {_ALIKE} then {SCORES.alike}
+        else {SCORES.other} end s from residue_pairs""",
+    "sums": "select *, sum(s) over (partition by query, target order by tp) total from residue_scores",
+    "gains": """select *, least(0, coalesce(min(total) over (partition by query, target order by tp
+        rows between unbounded preceding and 1 preceding), 0)) low from sums""",
+    "ends": """select query, target, tp last, total-low score, low, d, qlen, tlen from gains where total>low
+        qualify row_number() over (partition by query, target order by total-low desc, tp)=1""",
+    "begins": """select e.query, e.target, coalesce(max(case when g.total=e.low and g.tp<e.last then g.tp+1 end),
+        min(g.tp)) first from ends e join gains g on g.query=e.query and g.target=e.target group by all""",
+    "v_gene_hits": f"""select query, target, qlen*(select sum(length(seq)) from targets)::double*pow(2.0::double, -bits) evalue,
+        bits, qlen, tlen, first+d+1 qstart, last+d+1 qend, first+1 tstart, last+1 tend, last-first+1 alnlen from (
+        select e.*, b.first, ({LAMBDA!r}::double*score-ln({KARLIN!r}::double))/ln(2.0::double) bits
+        from ends e join begins b on b.query=e.query and b.target=e.target) z""",
 }
 
 
-def protein_search(spark, sf):
+def protein_search(spark, sf, band: int = 0):
     """The search of a run: proteins against the translated references."""
     targets = views.references(spark, sf).select(
         F.regexp_replace("target", "b", "m").alias("target"), gene_ops.translate_codons("seq").alias("seq")
@@ -310,7 +347,7 @@ def protein_search(spark, sf):
 
     def search(proteins):
         queries = proteins.select(F.col("protein_id").alias("query"), F.col("amino_acid_sequence").alias("seq"))
-        return ops.seed_alignments(queries, targets, PROTEIN_K, PROTEIN_SHARE)
+        return alignment.search_alignments(queries, targets, PROTEIN_K, band=band)
 
     return search
 
@@ -327,13 +364,38 @@ MARKER_PIPELINE = f"""select regexp_replace(query,'_[^_]*$','') accession, targe
 )
 def marker_pipeline(spark, sf):
     """Sequences to best hits in one call: chunks, genes, proteins, own search, filter, whitelist."""
-    proteins = protein_table(orfs(spark, sf))
+    proteins = protein_table(materialize(orfs(spark, sf), "orfs"))
     hits = protein_search(spark, sf)(proteins)
     kept = ops.whitelist_hits(ops.filter_hits(hits, 1e-3, 0.0), ops.viral_markers(views.markers(spark, sf)))
     long_enough = kept.where((F.col("tend") - F.col("tstart") + 1) / F.col("tlen") >= 0.2)
     return tidy(ops.best_hits(long_enough))
 
 
+@query("protein_alignments")
+def protein_alignments(spark, sf):
+    """The search with gaps: alignments of all proteins within eight residues of their best diagonal."""
+    proteins = protein_table(materialize(orfs(spark, sf), "orfs"))
+    hits = ops.filter_hits(protein_search(spark, sf, band=8)(proteins), 10.0, 0.05, 0.2)
+    return tidy(hits)
+
+
+@query(
+    "ungapped_alignments",
+    sql(
+        ["v_sequences", "v_references"],
+        f"""select query, target, {r('evalue*1e6', alias='evalue_ppm')}, {r('bits', alias='bits')}, qlen, tlen, qstart, qend,
+        tstart, tend, alnlen from v_gene_hits where evalue<=10
+        and (qend-qstart+1)/qlen::double>=0.05 and (tend-tstart+1)/tlen::double>=0.05""",
+        {**ORF_CTES, **PROTEIN_SEED_CTES},
+    ),
+)
+def ungapped_alignments(spark, sf):
+    """The search without gaps, with its spans, expectations and both thresholds."""
+    hits = ops.filter_hits(protein_search(spark, sf)(protein_table(materialize(orfs(spark, sf), "orfs"))), 10.0, 0.05)
+    columns = ["bits", "qlen", "tlen", "qstart", "qend", "tstart", "tend", "alnlen"]
+    return tidy(hits.select("query", "target", (F.col("evalue") * 1e6).alias("evalue_ppm"), *columns))
+
+
 @query(
     "sequence_marker_hits",
     sql(
@@ -355,7 +417,7 @@ def marker_pipeline(spark, sf):
 )
 def sequence_marker_hits(spark, sf):
     """Sequences to marker hits: chunk, scan, translate, number, seed search, best per chunk."""
-    proteins = protein_table(orfs(spark, sf))
+    proteins = protein_table(materialize(orfs(spark, sf), "orfs"))
     targets = views.references(spark, sf).withColumn("seq", gene_ops.translate_codons("seq"))
     found = ops.kmer_seed_hits(
         proteins.select(F.col("protein_id").alias("query"), F.col("amino_acid_sequence").alias("seq")),

@@ -71,3 +71,9 @@ CODON_BASES = "TCAG"
 CODON_AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 START_CODONS = ["ATG", "GTG", "TTG"]
 TRANSLATION_TABLE = 11
+
+# Amino acids and how often they occur in proteins.
+RESIDUE_FREQUENCIES = {
+    "A": 0.078, "R": 0.051, "N": 0.045, "D": 0.054, "C": 0.019, "Q": 0.043, "E": 0.063, "G": 0.074, "H": 0.022, "I": 0.051,
+    "L": 0.091, "K": 0.057, "M": 0.022, "F": 0.039, "P": 0.052, "S": 0.071, "T": 0.058, "W": 0.013, "Y": 0.032, "V": 0.064,
+}

@@ -254,8 +254,9 @@ def gate_context(summary: DataFrame) -> DataFrame:
 def _kmers(df: DataFrame, key: str, seq: str, k: int, out: str) -> DataFrame:
     """Every k-mer of each sequence at its place, cut from bytes; no row holds those of a sequence."""
     data = df.select(F.col(key).alias(out), F.col(seq).cast("binary").alias("_s"))
-    starts = F.sequence(F.lit(1), F.octet_length("_s") - F.lit(k - 1))
-    placed = data.where(F.octet_length("_s") >= k).select(out, "_s", F.explode(starts).alias("_i"))
+    last = F.octet_length("_s") - F.lit(k - 1)
+    # no filter on the length: it would be pushed below and derive the sequence once more
+    placed = data.select(out, "_s", F.explode(F.when(last >= 1, F.sequence(F.lit(1), last))).alias("_i"))
     return placed.select(out, F.expr(f"cast(substring(_s, _i, {k}) as string)").alias("kmer"))
 
 
@@ -268,11 +269,9 @@ def kmer_seed_hits(
 ) -> DataFrame:
     """Targets whose distinct k-mers are found to a share of at least ``min_containment`` in a query.
 
-    ``queries(query, seq)``, ``targets(target, seq)``. Exact. A target with n k-mers must share
-    r = ceil(min_containment * n), so any query reaching it holds one of its n - r + 1 rarest
-    k-mers, and r target k-mers in all: only such pairs are candidates, which are then counted by
-    the target's k-mers. A k-mer that sits in a third of all queries therefore makes no pairs unless
-    a target has little else.
+    ``queries(query, seq)``, ``targets(target, seq)``. Exact. The targets' k-mers select the queries' and are
+    then met by k-mer once: every match is one row, counted by pair in the same task. They are broadcast up to a number of
+    rows, so that a k-mer of a third of all queries is no hot task; beyond it both joins are by k-mer.
     """
     if not 0 < min_containment <= 1:
         raise ValueError("min_containment must be in (0, 1]")
@@ -281,34 +280,13 @@ def kmer_seed_hits(
         F.count(F.lit(1)).alias("target_kmers"),
         F.ceil(F.count(F.lit(1)) * F.lit(float(min_containment)) - F.lit(1e-9)).alias("needed"),
     )
-    present = materialize(
-        _kmers(queries, "query", "seq", k, "query").join(
-            seeds.select("kmer").distinct(), "kmer", "left_semi"
-        ).distinct(),
-        "query-kmers",
-    )
-    frequency = present.groupBy("kmer").agg(F.count(F.lit(1)).alias("_f"))
-    rarest = Window.partitionBy("target").orderBy(F.coalesce("_f", F.lit(0)), "kmer")
-    prefix = (
-        seeds.join(frequency, "kmer", "left")
-        .withColumn("_r", F.row_number().over(rarest))
-        .join(sizes, "target")
-        .where((F.col("_r") <= F.col("target_kmers") - F.col("needed") + 1) & F.col("_f").isNotNull())
-    )
-    held = present.groupBy("query").agg(F.count(F.lit(1)).alias("_held"))
-    pairs = (
-        present.join(held, "query")
-        .join(prefix.select("kmer", "target", "needed"), "kmer")
-        .where(F.col("_held") >= F.col("needed"))
-        .select("query", "target")
-        .distinct()
-    )
+    known = broadcast_if_small(seeds.select("kmer").distinct(), BROADCAST_ROWS)
+    present = _kmers(queries, "query", "seq", k, "query").join(known, "kmer", "left_semi").distinct()
     hits = (
-        pairs.join(seeds, "target")
-        .join(present, ["query", "kmer"])
+        present.join(broadcast_if_small(seeds, BROADCAST_ROWS), "kmer")
         .groupBy("query", "target")
         .agg(F.count(F.lit(1)).alias("shared"))
-        .join(sizes, "target")
+        .join(broadcast_if_small(sizes, BROADCAST_ROWS), "target")
         .where(F.col("shared") >= F.col("needed"))
         .select(
             "query",
@@ -324,34 +302,6 @@ def kmer_seed_hits(
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
 
 
-def seed_alignments(
-    queries: DataFrame, targets: DataFrame, k: int = 5, min_containment: float = 0.5
-) -> DataFrame:
-    """``kmer_seed_hits`` with the columns of alignment hits, so that they can be filtered like them.
-
-    A shared k-mer scores four bits, about what one matching residue is worth; the expectation is that of so many bits over both lengths, and
-    the aligned part is as long as the shared k-mers chained end to end.
-    """
-    found = kmer_seed_hits(queries, targets, k, min_containment)
-    sizes = lambda df, key, out: df.select(F.col(key), F.length("seq").cast("bigint").alias(out))
-    found = found.join(sizes(queries, "query", "qlen"), "query").join(sizes(targets, "target", "tlen"), "target")
-    bits = F.col("shared") * 4.0
-    span = F.least(F.col("shared") + F.lit(k - 1), "qlen", "tlen")
-    return found.select(
-        "query",
-        "target",
-        (F.col("qlen") * F.col("tlen") * F.pow(F.lit(2.0), -bits)).alias("evalue"),
-        bits.alias("bits"),
-        "qlen",
-        "tlen",
-        F.lit(1).cast("bigint").alias("qstart"),
-        span.alias("qend"),
-        F.lit(1).cast("bigint").alias("tstart"),
-        span.alias("tend"),
-        span.alias("alnlen"),
-    )
-
-
 def hit_summary(best: DataFrame, proteins: DataFrame | None = None) -> DataFrame:
     """One row: (sequence, marker) pairs, sequences with a hit, proteins predicted."""
     counts = best.agg(
