@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqharbor.constants import ARCH_FEATURES, CODON_AMINO_ACIDS, CODON_BASES
+from seqharbor.constants import ARCH_FEATURES, BINDING_SITES, CODON_AMINO_ACIDS, CODON_BASES
 from seqharbor.operators import genes as ops
 from seqharbor.plans.predict import gene_table
 
@@ -23,6 +23,17 @@ def residue_sql(codon: str) -> str:
     )
 
 
+SITE_NAMES = "[" + ", ".join(f"['{m}', '{a}-{b}bp']" for m, _, a, b in BINDING_SITES) + "]"
+
+
+def site_sql() -> str:
+    """Number of the first binding site that the bases before a start hold."""
+    cases = " ".join(
+        f"when regexp_matches(upstream, '{p}.{{{a},{b}}}$') then {i}" for i, (_, p, a, b) in enumerate(BINDING_SITES, 1)
+    )
+    return f"case {cases} end"
+
+
 # Codons of six frames, cut into stretches that end with a stop codon or the chunk's edge.
 ORF_CTES = {
     "c": CHUNKS,
@@ -48,10 +59,13 @@ ORF_CTES = {
         strand, case when strand=1 then edge5 else not closed end partial_begin,
         case when strand=1 then not closed else edge5 end partial_end,
         case when edge5 then 'Edge' else start_codon end start_type,
-        case when edge5 then body else concat('M', substring(body, 2)) end amino_acid_sequence
-        from kept""",
-    "orfs": """select *, (row_number() over (partition by accession
-        order by begin_pos, end_pos, strand))::int idx from placed""",
+        case when edge5 then body else concat('M', substring(body, 2)) end amino_acid_sequence,
+        case when edge5 then '' else substring(s.seq, greatest(f+3*first-20, 0)+1, least(f+3*first, 20)) end upstream
+        from kept join sides s using (accession, strand)""",
+    "sited": f"select *, {site_sql()} site from placed",
+    "orfs": """select * exclude (upstream, site), coalesce({b}[site][1], '') rbs_motif, coalesce({b}[site][2], '') rbs_spacer,
+        ({n}-site+1)::double rbs_score, (row_number() over (partition by accession
+        order by begin_pos, end_pos, strand))::int idx from sited""".format(b=SITE_NAMES, n=len(BINDING_SITES)),
 }
 
 
@@ -63,7 +77,7 @@ def orfs(spark, sf):
     "orf_scan",
     sql(
         ["v_sequences"],
-        """select *, concat(accession,'_',idx) protein_id, length(amino_acid_sequence)::int aa_len, '' rbs_motif, '' rbs_spacer,
+        """select *, concat(accession,'_',idx) protein_id, length(amino_acid_sequence)::int aa_len,
         11 translation_table from orfs""",
         ORF_CTES,
     ),
@@ -219,7 +233,7 @@ def feature_vector(spark, sf):
             **ORF_CTES,
             "v_genes": """select accession, (row_number() over (partition by accession
                 order by begin_pos, end_pos, strand))::int idx, begin_pos, end_pos, strand,
-                length(amino_acid_sequence)::int aa_len, null::varchar motif, null::double score
+                length(amino_acid_sequence)::int aa_len, nullif(rbs_motif,'') motif, rbs_score score
                 from orfs""",
             "v_gene_chunks": "select accession, length(seq)::int chunk_len from c",
             **{

@@ -25,7 +25,7 @@ RUN_CTES = {
     **genes.ORF_CTES,
     "v_genes": """select accession, (row_number() over (partition by accession
         order by begin_pos, end_pos, strand))::int idx, begin_pos, end_pos, strand,
-        length(amino_acid_sequence)::int aa_len, null::varchar motif, null::double score from orfs""",
+        length(amino_acid_sequence)::int aa_len, nullif(rbs_motif,'') motif, rbs_score score from orfs""",
     "v_gene_chunks": "select accession, length(seq)::int chunk_len from c",
     **markers.PROTEIN_SEED_CTES,
     **SMALL_CHUNKS,

@@ -77,3 +77,22 @@ RESIDUE_FREQUENCIES = {
     "A": 0.078, "R": 0.051, "N": 0.045, "D": 0.054, "C": 0.019, "Q": 0.043, "E": 0.063, "G": 0.074, "H": 0.022, "I": 0.051,
     "L": 0.091, "K": 0.057, "M": 0.022, "F": 0.039, "P": 0.052, "S": 0.071, "T": 0.058, "W": 0.013, "Y": 0.032, "V": 0.064,
 }
+
+# Binding sites before a start codon, strongest first: motif bin, pattern, bases between it and the start.
+BINDING_SITES = [
+    ("AGGAGG", "AGGAGG", 5, 10), ("AGGAGG", "AGGAGG", 3, 4), ("AGGAGG", "AGGAGG", 11, 12),
+    ("GGAGG", "GGAGG", 5, 10), ("AGGAG", "AGGAG", 5, 10),
+    ("AGGAG/GGAGG", "(AGGAG|GGAGG)", 11, 12), ("AGGAG/GGAGG", "(AGGAG|GGAGG)", 3, 4),
+    ("AGxAGG/AGGxGG", "(AG.AGG|AGG.GG)", 5, 10), ("AGxAGG/AGGxGG", "(AG.AGG|AGG.GG)", 3, 4),
+    ("AGxAGG/AGGxGG", "(AG.AGG|AGG.GG)", 11, 12),
+    ("GGAG/GAGG", "(GGAG|GAGG)", 5, 10), ("AGGA", "AGGA", 5, 10), ("GGxGG", "GG.GG", 5, 10),
+    ("AGGA/GGAG/GAGG", "(AGGA|GGAG|GAGG)", 11, 12), ("AGGA/GGAG/GAGG", "(AGGA|GGAG|GAGG)", 3, 4),
+    ("AGGAG(G)/GGAGG", "(AGGAGG?|GGAGG)", 13, 15), ("AGxAG", "AG.AG", 5, 10),
+    ("GGxGG", "GG.GG", 3, 4), ("GGxGG", "GG.GG", 11, 12),
+    ("TATATA", "TATATA", 5, 10), ("TAAAAA", "TAAAAA", 5, 10), ("TAAAAT", "TAAAAT", 5, 10),
+    ("TATAT", "TATAT", 5, 10), ("ATATA", "ATATA", 5, 10), ("TAAAA", "TAAAA", 5, 10), ("TAAAT", "TAAAT", 5, 10),
+    ("GGA/GAG/AGG", "(GGA|GAG|AGG)", 5, 10), ("GGA/GAG/AGG", "(GGA|GAG|AGG)", 11, 12),
+    ("AGxAG", "AG.AG", 3, 4), ("AGxAG", "AG.AG", 11, 12),
+    ("4Base/6BMM", "(AGGA|GGAG|GAGG)", 13, 15), ("3Base/5BMM", "(GGA|GAG|AGG)", 13, 15),
+    ("GGA/GAG/AGG", "(GGA|GAG|AGG)", 3, 4),
+]

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..constants import (
     ARCH_FEATURES,
     BACTEROIDETES_MOTIFS,
+    BINDING_SITES,
     CANONICAL_SD_MOTIFS,
     CODON_AMINO_ACIDS,
     CODON_BASES,
@@ -28,11 +29,12 @@ from .sequences import fragment_size, min_length_filter
 
 MIN_RESIDUES = 90
 MIN_ORF_BASES = 90
+UPSTREAM = 20  # bases before a start codon that may hold its binding site
 GENE_BLOCK = 4096  # genes (or, for numbering, kilobases) per window block
 
 ORF_SCHEMA = (
     "accession string, idx int, begin_pos int, end_pos int, strand int, partial_begin boolean, "
-    "partial_end boolean, start_type string, amino_acid_sequence string"
+    "partial_end boolean, start_type string, amino_acid_sequence string, upstream string"
 )
 
 
@@ -70,6 +72,7 @@ def _orf_finder(min_bases: int):
             residue[at] = ord(aa)
             opens[at] = codon in starts
         stops = residue == ord("*")
+        pairing = bytes.maketrans(b"ACGTN", b"TGCAN")
 
         def frame_orfs(is_stop, is_start):
             """(first codon, one past the last, 5' edge, 3' edge) of each open stretch."""
@@ -94,10 +97,12 @@ def _orf_finder(min_bases: int):
             found = []
             for accession, seq in zip(pdf["accession"], pdf["seq"]):
                 genes = []
-                forward = base[np.frombuffer(seq.encode("ascii", "replace"), dtype=np.uint8)]
+                text = seq.encode("ascii", "replace")
+                forward = base[np.frombuffer(text, dtype=np.uint8)]
                 length = len(forward)
                 for strand in (1, -1):
                     letters = forward if strand == 1 else other[forward[::-1]]
+                    read = text if strand == 1 else text.translate(pairing)[::-1]
                     every = letters[:-2] * 25 + letters[1:-1] * 5 + letters[2:]
                     is_stop, is_start = stops[every], opens[every]
                     protein = residue[every]
@@ -105,47 +110,70 @@ def _orf_finder(min_bases: int):
                         amino = protein[frame::3].tobytes().decode("ascii")
                         orfs = frame_orfs(is_stop[frame::3], is_start[frame::3])
                         for i, j, edge5, edge3 in orfs:
-                            aa, start = amino[i:j], "Edge"
+                            aa, start, before = amino[i:j], "Edge", ""
                             low, high = frame + 3 * i + 1, frame + 3 * j
                             if not edge5:
                                 at = int(every[frame + 3 * i])
                                 start = "ACGT"[at // 25] + "ACGT"[at // 5 % 5] + "ACGT"[at % 5]
                                 aa = "M" + aa[1:]
+                                before = read[max(0, low - 1 - UPSTREAM) : low - 1].decode("ascii")
                             left, right = edge5, edge3
                             if strand == -1:
                                 low, high = length - high + 1, length - low + 1
                                 left, right = right, left
-                            genes.append((low, high, strand, left, right, start, aa))
+                            genes.append((low, high, strand, left, right, start, aa, before))
                 genes.sort(key=lambda gene: gene[:3])
                 found += [(accession, i, *gene) for i, gene in enumerate(genes, start=1)]
             yield pd.DataFrame(
                 found,
                 columns=[
                     "accession", "idx", "begin_pos", "end_pos", "strand", "partial_begin",
-                    "partial_end", "start_type", "amino_acid_sequence",
+                    "partial_end", "start_type", "amino_acid_sequence", "upstream",
                 ],
             )
 
     return find
 
 
+def binding_site(upstream: str | Column) -> Column:
+    """(motif, spacer, score) of the strongest binding site in the bases before a start codon, or null.
+
+    ``BINDING_SITES`` are tried in their order: a motif with so many bases between it and the start. The
+    score counts from 1 for the weakest.
+    """
+    bases = F.col(upstream) if isinstance(upstream, str) else upstream
+    chain = None
+    for place, (motif, pattern, least, most) in enumerate(BINDING_SITES):
+        found = F.struct(
+            F.lit(motif).alias("motif"),
+            F.lit(f"{least}-{most}bp").alias("spacer"),
+            F.lit(float(len(BINDING_SITES) - place)).alias("score"),
+        )
+        here = F.rlike(bases, F.lit(f"{pattern}.{{{least},{most}}}$"))
+        chain = F.when(here, found) if chain is None else chain.when(here, found)
+    return chain
+
+
 def orf_scan(chunks: DataFrame, min_bases: int = MIN_ORF_BASES) -> DataFrame:
     """Open reading frames of both strands and all frames, one row each.
 
     In each frame a stretch between stop codons yields the gene from its first start codon to
     its stop. A stretch cut by the chunk's edge runs from or to that edge and is marked partial.
-    Sequences under 100 letters have none. No scoring picks among overlapping frames and no
-    binding-site motif is reported. Genes are numbered by position where they are found, so the
-    scan is map-only: neither chunks nor genes are shuffled.
+    Sequences under 100 letters have none. No scoring picks among overlapping frames. The binding site is the
+    strongest one in the bases before the start codon (``binding_site``); genes that begin at an edge have
+    none. Genes are numbered by position where they are found, so the scan is map-only: neither chunks
+    nor genes are shuffled.
     """
     inputs = min_length_filter(chunks.select("accession", "seq"))
     orfs = inputs.mapInPandas(_orf_finder(min_bases), ORF_SCHEMA)
+    site = binding_site("upstream")
     return orfs.select(
-        "*",
+        *[c for c in orfs.columns if c != "upstream"],
         F.concat("accession", F.lit("_"), "idx").alias("protein_id"),
         F.length("amino_acid_sequence").alias("aa_len"),
-        F.lit("").alias("rbs_motif"),
-        F.lit("").alias("rbs_spacer"),
+        F.coalesce(site["motif"], F.lit("")).alias("rbs_motif"),
+        F.coalesce(site["spacer"], F.lit("")).alias("rbs_spacer"),
+        site["score"].alias("rbs_score"),
         F.lit(TRANSLATION_TABLE).alias("translation_table"),
     )
 
@@ -160,7 +188,7 @@ def gene_table(orfs: DataFrame) -> DataFrame:
         "strand",
         "aa_len",
         F.nullif("rbs_motif", F.lit("")).alias("motif"),
-        F.lit(None).cast("double").alias("score"),
+        F.col("rbs_score").alias("score"),
     )
 
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -393,6 +395,67 @@ def batch_model_score(
     return df.withColumn(out, predict(*[F.col(c) for c in inputs]))
 
 
+def _model_input(column: pa.Array, shape: list | None) -> np.ndarray:
+    """One input of a batch; lists are padded with zeros to the longest of the batch."""
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    values, sizes = column.to_pylist(), np.array(pa.compute.list_value_length(column).fill_null(0))
+    out = np.zeros((len(values), int(sizes.max(initial=0))))
+    for i, row in enumerate(values):
+        out[i, : sizes[i]] = row or []
+    return out.reshape((len(values), *shape)) if shape else out
+
+
+def score_batches(
+    df: DataFrame,
+    models: dict[str, Callable],
+    inputs: list[str],
+    key: str = "accession",
+    length: str = "chunk_len",
+    input_shapes: list | None = None,
+) -> DataFrame:
+    """``(fold, key, logits)``: every row scored by every fold's model, in the batches that ``batch_id`` names.
+
+    A batch lies in one partition and is handed to the models whole, ordered by length and key: they see
+    exactly the batches of ``length_bucket_batches``, with list columns padded to the batch's longest.
+    ``models`` has a ``make_predict`` per fold, called once per task; rows are read once for all folds.
+    """
+    kind = df.schema[key].dataType
+    schema = T.StructType().add("fold", T.StringType()).add(key, kind).add("logits", T.ArrayType(T.DoubleType()))
+    placed = df.select(key, "batch_id", length, *inputs).repartitionByRange("batch_id")
+    shapes = input_shapes or [None] * len(inputs)
+
+    def scored(predictors: dict[str, Callable], parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        arrays = [_model_input(table.column(i).combine_chunks(), s) for i, s in enumerate(shapes, 3)]
+        for fold, predict in predictors.items():
+            logits = np.asarray(predict(*arrays), dtype=np.float64)
+            if len(logits) != table.num_rows:
+                raise ValueError(f"the model of {fold} gave {len(logits)} rows for a batch of {table.num_rows}")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([fold] * len(logits)), table.column(0).combine_chunks(), pa.array(logits.tolist(), pa.list_(pa.float64()))],
+                names=schema.names,
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predictors = {fold: make() for fold, make in models.items()}
+        held, now = [], None
+        for batch in batches:
+            ids = batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and ids[a] != now:
+                    yield from scored(predictors, held)
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+                    now = ids[a]
+        if held:
+            yield from scored(predictors, held)
+
+    return placed.sortWithinPartitions("batch_id", length, key).mapInArrow(run, schema)
+
+
 # --- pooling ----------------------------------------------------------------------------------
 
 

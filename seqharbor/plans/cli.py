@@ -6,17 +6,21 @@
 
 ``proteins`` writes the proteins for a search tool, ``features`` stages features from its hits,
 ``predict`` scores them. ``predict`` can also take ``--hits`` and ``--metadata`` instead of staged
-features. A model folder holds ``fold_*/config.json``, ``calibration.json``, ``ensemble.json`` and
+features. In place of ``--hits``, ``--marker-proteins`` names a FASTA file of the markers' sequences, which are then searched
+here. ``--model package.module:function`` names a function from a fold's name to a ``make_predict`` over batches of
+sequences, in place of ``--model-logits``. A model folder holds ``fold_*/config.json``, ``calibration.json``, ``ensemble.json`` and
 the Parquet tables ``marker_ref``, ``domain_trees`` and ``host_trees``.
 """
 
 from __future__ import annotations
 
 import argparse
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.spread import spread
+from ..operators.alignment import search_alignments
 from ..operators.ensemble import MODES, label_list
 from ..operators.features import MASKS, TARGETS, assemble_features, union_feature_columns
 from ..operators.genes import orf_scan
@@ -30,7 +34,7 @@ from ..sources.models import load_calibration, load_marker_ref, read_fold_config
 from ..sources.reports import load_staged_features, stage_features, write_report
 from ..sources.tables import read_alignment_hits, read_marker_metadata
 from .checks import require_unique
-from .predict import Ensemble, protein_table, report_run, run_features, score_folds
+from .predict import Ensemble, protein_table, report_run, run_features, score_folds, score_model
 
 _NUMBERS = T.ArrayType(T.DoubleType())
 ENSEMBLE_SCHEMA = T.StructType(
@@ -105,15 +109,36 @@ def run_proteins(spark: SparkSession, o: argparse.Namespace) -> None:
     write_protein_fasta(protein_table(orfs), f"{o.output}/{o.prefix}.proteins")
 
 
+def marker_search(spark: SparkSession, path: str):
+    """The search of proteins against the markers of a FASTA file, which are named like the marker table."""
+    markers = read_fasta(spark, path).select(F.col("accession").alias("target"), "seq")
+
+    def search(proteins: DataFrame) -> DataFrame:
+        queries = proteins.select(F.col("protein_id").alias("query"), F.col("amino_acid_sequence").alias("seq"))
+        return search_alignments(queries, markers)
+
+    return search
+
+
+def load_models(name: str, folds: list[str]) -> dict:
+    """``make_predict`` of each fold from ``package.module:function``."""
+    module, _, function = name.partition(":")
+    if not function:
+        raise ValueError("a model is named package.module:function")
+    make = getattr(import_module(module), function)
+    return {fold: make(fold) for fold in folds}
+
+
 def _features(spark: SparkSession, o: argparse.Namespace):
     return run_features(
         read_fasta(spark, o.fasta),
         read_marker_metadata(spark, o.metadata),
-        read_alignment_hits(spark, o.hits),
+        read_alignment_hits(spark, o.hits) if o.hits else marker_search(spark, o.marker_proteins),
         o.chunk_size,
         o.overlap,
         o.evalue,
         o.min_coverage,
+        o.min_identity,
     )
 
 
@@ -135,7 +160,8 @@ def _staged_or_new(
         sequences = read_fasta(spark, o.fasta)
         require_unique(sequences)
         chunks = chunk_overlap(sequences, o.chunk_size, o.overlap)
-        index = materialize(chunks.select("genome", "accession", "chunk_len"), "chunk-index")
+        kept = ["seq"] if o.model else []
+        index = materialize(chunks.select("genome", "accession", "chunk_len", *kept), "chunk-index")
         staged = load_staged_features(spark, o.features, index)
         write_report(spark.read.parquet(f"{o.features}/annotations"), f"{o.output}/{o.prefix}.viral_marker_genes.tsv", o.mode)
         return (index, *staged)
@@ -148,7 +174,10 @@ def run_predict(spark: SparkSession, o: argparse.Namespace) -> None:
     model = load_ensemble(spark, o.ensemble_dir, o)
     chunks, arch, best = _staged_or_new(spark, o)
     logits = spark.read.parquet(o.model_logits) if o.model_logits else None
-    scores = score_folds(chunks, arch, best, model, logits, o.mask_features, o.mask_target)
+    if o.model:
+        models = load_models(o.model, model.folds)
+        logits = score_model(chunks, models, ["seq"], o.batch_size, o.pad_tolerance)
+    scores = score_folds(chunks.select("genome", "accession", "chunk_len"), arch, best, model, logits, o.mask_features, o.mask_target)
     scores = materialize(scores, "fold-scores")
     features = None
     if o.save_features:
@@ -177,15 +206,20 @@ def parser() -> argparse.ArgumentParser:
         if name == "proteins":
             continue
         job.add_argument("--hits", help="alignment hits of the proteins, 11 columns")
+        job.add_argument("--marker-proteins", help="FASTA of the markers, searched in place of --hits")
         job.add_argument("--metadata", help="marker table")
         job.add_argument("--evalue", type=float, default=1e-3)
         job.add_argument("--min-coverage", type=float, default=0.0)
+        job.add_argument("--min-identity", type=float, default=0.0, help="share of equal residues, with --marker-proteins")
         if name == "features":
             job.add_argument("--hits-json", action="store_true")
             continue
         job.add_argument("--features", help="folder staged by the features job")
         job.add_argument("--ensemble-dir", required=True)
         job.add_argument("--model-logits", help="Parquet (fold, accession, logits) of the sequence model")
+        job.add_argument("--model", help="package.module:function, from a fold to its make_predict over sequences")
+        job.add_argument("--batch-size", type=int, default=16)
+        job.add_argument("--pad-tolerance", type=int, default=200)
         job.add_argument("--calibration")
         job.add_argument("--folds", nargs="*")
         job.add_argument("--fold-index", type=int)
@@ -203,8 +237,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     top = parser()
     options = top.parse_args(argv)
     if options.job != "proteins" and not getattr(options, "features", None):
-        if not (options.hits and options.metadata):
-            top.error("--hits and --metadata are needed without staged features")
+        if not ((options.hits or options.marker_proteins) and options.metadata):
+            top.error("--hits or --marker-proteins, and --metadata, are needed without staged features")
     spark = spark or build_session()
     with scratch_run(spark, options.job):
         options.run(spark, options)

@@ -43,10 +43,10 @@ from ..operators.genes import (
 from ..operators.markers import annotate_hits, extract_markers, marker_features, marker_summary
 from ..operators.scoring import (
     GateWeights,
-    batch_model_score,
     gate_alpha,
     hierarchical_probs,
     mix_probs,
+    score_batches,
     score_trees,
     stream_fallback,
 )
@@ -214,21 +214,10 @@ def score_model(
     """``(fold, accession, logits)``: every chunk scored by every fold's model, in batches of like lengths.
 
     ``models`` has a ``make_predict`` per fold, ``inputs`` are the columns of ``chunks`` that it
-    takes. Batches are laid out once, in length order, and written for all folds.
+    takes. Batches are laid out once, in length order, and read once for all folds.
     """
     laid_out = length_bucket_batches(chunks.select("accession", "chunk_len", *inputs), batch_size, tolerance)
-    laid_out = laid_out.repartitionByRange("batch_id").sortWithinPartitions("batch_id")
-    laid_out = materialize(laid_out, "batches")
-    scored = [
-        batch_model_score(laid_out, make, inputs, batch_size=batch_size, input_shapes=input_shapes).select(
-            F.lit(fold).alias("fold"), "accession", "logits"
-        )
-        for fold, make in models.items()
-    ]
-    out = scored[0]
-    for other in scored[1:]:
-        out = out.union(other)
-    return out
+    return score_batches(laid_out, models, inputs, input_shapes=input_shapes)
 
 
 @dataclass(frozen=True)

@@ -34,6 +34,11 @@ def model_folder(spark, folder):
     features.trees(spark, features.HOST_TREES).write.parquet(str(folder / "host_trees"))
 
 
+def constant_model(fold):
+    """A model that ignores its sequences."""
+    return lambda: lambda seqs: [[float(i) for i in range(5)] for _ in seqs]
+
+
 def test_jobs(spark, tmp_path):
     rng = random.Random(2)
     text = "".join(f">g{i} some virus\n" + "".join(rng.choice("ACGT") for _ in range(n)) + "\n" for i, n in enumerate((900, 2500)))
@@ -77,6 +82,17 @@ def test_jobs(spark, tmp_path):
     for name in (".chunks.tsv", ".folds.tsv", ".genomes.tsv"):
         assert sorted(map(str, read(spark, once + name).collect())) == sorted(map(str, read(spark, out + name).collect()))
 
+    # From FASTA alone: the markers are searched here, and the model is named on the command line.
+    first = proteins.where(F.length("seq") > 60).orderBy("accession").first()["seq"]
+    (tmp_path / "markers.fasta").write_text(f">m0\n{first}\n>m1\nACDEFGHIKLMNPQRSTVWY\n")
+    own = ["--marker-proteins", str(tmp_path / "markers.fasta"), "--metadata", str(tmp_path / "markers.tsv"), "--min-identity", "0.9"]
+    cli.main(["predict", *common, *own, *models, "--model", f"{__name__}:constant_model", "--prefix", "own"], spark)
+    assert read(spark, str(tmp_path / "out" / "own.chunks.tsv")).count() == 4
+    genes = read(spark, str(tmp_path / "out" / "own.viral_marker_genes.tsv")).collect()
+    assert genes and {r["marker_id"] for r in genes} == {"m0"} and min(float(r["evalue"]) for r in genes) < 1e-10
+    cli.main(["predict", *common, "--features", staged, *models, "--model", f"{__name__}:constant_model", "--prefix", "staged"], spark)
+    assert read(spark, str(tmp_path / "out" / "staged.folds.tsv")).count() == 8
+
     with pytest.raises(ValueError, match="chunk"):
         cli.main(["predict", *common[:-4], "--features", staged, *models, "--prefix", "bad"], spark)
     with pytest.raises(SystemExit):

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from seqharbor.constants import BACTEROIDETES_MOTIFS, BINDING_SITES, CANONICAL_SD_MOTIFS, TATATA_MOTIFS
 from seqharbor.operators import genes as ops
 from seqharbor.operators import sequences
 
@@ -163,3 +165,35 @@ def test_partitioning_does_not_matter(spark, rows):
         chunks = sequences.chunk_overlap(frame, 300, 50)
         return rows(ops.orf_scan(chunks), "protein_id", "begin_pos", "end_pos", "strand")
     assert run(df.coalesce(1)) == run(df.repartition(13)) == run(df.orderBy(F.desc("accession")))
+
+
+def brute_site(before):
+    for place, (motif, pattern, least, most) in enumerate(BINDING_SITES):
+        if re.search(pattern + ".{%d,%d}$" % (least, most), before):
+            return motif, f"{least}-{most}bp", float(len(BINDING_SITES) - place)
+    return None
+
+
+def test_binding_sites_equal_brute_force(spark):
+    rng = random.Random(12)
+    cases = ["".join(rng.choice("ACGT") for _ in range(rng.randrange(21))) for _ in range(400)]
+    cases += ["", "A" * 20, "AGGAGG" + "C" * 5, "AGGAGG" + "C" * 2, "AGGAGG" + "C" * 16, "TATATACCCCCC", "NNAGNAGGCCCC"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, upstream string")
+    got = df.select("i", ops.binding_site("upstream").alias("s")).collect()
+    assert {r["i"]: r["s"] and tuple(r["s"]) for r in got} == {i: brute_site(c) for i, c in enumerate(cases)}
+    assert set(m for m, *_ in BINDING_SITES) <= set(CANONICAL_SD_MOTIFS + BACTEROIDETES_MOTIFS + TATATA_MOTIFS)
+
+
+def test_sites_are_read_before_the_start_on_both_strands(spark):
+    gene = "AGGAGGCCCCCC" + "ATG" + "GCA" * 40 + "TAA"
+    edge = "AGGAGGCCCCCC"
+    flip = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    df = spark.createDataFrame([("f", "TAA" + gene), ("r", flip("TAA" + gene)), ("e", edge + "GCA" * 60)], "accession string, seq string")
+    orfs = ops.orf_scan(df).where("start_type = 'ATG'").collect()
+    found = {r["accession"]: (r["rbs_motif"], r["rbs_spacer"], r["rbs_score"], r["strand"]) for r in orfs if r["aa_len"] == 42}
+    top = float(len(BINDING_SITES))
+    assert found == {"f": ("AGGAGG", "5-10bp", top, 1), "r": ("AGGAGG", "5-10bp", top, -1)}
+    edges = ops.orf_scan(df).where("start_type = 'Edge'")
+    assert edges.where("rbs_motif <> '' or rbs_score is not null").count() == 0 < edges.count()
+    context = ops.gene_context(ops.gene_table(ops.orf_scan(df)), 30)
+    assert {r["rbs_score"] for r in context.where("has_rbs and is_canonical_rbs").collect()} >= {top}

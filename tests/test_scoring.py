@@ -243,3 +243,35 @@ def test_user_model_with_weights_per_stream(spark):
     got = ops.batch_model_score(df, make_predict, ["vec"], T.StructType(fields), input_shapes=[[2]])
     flat = {r["accession"]: (r["logits"]["logits"], r["logits"]["glm"], r["logits"]["marker"]) for r in got.collect()}
     assert flat == {"a": ([2.0, 4.0], 1.0, 3.0), "b": ([6.0, 8.0], 3.0, 7.0)}
+
+
+def test_models_see_the_batches_as_laid_out(spark, rows):
+    from seqharbor.operators.sequences import length_bucket_batches
+
+    data = [(f"c{i}", 100 + 37 * (i % 9), [float(j) for j in range(1 + i % 5)], i) for i in range(140)]
+    df = spark.createDataFrame(data, "accession string, chunk_len int, vec array<double>, n int")
+    laid = length_bucket_batches(df, 8, 60).cache()
+
+    def recording(shift):
+        def make():
+            def predict(vec, n):
+                # what the model is given: rows, width, members
+                return [[len(n), vec.shape[1], float(n.sum()) + shift, float(vec[k].sum())] for k in range(len(n))]
+
+            return predict
+
+        return make
+
+    got = ops.score_batches(laid.repartition(5), {"a": recording(0), "b": recording(1)}, ["vec", "n"])
+    batches = {}
+    for r in laid.collect():
+        batches.setdefault(r["batch_id"], []).append(r)
+    want = [
+        (fold, r["accession"], [len(b), max(len(x["vec"]) for x in b), sum(x["n"] for x in b) + shift, sum(r["vec"])])
+        for b in batches.values() for r in b for fold, shift in (("a", 0), ("b", 1))
+    ]
+    assert rows(got) == sorted([(f, a, [float(x) for x in v]) for f, a, v in want], key=repr)
+    assert max(len(b) for b in batches.values()) <= 8 and got.count() == 280
+    with pytest.raises(Exception, match="gave 1 rows"):
+        ops.score_batches(laid, {"a": lambda: lambda vec, n: [[0.0]]}, ["vec", "n"]).collect()
+    assert ops.score_batches(laid.limit(0), {"a": recording(0)}, ["vec", "n"]).count() == 0
