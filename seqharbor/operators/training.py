@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..constants import ARCH_MODEL_FEATURES
 from ..functions.ranking import hash_rank
 from ..functions.scalars import largest, total
+from ..functions.spread import broadcast_if_small
 from ..functions.vectors import entries
 from ..session import materialize
 from .features import align_features
 from .genes import arch_features, gene_context, gene_table, orf_scan
 
 FOCAL_GAMMA = 2.0
+CLASS_ROWS = 10_000  # class names that are broadcast
 
 
 def label_index(labels: DataFrame) -> DataFrame:
@@ -149,8 +151,9 @@ def load_fold_training_set(
     Every sequence must have a label; missing features are 0.0.
     """
     table = join_labels(sequences, labels, strict=True)
-    # Narrow tables join first; the sequences take part once.
-    table = table.join(label_index(labels.join(sequences, "accession", "left_semi")), "label")
+    # The class names are few: sequences are never placed by label, of which one may hold a third of them.
+    index = label_index(labels.join(sequences.select("accession"), "accession", "left_semi"))
+    table = table.join(broadcast_if_small(index, CLASS_ROWS), "label")
     for features, out in ((tree_probs, "features"), (gate_features, "raw_features")):
         if features is None:
             continue
@@ -188,7 +191,7 @@ def load_training_set(
     # Names and labels feed the counts and the ranks: the sequence files are not read for each.
     named = materialize(table.select("accession", "label"), "labelled")
     split = stratified_split(named, test_size, seed)
-    result = split.join(label_index(labels), "label").join(sequences, "accession")
+    result = split.join(broadcast_if_small(label_index(labels), CLASS_ROWS), "label").join(sequences, "accession")
     if features is not None:
         aligned = align_features(named, features, strict=True)
         columns = [c for c in aligned.columns if c != "accession"]

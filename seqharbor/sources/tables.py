@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import ARCH_FEATURES, HIT_COLUMNS
-from ..functions.scalars import zero_if_missing
+from ..functions.scalars import nan_to_null, zero_if_missing
 
 # Texts read as a missing value in the marker table.
 NULL_TOKENS = ["", "NA", "na", "NaN", "nan"]
@@ -77,22 +77,23 @@ def id_column(columns: list[str]) -> str:
     return next((name for name in ID_NAMES if name in columns), columns[0])
 
 
-def feature_table(raw: DataFrame, id_name: str | None = None) -> DataFrame:
-    """Text columns to ``(accession, <numeric features>)``; unreadable or missing is 0.0."""
+def feature_table(raw: DataFrame, id_name: str | None = None, keep_missing: bool = False) -> DataFrame:
+    """Text columns to ``(accession, <numeric features>)``; unreadable or missing is 0.0, or null with ``keep_missing``."""
+    fill = nan_to_null if keep_missing else zero_if_missing
     key = id_name or id_column(raw.columns)
     features = [c for c in raw.columns if c != key]
     if not features:
         raise ValueError("the feature table has no feature column")
     return raw.select(
         F.col(key).cast("string").alias("accession"),
-        *[zero_if_missing(_real(F.col(c).cast("string"))).alias(c) for c in features],
+        *[fill(_real(F.col(c).cast("string"))).alias(c) for c in features],
     )
 
 
 def read_feature_table(
-    spark: SparkSession, path: str, sep: str = "\t", id_name: str | None = None
+    spark: SparkSession, path: str, sep: str = "\t", id_name: str | None = None, keep_missing: bool = False
 ) -> DataFrame:
-    return feature_table(read_delimited(spark, path, sep), id_name)
+    return feature_table(read_delimited(spark, path, sep), id_name, keep_missing)
 
 
 def read_gate_features(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame | None:

@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from seqharbor.operators import training
 from seqharbor.sources import fasta, hits_json, models, reports, tables
 
 
@@ -75,6 +76,13 @@ def test_alignment_hits(spark, rows, tmp_path):
 def test_feature_table(spark, rows, tmp_path):
     path = write(tmp_path / "f.tsv", "x\tid\ty\n1.5\ta\tn/a\n\tb\t-2e1\n")
     assert rows(tables.read_feature_table(spark, path)) == [("a", 1.5, 0.0), ("b", 0.0, -20.0)]
+    assert rows(tables.read_feature_table(spark, path, keep_missing=True)) == [("a", 1.5, None), ("b", None, -20.0)]
+    gaps = write(tmp_path / "gaps.csv", "accession,x,y\na,1.5,\nb,,nan\nc,1,2\nd,3,\n")
+    kept = tables.read_feature_table(spark, gaps, ",", keep_missing=True)
+    sequences = spark.createDataFrame([(x, "ACGT") for x in "abcd"], "accession string, seq string")
+    labels = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "x"), ("d", "y")], "accession string, label string")
+    loaded = training.load_training_set(sequences, labels, kept, 0.5).select("accession", "features")
+    assert rows(loaded) == [("a", [1.5, None]), ("b", [None, None]), ("c", [1.0, 2.0]), ("d", [3.0, None])]
     first = write(tmp_path / "g.tsv", "name\tx\na\t1\n")
     assert rows(tables.read_feature_table(spark, first)) == [("a", 1.0)]
     with pytest.raises(ValueError, match="no feature column"):
