@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqharbor.constants import ARCH_FEATURES, BINDING_SITES, CODON_AMINO_ACIDS, CODON_BASES
-from seqharbor.operators import genes as ops
+from seqharbor.operators import gene_chain as chains, genes as ops
 from seqharbor.plans.predict import gene_table
 
 from . import views
@@ -249,3 +249,80 @@ def sequence_arch_features(spark, sf):
     called = gene_table(ops.orf_scan(cut))
     context = ops.gene_context(called, most_genes=ops.most_orfs(1000))
     return tidy(ops.arch_features(cut, context, 1000))
+
+
+MODEL_CTES = {
+    **ORF_CTES,
+    "spans": """select o.accession, o.idx, o.begin_pos, o.end_pos, o.strand, s.seq,
+        case when o.strand=1 then o.begin_pos-1 else length(s.seq)-o.end_pos end a
+        from orfs o join sides s on o.accession=s.accession and o.strand=s.strand""",
+    "read": """select accession, idx, end_pos-begin_pos+1 size, substring(seq, a+3*t+1, 6) hexamer
+        from (select *, unnest(range(0, (end_pos-begin_pos+1)//3-1)) t from spans) x""",
+    "coded": f"select hexamer, count(*) n from read where size>={chains.TRAINING_BASES} group by hexamer",
+    "every": """select substring(seq, p+1, 6) hexamer, count(*) n
+        from (select seq, unnest(range(0, length(seq)-5)) p from sides) x group by 1""",
+    "names": "select concat(" + ", ".join(f"substr('ACGT', (i//{4**k}%4+1)::int, 1)" for k in range(5, -1, -1))
+    + f") hexamer from range({chains.HEXAMERS}) x(i)",
+    "counts": """select hexamer, coalesce(c.n,0)::bigint coding, coalesce(e.n,0)::bigint background
+        from names left join coded c using (hexamer) left join every e using (hexamer)""",
+    "model": f"""select *, floor(1000*ln(((coding+1)/(sum(coding) over ()+{chains.HEXAMERS})::double)
+        /((background+1)/(sum(background) over ()+{chains.HEXAMERS})::double))+0.5)::bigint weight from counts""",
+}
+
+
+@query("coding_model", sql(["v_sequences"], "select * from model", MODEL_CTES))
+def coding_model(spark, sf):
+    return chains.coding_model(chunks(spark, sf))
+
+
+# Totals of the best chain that ends in each frame, one frame of every chunk a round; then back from the best end.
+CHAIN_CTES = {
+    **MODEL_CTES,
+    "scored": """select accession, idx, coalesce(sum(weight),0)::bigint score
+        from read left join model using (hexamer) group by accession, idx""",
+    "cand": """select o.accession, o.idx, begin_pos b, end_pos e, strand s, score,
+        row_number() over (partition by o.accession order by end_pos, begin_pos, strand) k
+        from orfs o join scored using (accession, idx) where score>0""",
+    "lists": """select accession, list({'b': b, 'e': e, 's': s, 'score': score} order by k) l, count(*) n
+        from cand group by accession""",
+    "dp": """select accession, 0::bigint k, []::bigint[] totals from lists union all
+        select d.accession, d.k+1, list_append(totals, l[d.k+1].score + coalesce(list_max(list_transform(
+            list_filter(range(1, d.k+1), lambda j: {fits}), lambda j: totals[j])), 0))
+        from dp d join lists using (accession) where d.k<n""".format(
+        fits=f"""l[j].e<l[d.k+1].e and l[j].b<l[d.k+1].b and l[j].e-l[d.k+1].b+1<=
+            case when l[j].s=l[d.k+1].s then {chains.SAME_STRAND_OVERLAP} else {chains.OPPOSITE_STRAND_OVERLAP} end"""
+    ),
+    "summed": """select accession, unnest(totals) total, unnest(range(1, k+1)) k
+        from (select d.* from dp d join lists using (accession) where d.k=n) x""",
+    "ended": "select * from cand join summed using (accession, k)",
+    "links": f"""select y.accession, y.k, (arg_max(x.k, (x.total, -x.k)) filter (where x.e<y.e and x.b<y.b and x.e-y.b+1<=
+        case when x.s=y.s then {chains.SAME_STRAND_OVERLAP} else {chains.OPPOSITE_STRAND_OVERLAP} end)) before
+        from ended y join ended x on x.accession=y.accession group by y.accession, y.k""",
+    "kept_frames": """select accession, arg_max(k, (total, -k)) k from ended group by accession union all
+        select f.accession, l.before from kept_frames f join links l on l.accession=f.accession and l.k=f.k
+        where l.before is not null""",
+}
+
+
+def _recursive(text: str, names: list[str]) -> str:
+    for name in names:
+        text = text.replace(f"{name} as materialized (", f"{name} as (")
+    return "with recursive " + text.removeprefix("with ")
+
+
+@query(
+    "gene_chain",
+    _recursive(
+        sql(
+            ["v_sequences"],
+            """select accession, (row_number() over (partition by accession order by b, e, s))::int idx,
+            b begin_pos, e end_pos, s strand, score coding_score
+            from cand join kept_frames using (accession, k)""",
+            CHAIN_CTES,
+        ),
+        ["dp", "kept_frames"],
+    ),
+)
+def gene_chain(spark, sf):
+    found = chains.gene_chain(chunks(spark, sf))
+    return found.select("accession", "idx", "begin_pos", "end_pos", "strand", "coding_score")

@@ -30,6 +30,7 @@ from .sequences import fragment_size, min_length_filter
 MIN_RESIDUES = 90
 MIN_ORF_BASES = 90
 UPSTREAM = 20  # bases before a start codon that may hold its binding site
+GENE_ROWS = 20_000  # genes that a task holds before it sends them on
 GENE_BLOCK = 4096  # genes (or, for numbering, kilobases) per window block
 
 ORF_SCHEMA = (
@@ -56,7 +57,9 @@ def translate_codons(cds: str | Column) -> Column:
     )
 
 
-def _orf_finder(min_bases: int):
+def orf_finder(min_bases: int, choose=None):
+    """The scan of a task. ``choose``, if given, takes a sequence's letters as numbers and its frames, and returns
+    those to keep with a score at the end of each."""
     table, starts = codon_table(), list(START_CODONS)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,6 +96,11 @@ def _orf_finder(min_bases: int):
                 if i < j - (not open_end) and (j - i) * 3 >= min_bases:
                     yield i, j, part == 0, open_end
 
+        columns = [
+            "accession", "idx", "begin_pos", "end_pos", "strand", "partial_begin",
+            "partial_end", "start_type", "amino_acid_sequence", "upstream",
+            *([] if choose is None else ["coding_score"]),
+        ]
         for pdf in batches:
             found = []
             for accession, seq in zip(pdf["accession"], pdf["seq"]):
@@ -122,15 +130,14 @@ def _orf_finder(min_bases: int):
                                 low, high = length - high + 1, length - low + 1
                                 left, right = right, left
                             genes.append((low, high, strand, left, right, start, aa, before))
+                if choose is not None:
+                    genes = choose(forward, genes)
                 genes.sort(key=lambda gene: gene[:3])
                 found += [(accession, i, *gene) for i, gene in enumerate(genes, start=1)]
-            yield pd.DataFrame(
-                found,
-                columns=[
-                    "accession", "idx", "begin_pos", "end_pos", "strand", "partial_begin",
-                    "partial_end", "start_type", "amino_acid_sequence", "upstream",
-                ],
-            )
+                if len(found) >= GENE_ROWS:
+                    yield pd.DataFrame(found, columns=columns)
+                    found = []
+            yield pd.DataFrame(found, columns=columns)
 
     return find
 
@@ -154,18 +161,20 @@ def binding_site(upstream: str | Column) -> Column:
     return chain
 
 
-def orf_scan(chunks: DataFrame, min_bases: int = MIN_ORF_BASES) -> DataFrame:
+def orf_scan(chunks: DataFrame, min_bases: int = MIN_ORF_BASES, choose=None) -> DataFrame:
     """Open reading frames of both strands and all frames, one row each.
 
     In each frame a stretch between stop codons yields the gene from its first start codon to
     its stop. A stretch cut by the chunk's edge runs from or to that edge and is marked partial.
-    Sequences under 100 letters have none. No scoring picks among overlapping frames. The binding site is the
+    Sequences under 100 letters have none. Overlapping frames all stay, unless ``choose`` picks among them
+    (``gene_chain``); its scores come as ``coding_score``. The binding site is the
     strongest one in the bases before the start codon (``binding_site``); genes that begin at an edge have
     none. Genes are numbered by position where they are found, so the scan is map-only: neither chunks
     nor genes are shuffled.
     """
     inputs = min_length_filter(chunks.select("accession", "seq"))
-    orfs = inputs.mapInPandas(_orf_finder(min_bases), ORF_SCHEMA)
+    schema = ORF_SCHEMA if choose is None else f"{ORF_SCHEMA}, coding_score bigint"
+    orfs = inputs.mapInPandas(orf_finder(min_bases, choose), schema)
     site = binding_site("upstream")
     return orfs.select(
         *[c for c in orfs.columns if c != "upstream"],

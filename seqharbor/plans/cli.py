@@ -23,6 +23,7 @@ from ..functions.spread import spread
 from ..operators.alignment import search_alignments
 from ..operators.ensemble import MODES, label_list
 from ..operators.features import MASKS, TARGETS, assemble_features, union_feature_columns
+from ..operators.gene_chain import gene_chain
 from ..operators.genes import orf_scan
 from ..operators.markers import marker_features, marker_summary
 from ..operators.scoring import GateWeights
@@ -105,7 +106,8 @@ def load_ensemble(spark: SparkSession, folder: str, options: argparse.Namespace)
 
 def run_proteins(spark: SparkSession, o: argparse.Namespace) -> None:
     chunks = chunk_overlap(read_fasta(spark, o.fasta), o.chunk_size, o.overlap)
-    orfs = orf_scan(spread(chunks, "accession"))
+    chunks = spread(chunks, "accession")
+    orfs = gene_chain(chunks) if o.one_chain else orf_scan(chunks)
     write_protein_fasta(protein_table(orfs), f"{o.output}/{o.prefix}.proteins")
 
 
@@ -139,6 +141,7 @@ def _features(spark: SparkSession, o: argparse.Namespace):
         o.evalue,
         o.min_coverage,
         o.min_identity,
+        o.one_chain,
     )
 
 
@@ -203,6 +206,7 @@ def parser() -> argparse.ArgumentParser:
         job.add_argument("--force", dest="mode", action="store_const", const="overwrite", default="error")
         job.add_argument("--chunk-size", type=int, default=10000)
         job.add_argument("--overlap", type=int, default=1000)
+        job.add_argument("--one-chain", action="store_true", help="choose among overlapping genes by their coding score")
         if name == "proteins":
             continue
         job.add_argument("--hits", help="alignment hits of the proteins, 11 columns")

@@ -40,6 +40,7 @@ from ..operators.genes import (
     orf_scan,
     protein_table,
 )
+from ..operators.gene_chain import gene_chain
 from ..operators.markers import annotate_hits, extract_markers, marker_features, marker_summary
 from ..operators.scoring import (
     GateWeights,
@@ -80,17 +81,19 @@ def run_features(
     evalue: float = 1e-3,
     min_coverage: float = 0.0,
     min_identity: float = 0.0,
+    one_chain: bool = False,
 ) -> FeatureTables:
     """Chunk, scan genes, search markers.
 
     ``search`` is a table of alignment hits or a function from the protein table to one. Chunks
     feed the gene scan, the features and the sequence model, and genes feed the features and
     the search: both are written once in the shared folder. Later steps then read the columns
-    they need, not the sequence files again. A repeated or missing accession fails the run.
+    they need, not the sequence files again. A repeated or missing accession fails the run. With ``one_chain``
+    overlapping frames do not all stay: each chunk keeps its best chain of genes.
     """
     require_unique(sequences)
     chunks = materialize(chunk_overlap(sequences, chunk_size, overlap), "chunks")
-    orfs = materialize(orf_scan(chunks), "orfs")
+    orfs = materialize(gene_chain(chunks) if one_chain else orf_scan(chunks), "orfs")
     context = gene_context(gene_table(orfs), most_genes=most_orfs(chunk_size))
     arch = arch_features(chunks, context, chunk_size)
     proteins = protein_table(orfs)

@@ -50,6 +50,9 @@ def test_jobs(spark, tmp_path):
     cli.main(["proteins", *common], spark)
     proteins = fasta.read_fasta(spark, str(tmp_path / "out" / "run.proteins"))
     assert proteins.count() > 0
+    cli.main(["proteins", *common, "--one-chain", "--prefix", "chain"], spark)
+    chain = fasta.read_fasta(spark, str(tmp_path / "out" / "chain.proteins"))
+    assert chain.select("seq").subtract(proteins.select("seq")).count() == 0 and chain.count() < proteins.count()
     size = F.col("seq_len").cast("string")
     one = F.lit("1")
     line = F.concat_ws("\t", "accession", F.concat(F.lit("m"), F.col("seq_len") % 3), F.lit("1e-8"), size, size, size, one, size, one, size, size)
