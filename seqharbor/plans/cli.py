@@ -15,6 +15,9 @@ the Parquet tables ``marker_ref``, ``domain_trees`` and ``host_trees``.
 from __future__ import annotations
 
 import argparse
+from collections import Counter
+from dataclasses import replace
+from functools import reduce
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -65,16 +68,19 @@ ENSEMBLE_SCHEMA = T.StructType(
 )
 
 
-def load_ensemble(spark: SparkSession, folder: str, options: argparse.Namespace) -> Ensemble:
-    """The selected folds of a model folder."""
+def load_folder(
+    spark: SparkSession, folder: str, folds: list[str], calibration: str | None = None, names: dict[str, str] | None = None
+) -> Ensemble:
+    """The given folds of one model folder, called by ``names`` where that renames them."""
+    names = {fold: (names or {}).get(fold, fold) for fold in folds}
     configs = read_fold_configs(spark, folder)
-    folds = select_folds(configs, options.folds, options.fold_index, options.num_folds)
     first = configs.where(configs.fold == folds[0]).first()
     mapping = {int(k): v for k, v in (first["label_mapping"] or {}).items()}
     spec = spark.read.json(f"{folder}/ensemble.json", ENSEMBLE_SCHEMA, multiLine=True).first()
     gates = {
-        name: GateWeights(g["hidden_weight"], g["hidden_bias"], g["out_weight"], g["out_bias"])
-        for name, g in (spec["gates"] or {}).items()
+        names[fold]: GateWeights(g["hidden_weight"], g["hidden_bias"], g["out_weight"], g["out_bias"])
+        for fold, g in (spec["gates"] or {}).items()
+        if fold in names
     }
     differing = [
         c for c in ("label_mapping", "num_classes", "gate_marker_dim", "raw_feature_dim")
@@ -84,16 +90,23 @@ def load_ensemble(spark: SparkSession, folder: str, options: argparse.Namespace)
         raise ValueError(f"the folds differ in {differing}")
     own = spec["base_scores"] or {}
     common = spec["base_score"] or 0.0
-    base = {part: {f: own[f][part] if f in own and own[f][part] is not None else common for f in folds} for part in ("domain", "host")}
-    in_fold = F.col("fold").isin(folds)
+    base = {
+        part: {names[f]: own[f][part] if f in own and own[f][part] is not None else common for f in folds}
+        for part in ("domain", "host")
+    }
+
+    def of_folds(table: DataFrame) -> DataFrame:
+        called = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+        return table.where(F.col("fold").isin(folds)).withColumn("fold", called[F.col("fold")])
+
     lists = {k: list(spec[k]) for k in ("domain_features", "host_features") if spec[k]}
     return Ensemble(
-        folds=folds,
+        folds=[names[fold] for fold in folds],
         labels=label_list(mapping, len(mapping) or first["num_classes"]),
-        calibration=load_calibration(spark, options.calibration or f"{folder}/calibration.json"),
-        marker_ref=load_marker_ref(spark, f"{folder}/marker_ref"),
-        domain_trees=spark.read.parquet(f"{folder}/domain_trees").where(in_fold),
-        host_trees=spark.read.parquet(f"{folder}/host_trees").where(in_fold),
+        calibration=load_calibration(spark, calibration or f"{folder}/calibration.json"),
+        marker_ref=of_folds(load_marker_ref(spark, f"{folder}/marker_ref")),
+        domain_trees=of_folds(spark.read.parquet(f"{folder}/domain_trees")),
+        host_trees=of_folds(spark.read.parquet(f"{folder}/host_trees")),
         host_classes=list(spec["host_classes"]),
         gates=gates,
         gate_marker_dim=first["gate_marker_dim"],
@@ -104,6 +117,64 @@ def load_ensemble(spark: SparkSession, folder: str, options: argparse.Namespace)
     )
 
 
+def join_ensembles(parts: list[Ensemble]) -> Ensemble:
+    """One ensemble of the folds of several. They must agree in classes, features, dimensions and in having gates."""
+    first = parts[0]
+    same = ("labels", "host_classes", "domain_features", "host_features", "gate_marker_dim", "raw_feature_dim", "calibration")
+    differing = [name for name in same if any(getattr(p, name) != getattr(first, name) for p in parts)]
+    if len({bool(p.gates) for p in parts}) > 1:
+        differing.append("gates")
+    if differing:
+        raise ValueError(f"the model folders differ in {differing}")
+    tables = {
+        name: reduce(DataFrame.unionByName, [getattr(p, name) for p in parts])
+        for name in ("marker_ref", "domain_trees", "host_trees")
+    }
+    joined = {
+        name: {k: v for p in parts for k, v in getattr(p, name).items()} for name in ("gates", "base_score", "host_base_score")
+    }
+    return replace(first, folds=[fold for p in parts for fold in p.folds], **tables, **joined)
+
+
+def _picked_folders(folders: list[str]) -> dict[str, list[str]]:
+    """Fold folders by the model folder they lie in, in the order they are named."""
+    found: dict[str, list[str]] = {}
+    for path in folders:
+        parent, _, fold = path.rstrip("/").rpartition("/")
+        own = found.setdefault(parent or ".", [])
+        if fold in own:
+            raise ValueError(f"fold folder named twice: {path}")
+        own.append(fold)
+    return found
+
+
+def load_ensemble(spark: SparkSession, options: argparse.Namespace) -> Ensemble:
+    """The selected folds of ``--ensemble-dir``, or the fold folders of ``--fold-dirs``, from any number of model folders.
+
+    A fold whose name stands in two model folders is called ``folder/fold``. ``--calibration`` holds for all;
+    without it the model folders must hold the same calibration.
+    """
+    if not options.fold_dirs:
+        configs = read_fold_configs(spark, options.ensemble_dir)
+        folds = select_folds(configs, options.folds, options.fold_index, options.num_folds)
+        return load_folder(spark, options.ensemble_dir, folds, options.calibration)
+    picked = _picked_folders(options.fold_dirs)
+    for folder, folds in picked.items():
+        select_folds(read_fold_configs(spark, folder), folds, num_folds=len(folds))
+    counted = Counter(fold for folds in picked.values() for fold in folds)
+    parts = [
+        load_folder(
+            spark, folder, folds, options.calibration,
+            {fold: f"{folder.rpartition('/')[2]}/{fold}" for fold in folds if counted[fold] > 1},
+        )
+        for folder, folds in picked.items()
+    ]
+    names = [fold for part in parts for fold in part.folds]
+    if len(set(names)) < len(names):
+        raise ValueError(f"model folders of one name hold folds of one name: {names}")
+    return join_ensembles(parts)
+
+
 def run_proteins(spark: SparkSession, o: argparse.Namespace) -> None:
     chunks = chunk_overlap(read_fasta(spark, o.fasta), o.chunk_size, o.overlap)
     chunks = spread(chunks, "accession")
@@ -174,7 +245,7 @@ def _staged_or_new(
 
 
 def run_predict(spark: SparkSession, o: argparse.Namespace) -> None:
-    model = load_ensemble(spark, o.ensemble_dir, o)
+    model = load_ensemble(spark, o)
     chunks, arch, best = _staged_or_new(spark, o)
     logits = spark.read.parquet(o.model_logits) if o.model_logits else None
     if o.model:
@@ -219,7 +290,9 @@ def parser() -> argparse.ArgumentParser:
             job.add_argument("--hits-json", action="store_true")
             continue
         job.add_argument("--features", help="folder staged by the features job")
-        job.add_argument("--ensemble-dir", required=True)
+        models = job.add_mutually_exclusive_group(required=True)
+        models.add_argument("--ensemble-dir", help="one model folder")
+        models.add_argument("--fold-dirs", nargs="+", help="fold_* folders of one or several model folders")
         job.add_argument("--model-logits", help="Parquet (fold, accession, logits) of the sequence model")
         job.add_argument("--model", help="package.module:function, from a fold to its make_predict over sequences")
         job.add_argument("--batch-size", type=int, default=16)

@@ -100,3 +100,34 @@ def test_jobs(spark, tmp_path):
         cli.main(["predict", *common[:-4], "--features", staged, *models, "--prefix", "bad"], spark)
     with pytest.raises(SystemExit):
         cli.main(["predict", *common, *models], spark)
+
+
+def test_folds_of_several_model_folders(spark, tmp_path):
+    for name in ("a", "b"):
+        model_folder(spark, tmp_path / name)
+    fold = lambda name, i: str(tmp_path / name / f"fold_{i}")
+    options = lambda *rest: cli.parser().parse_args(["predict", "--fasta", "x", "--output", "y", *rest])
+
+    one = cli.load_ensemble(spark, options("--ensemble-dir", str(tmp_path / "a"), "--num-folds", "2"))
+    mixed = cli.load_ensemble(spark, options("--fold-dirs", fold("b", 1), fold("a", 0)))
+    assert mixed.folds == ["fold_1", "fold_0"] and set(mixed.gates) == set(one.gates) == {"fold_0", "fold_1"}
+    for name in ("marker_ref", "domain_trees", "host_trees"):
+        tables = [sorted(map(str, getattr(e, name).collect())) for e in (one, mixed)]
+        assert tables[0] == tables[1] and tables[0]
+
+    both = cli.load_ensemble(spark, options("--fold-dirs", fold("a", 0), fold("b", 0) + "/", fold("b", 1)))
+    assert both.folds == ["a/fold_0", "b/fold_0", "fold_1"] and set(both.gates) == set(both.folds) == set(both.base_score)
+    counts = {r["fold"]: r["count"] for r in both.domain_trees.groupBy("fold").count().collect()}
+    assert set(counts) == set(both.folds) and counts["a/fold_0"] == counts["b/fold_0"]
+
+    with pytest.raises(ValueError, match="folds not found"):
+        cli.load_ensemble(spark, options("--fold-dirs", fold("a", 0), fold("b", 7)))
+    with pytest.raises(ValueError, match="twice"):
+        cli.load_ensemble(spark, options("--fold-dirs", fold("a", 0), fold("a", 0)))
+    (tmp_path / "b" / "calibration.json").write_text('{"classes": {"0": {"w0": 0.7, "w1": 0.0}}}')
+    with pytest.raises(ValueError, match="calibration"):
+        cli.load_ensemble(spark, options("--fold-dirs", fold("a", 0), fold("b", 1)))
+    given = str(tmp_path / "a" / "calibration.json")
+    assert cli.load_ensemble(spark, options("--fold-dirs", fold("a", 0), fold("b", 1), "--calibration", given)).calibration == one.calibration
+    with pytest.raises(SystemExit):
+        options("--fold-dirs", fold("a", 0), "--ensemble-dir", str(tmp_path / "a"))
