@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import bounded, crc_fold, slices_by_bytes
+from .common import bounded, crc_fold, materialize, slices_by_bytes
 from .decontaminate import words
 
 BUCKETS = 1 << 20
@@ -135,12 +135,12 @@ def features(odds: Odds, best: np.ndarray, mass: np.ndarray, size: np.ndarray) -
     return np.stack([np.ones(len(best)), np.minimum(evidence(odds, best, size), 60.0), strong], axis=1)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
-    w = np.zeros(x.shape[1])
+def fit_logistic(sums, size: int, ridge: float = 1e-2) -> tuple[float, ...]:
+    """Newton steps; ``sums`` takes weights and gives the rows' gradient and curvature, added up."""
+    w = np.zeros(size)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        grad = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w)), grad)
+        gradient, curvature = sums(w)
+        step = np.linalg.solve(curvature + ridge * np.eye(size), gradient + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
@@ -179,7 +179,8 @@ def fit(
     give, and the log-odds themselves from all four folds.
 
     Document counts of hashed words and stems are added up on the cluster and come back as at most
-    ``buckets`` rows; the calibration sees three numbers of each labelled document of fold 4.
+    ``buckets`` rows; of the labelled documents of fold 4 the driver sees sums only. Rows that repeat a labelled id
+    all count; of two labels of one id the larger holds.
     """
     spark = bounded(docs.sparkSession)
     sent = spark.sparkContext.broadcast(training_labels(labels, most, key))
@@ -241,6 +242,8 @@ def _odds(found: np.ndarray, total: np.ndarray, columns: list, buckets: int) ->
 
 
 def _calibrate(source: DataFrame, odds: Odds, sent, key: str, text: str) -> Odds:
+    """Fit the scale and the logistic's weights. The segments of fold 4 are written in the shared folder and
+    stay there: the driver sees sums only, however many rows repeat a labelled id."""
     model = source.sparkSession.sparkContext.broadcast(odds)
 
     def measure(batches):
@@ -262,21 +265,42 @@ def _calibrate(source: DataFrame, odds: Odds, sent, key: str, text: str) -> Odds
                 names=["label", "n", "segments"],
             )
 
-    table = source.mapInArrow(measure, "label int, n bigint, segments array<double>").toArrow()
-    label, size, segments = (c.to_pylist() for c in table.columns)
-    if not label:  # nothing to calibrate with: the base rate, raised by the evidence
+    found = materialize(source.mapInArrow(measure, "label int, n bigint, segments array<double>"), "segments")
+    best, size = F.coalesce(F.array_max("segments"), F.lit(0.0)), F.greatest("n", F.lit(1)).cast("double")
+    calm = (F.col("label") == 0) & (F.col("n") > 0)
+    row = found.agg(
+        F.count("*").alias("rows"), F.count_if(calm).alias("calm"),
+        F.sum(F.when(calm, F.col("n") * F.exp(-odds.decay * best))).alias("expected"),
+    ).first()
+    if not row["rows"]:  # nothing to calibrate with: the base rate, raised by the evidence
         odds.weights = (float(logit(odds.rate)), 0.5, 0.0)
         return odds
-    y, n = np.array(label, dtype=float), np.array(size, dtype=float)
-    best = np.array([s[0] if s else 0.0 for s in segments])
-    calm = (y == 0) & (n > 0)
-    if calm.any():  # the likelihood's maximum for the scale, given the decay
-        odds.scale = float(calm.sum() / max((n[calm] * np.exp(-odds.decay * best[calm])).sum(), 1e-12))
-    mass = np.array([
-        sum(x for x in s if odds.scale * max(k, 1) * np.exp(-odds.decay * x) < SIGNIFICANT)
-        for s, k in zip(segments, n, strict=True)
-    ])
-    odds.weights = fit_logistic(features(odds, best, mass, n), y)
+    if row["calm"]:  # the likelihood's maximum for the scale, given the decay
+        odds.scale = float(row["calm"] / max(row["expected"], 1e-12))
+
+    def rate(score):
+        return F.lit(odds.scale) * size * F.exp(-odds.decay * score)
+
+    strong = F.filter("segments", lambda s: rate(s) < SIGNIFICANT)
+    mass = F.aggregate(strong, F.lit(0.0), lambda total, s: total + s)
+    chance = F.greatest(-F.expm1(-F.greatest(rate(best), F.lit(1e-300))), F.lit(1e-300))
+    x = found.select(
+        F.col("label").cast("double").alias("y"), F.lit(1.0).alias("x0"),
+        F.least(-F.log(chance), F.lit(60.0)).alias("x1"), F.log1p(mass).alias("x2"),
+    )
+    x = materialize(x, "evidence")
+    names = ["x0", "x1", "x2"]
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        line = sum(F.col(c) * F.lit(float(v)) for c, v in zip(names, w, strict=True))
+        p = 1 / (1 + F.exp(-F.greatest(F.least(line, F.lit(500.0)), F.lit(-500.0))))
+        at = x.withColumn("p", p).withColumn("v", F.col("p") * (1 - F.col("p")) + F.lit(1e-9))
+        gradient = [F.sum(F.col(c) * (F.col("p") - F.col("y"))) for c in names]
+        curvature = [F.sum(F.col(c) * F.col(d) * F.col("v")) for c in names for d in names]
+        added = np.array(list(at.agg(*gradient, *curvature).first()))
+        return added[:3], added[3:].reshape(3, 3)
+
+    odds.weights = fit_logistic(sums, 3)
     return odds
 
 
