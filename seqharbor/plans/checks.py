@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+MOST_SHOWN = 100  # problems that an error lists
 PROBLEM_SCHEMA = "table_name string, problem string, detail string, n_rows bigint"
 
 
@@ -80,15 +81,28 @@ def find_problems(spark: SparkSession, checks: list[TableCheck]) -> DataFrame:
     return result
 
 
-def validate_inputs(spark: SparkSession, checks: list[TableCheck]) -> None:
-    """Raise one error that lists all problems, if there are any."""
-    problems = find_problems(spark, checks).orderBy("table_name", "problem", "detail").collect()
+def validate_inputs(spark: SparkSession, checks: list[TableCheck], most: int = MOST_SHOWN) -> None:
+    """Raise one error that lists the problems, if there are any: the first ``most`` of them."""
+    ordered = find_problems(spark, checks).orderBy("table_name", "problem", "detail")
+    problems = ordered.limit(most + 1).collect()
     if problems:
-        lines = [f"{p.table_name}: {p.problem} {p.detail} ({p.n_rows})" for p in problems]
-        raise ValueError("input checks failed:\n  " + "\n  ".join(lines))
+        lines = [f"{p.table_name}: {p.problem} {p.detail} ({p.n_rows})" for p in problems[:most]]
+        raise ValueError("\n  ".join(["input checks failed:", *lines, *(["and more"] if len(problems) > most else [])]))
+
+
+def require_paths(spark: SparkSession, paths: dict[str, str]) -> None:
+    """Raise one error that names every path (or pattern) that leads to no file; keys say what a path is for."""
+    conf = spark._jsc.hadoopConfiguration()
+    missing = []
+    for purpose, name in paths.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if not path.getFileSystem(conf).globStatus(path):
+            missing.append(f"{purpose}: {name}")
+    if missing:
+        raise FileNotFoundError("\n  ".join(["inputs not found:", *missing]))
 
 
 def require_unique(sequences: DataFrame, name: str = "sequences") -> None:
-    """Fail, naming all of them, on accessions that are missing or stand twice."""
+    """Fail on accessions that are missing or stand twice, naming the first of them."""
     check = TableCheck(name, sequences.select("accession"), ["accession"], ["accession"])
     validate_inputs(sequences.sparkSession, [check])

@@ -37,7 +37,7 @@ from ..sources.hits_json import write_hits_json
 from ..sources.models import load_calibration, load_marker_ref, read_fold_configs, select_folds
 from ..sources.reports import load_staged_features, stage_features, write_report
 from ..sources.tables import read_alignment_hits, read_marker_metadata
-from .checks import require_unique
+from .checks import TableCheck, require_paths, require_unique, validate_inputs
 from .predict import Ensemble, protein_table, report_run, run_features, score_folds, score_model
 
 _NUMBERS = T.ArrayType(T.DoubleType())
@@ -244,10 +244,34 @@ def _staged_or_new(
     return tables.chunks, tables.arch, tables.best
 
 
+def input_paths(o: argparse.Namespace) -> dict[str, str]:
+    """All that a job is going to read, by what it is for."""
+    found = {"sequences": o.fasta}
+    if o.job == "proteins":
+        return found
+    if getattr(o, "features", None):
+        found |= {f"staged {name}": f"{o.features}/{name}" for name in ("arch_features", "hits", "annotations")}
+    else:
+        found |= {"alignment hits": o.hits} if o.hits else {"marker proteins": o.marker_proteins}
+        found["marker table"] = o.metadata
+    if o.job == "features":
+        return found
+    folders = _picked_folders(o.fold_dirs) if o.fold_dirs else {o.ensemble_dir: o.folds or ["fold_*"]}
+    for folder, folds in folders.items():
+        found |= {f"{folder}: {name}": f"{folder}/{name}" for name in ("ensemble.json", "marker_ref", "domain_trees", "host_trees")}
+        found |= {f"{folder}: {fold}": f"{folder}/{fold}/config.json" for fold in folds}
+        found |= {"calibration": o.calibration} if o.calibration else {f"{folder}: calibration": f"{folder}/calibration.json"}
+    return found | ({"model logits": o.model_logits} if o.model_logits else {})
+
+
 def run_predict(spark: SparkSession, o: argparse.Namespace) -> None:
     model = load_ensemble(spark, o)
-    chunks, arch, best = _staged_or_new(spark, o)
     logits = spark.read.parquet(o.model_logits) if o.model_logits else None
+    given = [TableCheck("marker reference", model.marker_ref, ["fold", "marker", "class_code", "cutoff"], ["fold", "marker"])]
+    if logits is not None:
+        given.append(TableCheck("model logits", logits, ["fold", "accession", "logits"], ["fold", "accession"]))
+    validate_inputs(spark, given)
+    chunks, arch, best = _staged_or_new(spark, o)
     if o.model:
         models = load_models(o.model, model.folds)
         logits = score_model(chunks, models, ["seq"], o.batch_size, o.pad_tolerance)
@@ -317,5 +341,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         if not ((options.hits or options.marker_proteins) and options.metadata):
             top.error("--hits or --marker-proteins, and --metadata, are needed without staged features")
     spark = spark or build_session()
+    require_paths(spark, input_paths(options))
     with scratch_run(spark, options.job):
         options.run(spark, options)

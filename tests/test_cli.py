@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqharbor.plans import cli
+from seqharbor.plans.checks import require_unique
 from seqharbor.sources import fasta, hits_json
 
 
@@ -131,3 +132,31 @@ def test_folds_of_several_model_folders(spark, tmp_path):
     assert cli.load_ensemble(spark, options("--fold-dirs", fold("a", 0), fold("b", 1), "--calibration", given)).calibration == one.calibration
     with pytest.raises(SystemExit):
         options("--fold-dirs", fold("a", 0), "--ensemble-dir", str(tmp_path / "a"))
+
+
+def test_inputs_are_checked_before_a_job_runs(spark, tmp_path):
+    model_folder(spark, tmp_path / "models")
+    (tmp_path / "in.fasta").write_text(">g0\n" + "ACGT" * 100 + "\n")
+    common = ["predict", "--fasta", str(tmp_path / "*.fasta"), "--output", str(tmp_path / "out"), "--features", str(tmp_path / "staged")]
+    with pytest.raises(FileNotFoundError) as raised:
+        cli.main([*common, "--fold-dirs", str(tmp_path / "models" / "fold_0"), str(tmp_path / "none" / "fold_1"), "--model-logits", str(tmp_path / "logits")], spark)
+    text = str(raised.value)
+    named = ("staged/arch_features", "staged/hits", "staged/annotations", "none/ensemble.json", "none/marker_ref", "none/domain_trees",
+             "none/host_trees", "none/fold_1/config.json", "none/calibration.json", "logits")
+    assert text.count("\n") == len(named) and all(f"{tmp_path}/{name}" in text for name in named)
+
+    for name in ("arch_features", "hits", "annotations"):
+        (tmp_path / "staged" / name).mkdir(parents=True)
+    twice = [("fold_0", "g0_1", [0.0] * 5)] * 2 + [(None, "g0_1", [0.0] * 5)]
+    spark.createDataFrame(twice, "fold string, accession string, logits array<double>").write.parquet(str(tmp_path / "logits"))
+    with pytest.raises(ValueError) as raised:
+        cli.main([*common, "--ensemble-dir", str(tmp_path / "models"), "--num-folds", "2", "--model-logits", str(tmp_path / "logits")], spark)
+    assert "model logits: null key fold|accession (1)" in str(raised.value)
+    assert "model logits: duplicate key fold_0|g0_1 (2)" in str(raised.value)
+
+
+def test_an_error_lists_a_bounded_number_of_problems(spark):
+    frame = spark.range(300).selectExpr("cast(id % 150 as string) accession")
+    with pytest.raises(ValueError) as raised:
+        require_unique(frame)
+    assert len(str(raised.value).splitlines()) == 102 and str(raised.value).endswith("and more")
