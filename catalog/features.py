@@ -12,6 +12,7 @@ from seqharbor.constants import ARCH_MODEL_FEATURES, DOMAIN_MARKER_FEATURES, HOS
 from seqharbor.operators import features as ops
 from seqharbor.operators import markers as marker_ops
 from seqharbor.operators.scoring import hierarchical_probs, score_trees
+from seqharbor.session import materialize
 
 from . import views
 from .genes import FEATURE_CTES, arch
@@ -46,8 +47,8 @@ def rounded(names: list[str]) -> str:
     return ", ".join(r(name, alias=name) for name in names)
 
 
-def marker_table(spark, sf):
-    _, best = marker_ops.extract_markers(views.gene_hits(spark, sf), views.markers(spark, sf))
+def marker_table(spark, sf, genes=None):
+    _, best = marker_ops.extract_markers(views.gene_hits(spark, sf, genes), views.markers(spark, sf))
     summary = marker_ops.marker_summary(
         views.gene_chunks(spark, sf), best, views.marker_ref(spark, sf), MARKER_FOLDS
     )
@@ -55,7 +56,8 @@ def marker_table(spark, sf):
 
 
 def wide(spark, sf):
-    return ops.assemble_features(arch(spark, sf), marker_table(spark, sf))
+    genes = materialize(views.genes(spark, sf), "genes")  # ranked once, read by both sides
+    return ops.assemble_features(arch(spark, sf, genes=genes), marker_table(spark, sf, genes))
 
 
 @query(

@@ -154,8 +154,8 @@ CONTEXT_CTES = {
 }
 
 
-def context(spark, sf):
-    return ops.gene_context(views.genes(spark, sf))
+def context(spark, sf, genes=None):
+    return ops.gene_context(genes or views.genes(spark, sf))
 
 
 @query(
@@ -188,9 +188,9 @@ FEATURE_CTES = {
 ROUNDED_ARCH = ", ".join(r(name, alias=name) for name in ARCH_FEATURES)
 
 
-def arch(spark, sf, with_lengths=False):
+def arch(spark, sf, with_lengths=False, genes=None):
     return ops.arch_features(
-        views.gene_chunks(spark, sf), context(spark, sf), 10000, with_lengths
+        views.gene_chunks(spark, sf), context(spark, sf, genes), 10000, with_lengths
     )
 
 

@@ -417,17 +417,14 @@ REST = ["null::double"] * (DIM - OUT)
     ),
 )
 def attention_pooling(spark, sf):
-    """The three head combinations; a projection has fewer entries than the weighted sum."""
-    v = views.vectors(spark, sf)
+    """The three head combinations of one pooling; a projection has fewer entries than the weighted sum."""
     how = {
         "weighted_sum": {"head_weights": HEAD_WEIGHT},
         "linear": {"projection": (W_LINEAR, B_LINEAR)},
         "bottleneck": {"projection": (W_NECK, B_NECK, W_OUT, B_OUT)},
     }
-    parts = [
-        unpack(
-            ops.attention_pooling(v, Q, TEMPERATURE, name, **extra), "pooled", DIM if name == "weighted_sum" else OUT, "d"
-        ).withColumn("how", F.lit(name))
-        for name, extra in how.items()
-    ]
-    return tidy(parts[0].unionByName(parts[1], True).unionByName(parts[2], True))
+    pooled = ops.attention_heads(views.vectors(spark, sf), Q, TEMPERATURE)
+    mixed = pooled.select("grp", *[ops.combine_heads("heads", HEADS, DIM, name, **how[name]).alias(name) for name in how])
+    each = F.array(*[F.struct(F.lit(name).alias("how"), F.col(name).alias("pooled")) for name in how])
+    rows = mixed.select("grp", F.explode(each).alias("part")).select("grp", "part.*")
+    return tidy(rows.select("grp", "how", *[F.get("pooled", F.lit(i)).alias(f"d{i}") for i in range(DIM)]))

@@ -131,9 +131,9 @@ def marker_ref(spark, sf, folds: int = 2) -> DataFrame:
     )
 
 
-def gene_hits(spark, sf) -> DataFrame:
-    """Alignment hits whose queries are proteins of the gene view."""
-    g = genes(spark, sf)
+def gene_hits(spark, sf, written: DataFrame | None = None) -> DataFrame:
+    """Alignment hits whose queries are proteins of the gene view, or of that view once written."""
+    g = written or genes(spark, sf)
     aligned = F.floor(F.col("aa_len") * F.lit(0.75)).cast("bigint")
     return g.select(
         F.concat("accession", F.lit("_"), "idx").alias("query"),

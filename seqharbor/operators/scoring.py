@@ -18,6 +18,7 @@ from ..functions.vectors import entries, names, pack, with_entries, with_softmax
 
 MIN_PROB = 1e-7
 EXPRESSION_NODES = 300
+POOL_CELLS = 1 << 20  # heads x entries x rows that pooling holds at once
 
 TREE_COLUMNS = [
     "fold", "tree", "node", "feature", "threshold", "left", "right", "default_left", "leaf", "class",
@@ -493,69 +494,140 @@ def masked_pooling(
     return sums.select(key, F.transform("_s", lambda s: s / count).alias(out))
 
 
-def attention_pooling(
+def attention_heads(
     df: DataFrame,
     queries: list[list[float]],
     temperatures: list[float],
-    combine: str = "weighted_sum",
-    head_weights: list[float] | None = None,
-    projection: tuple | None = None,
     key: str = "grp",
     mask: str = "mask",
     vector: str = "vec",
-    out: str = "pooled",
+    out: str = "heads",
 ) -> DataFrame:
-    """Per head: masked softmax of ``v.q / T`` over the group, weighted sum of the vectors; heads
-    are combined by ``weighted_sum`` (weights), ``linear`` (W, b) or ``bottleneck`` (W1, b1, W2, b2).
-
-    Two grouped passes with partial aggregation (maximum, then sums of exponentials). The maxima
-    are joined back by key; adaptive execution splits a key that dominates.
+    """Per group and head the softmax-weighted sum of the vectors, the heads one after the other in ``out``.
+
+    A head scores a vector by ``v.q / T``; hidden rows count with a score of -1e9. A vector is
+    scored once: a task folds each slice of bounded size to one state per group (per head the greatest
+    score, the sum of ``exp(score - greatest)`` and the vectors' sum so weighted), states of a
+    group meet in one shuffle and are merged as they arrive in the order of their group. A group that
+    holds most rows sends one state per slice and is never gathered. A null vector or mask is an
+    error; rows with a null key are a group. A table without rows has no groups.
     """
     heads, dim = len(queries), len(queries[0])
-    if combine not in ("weighted_sum", "linear", "bottleneck"):
-        raise ValueError(f"unknown head combination: {combine}")
     scaled = np.asarray(queries, float) / np.clip(np.asarray(temperatures, float), 0.1, 10.0)[:, None]
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def head_scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for vectors in batches:
-            if not len(vectors):
-                yield pd.Series([], dtype=object)
-                continue
-            yield pd.Series(list(np.stack(vectors.to_numpy()).astype(float) @ scaled.T), dtype=object)
-
-    dense = F.col(vector).cast("array<double>")
-    scored = df.select(
-        key, F.col(mask).alias("_on"), array_to_vector(dense).alias("_v"), head_scores(dense).alias("_raw")
-    )
-    hidden = F.lit(-1e9)
-    scored = with_entries(
-        scored, "s", [F.when(F.col("_on"), F.col("_raw")[h]).otherwise(hidden) for h in range(heads)]
-    ).drop("_raw", "_on")
-    tops = scored.groupBy(key).agg(*[F.max(f"_s{h}").alias(f"_t{h}") for h in range(heads)])
-    joined = scored.join(tops, key)
-    joined = with_entries(
-        joined, "w", [F.exp(F.col(f"_s{h}") - F.col(f"_t{h}")) for h in range(heads)]
-    )
-    # The mean weighted by the softmax numerators is the softmax-weighted sum.
-    pooled = joined.groupBy(key).agg(
-        *[
-            vector_to_array(Summarizer.mean(F.col("_v"), F.col(f"_w{h}"))).alias(f"_h{h}")
-            for h in range(heads)
-        ]
-    )
+    group = df.select(key).schema[0]
+    state = T.StructType([group, T.StructField("_state", T.ArrayType(T.DoubleType()))])
+    done = T.StructType([group, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def folded(tops: np.ndarray, sums: np.ndarray, vectors: np.ndarray, codes: np.ndarray, groups: int) -> np.ndarray:
+        """States of rows, or of states, by group: a row is a state with sum 1 and its own vector."""
+        best = np.full((groups, heads), -np.inf)
+        np.maximum.at(best, codes, tops)
+        scale = np.exp(tops - best[codes])
+        total_weight = np.zeros((groups, heads))
+        np.add.at(total_weight, codes, sums * scale)
+        weighted = np.zeros((groups, heads, dim))
+        np.add.at(weighted, codes, vectors * scale[:, :, None])
+        return np.concatenate([best, total_weight, weighted.reshape(groups, -1)], axis=1)
+
+    def parts(states: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return states[:, :heads], states[:, heads : 2 * heads], states[:, 2 * heads :].reshape(-1, heads, dim)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, POOL_CELLS // (heads * dim))
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                yield batch.slice(start, step)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            keys, codes = _groups(batch.column(0))
+            dense = _dense(batch.column(2), dim)
+            on = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            tops = np.where(on[:, None], dense @ scaled.T, -1e9)
+            rows = np.broadcast_to(dense[:, None, :], (len(dense), heads, dim))
+            yield _state_batch(keys, folded(tops, np.ones_like(tops), rows, codes, len(keys)), [key, "_state"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, open_state = None, None  # of the group that the next batch may continue
+        for batch in pieces(batches):
+            column, states = batch.column(0), _dense(batch.column(1), heads * (2 + dim))
+            if open_state is not None:
+                column = pa.concat_arrays([open_key, column])
+                states = np.concatenate([open_state, states])
+            keys, codes = _groups(column)
+            states = folded(*parts(states), codes, len(keys))
+            open_key, open_state = keys.slice(len(keys) - 1), states[-1:]
+            if len(keys) > 1:
+                yield _pooled_batch(keys.slice(0, len(keys) - 1), states[:-1])
+        if open_state is not None:
+            yield _pooled_batch(open_key, open_state)
+
+    def _pooled_batch(keys: pa.Array, states: np.ndarray) -> pa.RecordBatch:
+        _, sums, vectors = parts(states)
+        return _state_batch(keys, (vectors / sums[:, :, None]).reshape(len(keys), -1), [key, out])
+
+    rows = df.select(key, F.col(mask).alias("_on"), F.col(vector).cast("array<double>").alias("_v"))
+    states = rows.mapInArrow(fold, state)
+    return states.repartition(key).sortWithinPartitions(key).mapInArrow(merge, done)
+
+
+def _groups(keys: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct keys in the order of their first row, and each row's place among them."""
+    coded = keys.dictionary_encode(null_encoding="encode")
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+
+
+def _dense(column: pa.Array, size: int) -> np.ndarray:
+    values = column.flatten()
+    if column.null_count or values.null_count or len(values) != size * len(column):
+        raise ValueError(f"vectors must have {size} entries, none of them null")
+    return values.to_numpy(zero_copy_only=False).reshape(len(column), size)
+
+
+def _state_batch(keys: pa.Array, values: np.ndarray, columns: list[str]) -> pa.RecordBatch:
+    offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values).reshape(-1)))
+    return pa.RecordBatch.from_arrays([keys, lists], columns)
+
+
+def combine_heads(
+    stacked: str | Column,
+    heads: int,
+    dim: int,
+    combine: str = "weighted_sum",
+    head_weights: list[float] | None = None,
+    projection: tuple | None = None,
+) -> Column:
+    """One vector from the heads of a group: ``weighted_sum`` (weights), ``linear`` (W, b) or
+    ``bottleneck`` (W1, b1, W2, b2)."""
+    column = F.col(stacked) if isinstance(stacked, str) else stacked
     if combine == "weighted_sum":
         weights = head_weights or [1.0 / heads] * heads
-        positions = F.sequence(F.lit(0), F.lit(dim - 1))
-        mixed = F.transform(
-            positions,
-            lambda i: total(
-                [F.lit(float(weights[h])) * F.get(F.col(f"_h{h}"), i) for h in range(heads)]
-            ),
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(dim - 1)),
+            lambda i: total([F.lit(float(weights[h])) * F.get(column, i + h * dim) for h in range(heads)]),
         )
-        return pooled.select(key, mixed.alias(out))
-    stacked = F.concat(*[F.col(f"_h{h}") for h in range(heads)])
-    return pooled.select(key, _projection(projection, combine)(stacked).alias(out))
+    if combine not in ("linear", "bottleneck"):
+        raise ValueError(f"unknown head combination: {combine}")
+    return _projection(projection, combine)(column)
+
+
+def attention_pooling(
+    df: DataFrame,
+    queries: list[list[float]],
+    temperatures: list[float],
+    combine: str = "weighted_sum",
+    head_weights: list[float] | None = None,
+    projection: tuple | None = None,
+    key: str = "grp",
+    mask: str = "mask",
+    vector: str = "vec",
+    out: str = "pooled",
+) -> DataFrame:
+    """``attention_heads`` and ``combine_heads`` in one: a pooled vector per group."""
+    pooled = attention_heads(df, queries, temperatures, key, mask, vector, "_heads")
+    mixed = combine_heads("_heads", len(queries), len(queries[0]), combine, head_weights, projection)
+    return pooled.select(key, mixed.alias(out))
 
 
 def _projection(projection: tuple, combine: str):

@@ -213,6 +213,38 @@ def test_attention_pooling(spark):
         ops.attention_pooling(df, queries, temps, "other")
 
 
+def test_attention_heads_of_a_group_over_many_batches(spark):
+    rng = np.random.default_rng(3)
+    queries, temps = rng.normal(size=(3, 4)), [0.5, 1.0, 20.0]
+    groups = [None if i % 50 == 0 else 1 if i % 3 else i % 17 for i in range(4000)]
+    data = [(g, bool(rng.random() < 0.8), (rng.normal(size=4) * 30).tolist(), "x") for g in groups]
+    df = spark.createDataFrame(data, "grp int, mask boolean, vec array<double>, heads string").repartition(7)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16")  # a group's states reach its task in more than one batch
+    try:
+        pooled = ops.attention_heads(df, queries.tolist(), temps)
+        plan = pooled._jdf.queryExecution().executedPlan().toString()  # before it runs, so it is printed once
+        got = {r["grp"]: r["heads"] for r in pooled.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert set(got) == set(groups)
+    for group in set(groups):
+        v = np.array([d[2] for d in data if d[0] == group])
+        on = np.array([d[1] for d in data if d[0] == group])
+        expected = []
+        for q, t in zip(queries, np.clip(temps, 0.1, 10.0)):
+            s = np.where(on, v @ q / t, -1e9)
+            w = np.exp(s - s.max())
+            expected.extend((w[:, None] * v).sum(0) / w.sum())
+        assert got[group] == pytest.approx(expected)
+    assert ops.attention_heads(df.limit(0), queries.tolist(), temps).count() == 0
+    with_null = df.selectExpr("grp", "mask", "if(grp = 1, null, vec) AS vec")
+    with pytest.raises(Exception, match="none of them null"):
+        ops.attention_heads(with_null, queries.tolist(), temps).collect()
+
+
 def test_user_model_keeps_the_key(spark):
     def make_predict():
         return lambda vectors: np.asarray(vectors) * 2.0
