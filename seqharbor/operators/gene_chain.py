@@ -8,12 +8,13 @@ chain does not depend on the order of sums.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .genes import MIN_ORF_BASES, orf_finder, orf_scan
+from .genes import MIN_ORF_BASES, Scan, orf_scan, scan_slices
 from .sequences import min_length_filter
 
 HEXAMERS = 4096
@@ -22,29 +23,19 @@ SAME_STRAND_OVERLAP = 60
 OPPOSITE_STRAND_OVERLAP = 30
 
 
-def hexamer_codes(letters: np.ndarray) -> np.ndarray:
-    """Number of the hexamer that begins at each position; 4096 if it has a letter other than ACGT."""
-    n = max(len(letters) - 5, 0)
-    codes, unknown = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
-    for i in range(6):
-        part = letters[i : i + n]
-        codes = codes * 4 + part
-        unknown |= part > 3
-    codes[unknown] = HEXAMERS
+def hexamer_codes(scan: Scan) -> np.ndarray:
+    """Number of the hexamer that each codon begins with the next of its run; 4096 if it has a letter other than ACGT, or no next."""
+    number = np.full(125, HEXAMERS, dtype=np.int32)
+    for a in range(4):
+        for b in range(4):
+            number[a * 25 + b * 5 + np.arange(4)] = a * 16 + b * 4 + np.arange(4)
+    codons = number[scan.codons]
+    codes = np.full(len(codons), HEXAMERS, dtype=np.int32)
+    codes[:-1] = np.minimum(codons[:-1] * 64 + codons[1:], HEXAMERS)
+    codes[scan.stops[scan.stops > 0] - 1] = HEXAMERS
     return codes
 
 
-def _strands(letters: np.ndarray) -> dict[int, np.ndarray]:
-    paired = np.where(letters < 4, 3 - letters, letters)[::-1]
-    return {1: hexamer_codes(letters), -1: hexamer_codes(paired)}
-
-
-def _span(gene: tuple, length: int) -> tuple[int, int]:
-    """First base and end of a gene, counted along its own strand."""
-    low, high, strand = gene[:3]
-    return (low - 1, high) if strand == 1 else (length - high, length - low + 1)
-
-
 def coding_model(chunks: DataFrame, training_bases: int = TRAINING_BASES) -> DataFrame:
     """``(hexamer, coding, background, weight)``, always 4096 rows.
 
@@ -53,26 +44,22 @@ def coding_model(chunks: DataFrame, training_bases: int = TRAINING_BASES) -> Dat
     thousandths, rounded, each count raised by one. Tasks send their sums only. Sequences under 100 letters do not count.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, HEXAMERS + 1), dtype=np.int64)
-
-        def note(letters, genes):
-            strands = _strands(letters)
-            for codes in strands.values():
-                sums[1] += np.bincount(codes, minlength=HEXAMERS + 1)
-            for gene in genes:
-                first, end = _span(gene, len(letters))
-                np.add.at(sums[0], strands[gene[2]][first : end - 5 : 3], 1)
-            return []
-
-        for _ in orf_finder(training_bases, note)(batches):
-            pass
+        for _, scan in scan_slices(batches, training_bases):
+            codes = hexamer_codes(scan)
+            sums[1] += np.bincount(codes, minlength=HEXAMERS + 1)
+            inside = np.zeros(len(codes) + 1, dtype=np.int8)  # frames of a run do not overlap
+            inside[scan.first] += 1
+            inside[scan.last - 1] -= 1
+            sums[0] += np.bincount(codes[np.cumsum(inside[:-1], dtype=np.int8) > 0], minlength=HEXAMERS + 1)
         met = np.flatnonzero(sums[1][:HEXAMERS])
-        yield pd.DataFrame({"id": met, "coding": sums[0][met], "background": sums[1][met]})
+        columns = [pa.array(c) for c in (met, sums[0][met], sums[1][met])]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "coding", "background"])
 
     sums = (
         min_length_filter(chunks.select("accession", "seq"))
-        .mapInPandas(count, "id bigint, coding bigint, background bigint")
+        .mapInArrow(count, "id bigint, coding bigint, background bigint")
         .groupBy("id")
         .agg(F.sum("coding").alias("coding"), F.sum("background").alias("background"))
     )
@@ -151,20 +138,18 @@ def best_chain(
 
 
 def _chooser(weights: np.ndarray, same: int, opposite: int):
-    def choose(letters: np.ndarray, genes: list[tuple]) -> list[tuple]:
-        sums = {}
-        for strand, codes in _strands(letters).items():
-            values = weights[codes]
-            sums[strand] = np.zeros(len(values) + 3, dtype=np.int64)
-            for frame in range(3):
-                sums[strand][frame + 3 :: 3] = np.cumsum(values[frame::3])
-        genes = sorted(genes, key=lambda gene: (gene[1], gene[0], gene[2]))
-        score = []
-        for gene in genes:
-            first, end = _span(gene, len(letters))
-            score.append(int(sums[gene[2]][end - 3] - sums[gene[2]][first]))
-        kept = best_chain(*[[gene[i] for gene in genes] for i in range(3)], score, same, opposite)
-        return [(*genes[i], score[i]) for i in kept]
+    def choose(scan: Scan) -> tuple[np.ndarray, np.ndarray]:
+        sums = np.concatenate([[0], np.cumsum(weights[hexamer_codes(scan)])])
+        score = sums[scan.last - 1] - sums[scan.first]
+        order = np.lexsort((scan.strand, scan.low, scan.high, scan.sequence))
+        order = order[score[order] > 0]  # no other frame can be taken
+        columns = [c[order].tolist() for c in (scan.low, scan.high, scan.strand, score)]
+        cuts = np.flatnonzero(np.diff(scan.sequence[order])) + 1
+        kept = []
+        for a, b in pairwise([0, *cuts.tolist(), len(order)]):
+            kept += [a + i for i in best_chain(*[c[a:b] for c in columns], same, opposite)]
+        places = np.sort(order[np.array(kept, dtype=np.int64)])
+        return places, score[places]
 
     return choose
 
