@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalog import views
 from seqharbor.constants import BINDING_SITES
-from seqharbor.operators import gene_chain as chains, genes as ops
+from seqharbor.operators import gene_chain as chains, genes as ops, sequences
 
 from tests.test_genes import brute_site, scan_loop
 
@@ -69,3 +69,26 @@ def test_every_character_becomes_the_same_base(spark):
     for pattern, base in views.OTHERS:
         seq = F.regexp_replace(seq, pattern, base)
     assert got == [r[0] for r in frame.select(seq).collect()]
+
+
+def test_shuffle_holds_slices(monkeypatch):
+    rng = random.Random(4)
+    seqs = ["".join(rng.choices("ACGTN", k=1000)) for _ in range(200)] + [None, "", "äö€x" * 3]
+    names = [f"s{i}" for i in range(len(seqs))]
+    given = pa.RecordBatch.from_pydict({"accession": names, "seq": seqs, "_seed": list(range(len(seqs)))})
+    whole = pa.Table.from_batches(sequences._shuffled([given]))
+    monkeypatch.setattr(sequences, "SHUFFLE_BYTES", 5000)
+    parts = list(sequences._shuffled([given]))
+    assert pa.Table.from_batches(parts).to_pylist() == whole.to_pylist()
+    assert max(part.num_rows for part in parts[:-1]) <= 6
+    for before, after in zip(seqs, whole.column("seq").to_pylist(), strict=True):
+        assert after is None if before is None else sorted(after) == sorted(before)
+
+
+def test_sequences_come_in_small_batches(spark):
+    frame = spark.createDataFrame([(f"s{i}", "ACGT" * 25_000) for i in range(120)], "accession string, seq string").coalesce(1)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    shuffled = sequences.shuffle_sequence(frame)
+    assert shuffled.count() == 120
+    got = [r[0] for r in frame.mapInArrow(sizes, "n bigint").collect()]
+    assert len(got) > 1 and max(got) < 8 << 20
