@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +46,22 @@ def test_spread_leaves_wide_scans(spark, tmp_path):
     assert spread(wide, "id") is wide
 
 
+def test_spread_counts_rows_of_tasks_not_tasks(spark, tmp_path, rows):
+    path = str(tmp_path / "grouped")
+    table = pa.table({"id": list(range(2000)), "text": [f"{i:040d}" for i in range(2000)]})
+    pq.write_table(table, path, row_group_size=2000, compression="none")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        scan = spark.read.parquet(path)
+        assert scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = [len(part) for part in spread(scan, "id").rdd.glom().collect()]
+        assert max(sizes) * spark.sparkContext.defaultParallelism <= 2 * sum(sizes) == 4000
+        assert rows(spread(scan, "id")) == rows(scan)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 def test_shared_folder(spark, rows):
     assert session.shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
     df = spark.createDataFrame([("a", [1.0], None)], "k string, v array<double>, n int")
