@@ -12,14 +12,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import RESIDUE_FREQUENCIES
 from ..functions.spread import broadcast_if_small
 from ..session import materialize
+from .seeds import seed_table, shared_diagonals
 
 BROADCAST_SEEDS = 1_000_000  # target seeds of some 40 bytes
-SLICE_CELLS = 1 << 22  # residues of the padded pairs aligned at once
+SLICE_CELLS = 1 << 20  # residues and cells of the padded pairs aligned at once
 NEVER = -(1 << 28)
 
 ALIGNED = (
@@ -106,13 +108,21 @@ def _seeds(df: DataFrame, name: str, k: int, at: str) -> DataFrame:
 def seed_diagonals(queries: DataFrame, targets: DataFrame, k: int = 4, min_seeds: int = 2) -> DataFrame:
     """(query, target, diagonal, seeds): the diagonal with the most common k-mers of each pair.
 
-    ``queries(query, seq)``, ``targets(target, seq)``. A diagonal is place in the query less place in the
-    target; of equal ones the smallest is taken. Pairs with under ``min_seeds`` on every diagonal are left out. The
-    join makes one row for each k-mer match and counts it in the same task: no pair is listed before it is counted.
-    The targets' k-mers are broadcast up to ``BROADCAST_SEEDS``, so that no k-mer, however frequent, makes a hot task.
+    ``queries(query, seq)``, ``targets(target, seq)``, both with one row for a name. A diagonal is place in the query less
+    place in the target; of equal ones the smallest is taken. Pairs with under ``min_seeds`` on every diagonal are left out.
+    Up to ``BROADCAST_SEEDS`` k-mers of targets travel to the tasks as one table, and matches are counted where the query
+    lies: no shuffle. Beyond it both sides meet by k-mer.
     """
+    table = seed_table(targets, "target", k, BROADCAST_SEEDS)
+    if table is not None:
+        return shared_diagonals(queries, table, min_seeds).drop("qseq")
+    return _joined_diagonals(queries, targets, k, min_seeds)
+
+
+def _joined_diagonals(queries: DataFrame, targets: DataFrame, k: int, min_seeds: int) -> DataFrame:
+    """``seed_diagonals`` for any number of targets: one row for each k-mer match."""
     known = materialize(_seeds(targets, "target", k, "_t"), "target-seeds")
-    matches = _seeds(queries, "query", k, "_q").join(broadcast_if_small(known, BROADCAST_SEEDS), "kmer")
+    matches = _seeds(queries, "query", k, "_q").join(known, "kmer")
     counted = (
         matches.groupBy("query", "target", (F.col("_q") - F.col("_t")).alias("diagonal"))
         .agg(F.count(F.lit(1)).alias("seeds"))
@@ -129,18 +139,17 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     code = np.full(256, len(RESIDUE_FREQUENCIES), dtype=np.int16)
     for i, letter in enumerate(RESIDUE_FREQUENCIES):
         code[ord(letter)] = i
-    texts = [(s or "").encode("ascii", "replace") for s in column.to_pylist()]
-    lengths = np.array([len(t) for t in texts])
+    texts = [s or "" for s in column.to_pylist()]
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
     out = np.full((len(texts), max(1, int(lengths.max(initial=0)))), len(RESIDUE_FREQUENCIES), dtype=np.int16)
-    for i, text in enumerate(texts):
-        out[i, : len(text)] = code[np.frombuffer(text, dtype=np.uint8)]
+    out[np.arange(out.shape[1]) < lengths[:, None]] = code[np.frombuffer("".join(texts).encode("ascii", "replace"), dtype=np.uint8)]
     return out, lengths
 
 
-def _better(first: tuple, second: tuple) -> tuple:
-    """Of two (score, trace) columns the one with the higher score, the first of equals."""
-    keep = first[0] >= second[0]
-    return np.where(keep, first[0], second[0]), np.where(keep[:, None], first[1], second[1])
+def band_rows(qlen: np.ndarray, tlen: np.ndarray, diagonal: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place in each target that the band meets in the query, and the number of places from there."""
+    first = np.maximum(0, -diagonal - band)
+    return first, np.maximum(0, np.minimum(tlen, qlen - diagonal + band) - first)
 
 
 def align_band(
@@ -152,46 +161,78 @@ def align_band(
     Gives the scores, and rows (first place in the query, in the target, columns, equal residues, last place in the
     query, in the target). Of equal alignments the one that ends first in the query, then in the target; going
     back from its end, a match before a gap in the target before a gap in the query, and the shortest.
+
+    Scores go forward by places of the target, all cells of the band and all pairs at once; what they were made of is
+    found going back from the best cells. A gap within a row is the largest score before it less its costs, which is one
+    running maximum over the band.
     """
     pairs, cells, none = len(qlen), 2 * band + 1, len(RESIDUE_FREQUENCIES)
-    matrix, every = scoring.matrix(), np.arange(len(qlen))
-    blank = lambda: (np.full(pairs, NEVER, dtype=np.int32), np.zeros((pairs, 4), dtype=np.int32))
-    # a cell holds the best alignment ending in a match or gap, and the best that ends in a gap in the query
-    row = [(np.zeros(pairs, dtype=np.int32), np.zeros((pairs, 4), dtype=np.int32)) for _ in range(cells)]
-    gaps = [blank() for _ in range(cells)]
-    top, found = np.zeros(pairs, dtype=np.int32), np.zeros((pairs, 6), dtype=np.int32)
-
-    def gap(before: tuple, longer: tuple) -> tuple:
-        """One more gap column, after an alignment or after a gap."""
-        score, trace = _better((before[0] - scoring.gap_open, before[1]), (longer[0] - scoring.gap_extend, longer[1]))
-        return score, trace + np.array([0, 0, 1, 0], dtype=np.int32)
-
-    for j in range(int(tlen.max(initial=0))):
-        here, across = [], blank()
-        for cell in range(cells):
-            i = diagonal + (j + cell - band)
-            inside = (i >= 0) & (i < qlen) & (j < tlen)
-            a, b = query[every, np.clip(i, 0, query.shape[1] - 1)], target[:, j]
-            score, trace = row[cell]
-            fresh = score <= 0
-            trace = np.where(fresh[:, None], np.stack([i, np.full(pairs, j), np.zeros(pairs), np.zeros(pairs)], 1), trace)
-            trace[:, 2] += 1
-            trace[:, 3] += (a == b) & (a != none)
-            now = (np.where(fresh, 0, score) + matrix[a, b], trace.astype(np.int32))
-            if band:
-                across = gap(here[cell - 1], across) if cell else across
-                along = gap(row[cell + 1], gaps[cell + 1]) if cell + 1 < cells else blank()
-                now = _better(_better(now, across), along)
-                gaps[cell] = (np.where(inside, along[0], NEVER), along[1])
-                across = (np.where(inside, across[0], NEVER), across[1])
-            now = (np.where(inside & (now[0] > 0), now[0], 0), now[1])
-            here.append(now)
-            ends = np.stack([i, np.full(pairs, j)], 1)
-            earlier = (ends[:, 0] < found[:, 4]) | ((ends[:, 0] == found[:, 4]) & (ends[:, 1] < found[:, 5]))
-            new = (now[0] > top) | ((now[0] == top) & (top > 0) & earlier)
-            top = np.where(new, now[0], top)
-            found = np.where(new[:, None], np.concatenate([now[1], ends], 1), found)
-        row = here
+    outside, size = none + 1, none + 2
+    every, diagonal = np.arange(pairs), diagonal.astype(np.int64)
+    qlen, tlen = qlen.astype(np.int64), tlen.astype(np.int64)
+    matrix = np.full((size, size), NEVER, dtype=np.int32)
+    matrix[:outside, :outside] = scoring.matrix()
+    matrix = matrix.ravel()
+    first, rows = band_rows(qlen, tlen, diagonal, band)
+    many = int(rows.max(initial=0))
+    # the query's letters by their place in the band's first row and on, and the target's, by row
+    i = np.arange(many + cells - 1)[:, None] + (diagonal + first - band)
+    wide = np.where((i >= 0) & (i < qlen), query[every, np.clip(i, 0, query.shape[1] - 1)], outside).astype(np.int64) * size
+    j = np.arange(many)[:, None] + first
+    letters = np.where(j < tlen, target[every, np.minimum(j, target.shape[1] - 1)], outside).astype(np.int64)
+    best = np.zeros((many + 1, cells, pairs), dtype=np.int32)  # best[r + 1]: alignments that end in row r
+    over = np.full((many if band else 0, cells, pairs), NEVER, dtype=np.int32)  # those that end in a gap within the row
+    along = np.full((cells, pairs), NEVER, dtype=np.int32)
+    step = min(scoring.gap_open, scoring.gap_extend)
+    ahead = (np.arange(cells, dtype=np.int32) * step)[:, None]
+    behind = ahead[:-1] + np.int32(scoring.gap_open)
+    top, end_row, end_cell = np.zeros(pairs, dtype=np.int32), np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
+    for r in range(many):
+        before, now = best[r], best[r + 1]
+        np.add(before, matrix[wide[r : r + cells] + letters[r]], out=now)
+        if band:
+            along[:-1] = np.maximum(before[1:] - scoring.gap_open, along[1:] - scoring.gap_extend)
+            np.maximum(now, along, out=now)
+            np.subtract(np.maximum.accumulate(now + ahead, axis=0)[:-1], behind, out=over[r, 1:])
+            np.maximum(now, over[r], out=now)
+        np.maximum(now, 0, out=now)
+        most = now.max(axis=0)
+        met = np.flatnonzero((most > 0) & (most >= top))
+        cell = now[:, met].argmax(axis=0)
+        # of equal scores the first in the query: rows only grow, so a later row must end at a smaller place
+        new = (most[met] > top[met]) | (r + cell < end_row[met] + end_cell[met])
+        met = met[new]
+        top[met], end_row[met], end_cell[met] = most[met], r, cell[new]
+
+    found = np.zeros((pairs, 6), dtype=np.int64)
+    p = np.flatnonzero(top > 0)
+    r, c, kind = end_row[p], end_cell[p], np.zeros(len(p), dtype=np.int8)  # kind: any, a gap within the row, a gap along the target
+    score, columns, equal = top[p].astype(np.int64), np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+    found[p, 4], found[p, 5] = first[p] + r + diagonal[p] + c - band, first[p] + r
+    while len(p):
+        if band:
+            code = wide[r + c, p] + letters[r, p]
+            match = (kind == 0) & (best[r, c, p] + matrix[code] == score)
+            kind = np.where((kind == 0) & ~match, np.where(over[r, c, p] == score, 1, 2), kind)
+        else:
+            code, match = wide[r + c, p] + letters[r, p], np.ones(len(p), dtype=bool)
+        columns += 1
+        equal += match & (code // size == code % size) & (code % size != none)
+        done = match & (best[r, c, p] <= 0)
+        if done.any():
+            at, row = p[done], first[p[done]] + r[done]
+            found[at, 0], found[at, 1] = row + diagonal[at] + c[done] - band, row
+            found[at, 2], found[at, 3] = columns[done], equal[done]
+        # a match goes to the row before, a gap to the cell it was opened from or made longer
+        within = kind == 1
+        r_next, c_next = r - ~within, c - within + (kind == 2)
+        ends = best[r_next + 1, np.minimum(c_next, cells - 1), p]
+        opened = ends - scoring.gap_open == score
+        score = np.where(match | opened, ends, score + scoring.gap_extend)
+        kind = np.where(match | opened, 0, kind)
+        left = ~done
+        p, r, c, kind = p[left], r_next[left], c_next[left], kind[left]
+        score, columns, equal = score[left], columns[left], equal[left]
     return top, found
 
 
@@ -199,14 +240,16 @@ def align_pairs(pairs: DataFrame, scoring: Scoring | None = None, band: int = 8)
     """Rows (query, target, diagonal, qseq, tseq) to the best local alignment of each, none for a pair without one.
 
     Places count from 1, ends included; ``identical`` counts columns of equal residues. A task aligns slices of
-    pairs of like size, at most ``SLICE_CELLS`` padded residues at once, or one pair.
+    pairs of like size, at most ``SLICE_CELLS`` padded residues and cells of the band at once, or one pair.
     """
     used = scoring or Scoring()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in ALIGNED.split(", ")]
         for batch in batches:
-            sizes = np.array([len(a or "") + len(b or "") for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)])
+            qsize, tsize = (pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 4))
+            rows = band_rows(qsize, tsize, batch.column(2).to_numpy(), band)[1]
+            sizes = qsize + tsize + (rows + 1) * (2 * band + 1)
             order, start = np.argsort(sizes, kind="stable"), 0
             while start < len(order):
                 stop = start + 1
@@ -240,11 +283,14 @@ def search_alignments(
     """
     used = scoring or Scoring()
     lam, k_value = used.statistics()
-    pairs = materialize(seed_diagonals(queries, targets, k, min_seeds), "seed-pairs")
-    sides = pairs.join(queries.select("query", F.col("seq").alias("qseq")), "query").join(
-        broadcast_if_small(targets.select("target", F.col("seq").alias("tseq")), BROADCAST_SEEDS // 200), "target"
-    )
-    aligned = align_pairs(sides, used, band)
+    listed = broadcast_if_small(targets.select("target", F.col("seq").alias("tseq")), BROADCAST_SEEDS // 200)
+    table = seed_table(targets, "target", k, BROADCAST_SEEDS)
+    if table is not None:
+        sides = shared_diagonals(queries, table, min_seeds)
+    else:
+        pairs = materialize(_joined_diagonals(queries, targets, k, min_seeds), "seed-pairs")
+        sides = pairs.join(queries.select("query", F.col("seq").alias("qseq")), "query")
+    aligned = materialize(align_pairs(sides.join(listed, "target"), used, band), "alignments")
     residues = targets.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("double").alias("_all"))
     bits = (F.lit(lam) * F.col("score") - F.lit(float(np.log(k_value)))) / F.lit(float(np.log(2.0)))
     found = aligned.withColumn("bits", bits).withColumn("_all", residues.scalar())

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from seqharbor.operators import alignment as ops
-from seqharbor.operators import markers
+from seqharbor.operators import markers, seeds
 
 RESIDUES = "ARNDCQEGHILKMFPSTWYV"
 
@@ -161,3 +161,33 @@ def test_empty_tables(spark):
     none, some = proteins(spark, [], "query"), proteins(spark, [("t", "ACDEF")], "target")
     assert ops.search_alignments(none, some).count() == 0
     assert ops.search_alignments(proteins(spark, [("q", "ACDEF")], "query"), some.limit(0)).count() == 0
+
+
+def test_search_shuffles_no_match(spark):
+    rng = random.Random(13)
+    targets = proteins(spark, [(f"m{i}", "".join(rng.choices(RESIDUES, k=60))) for i in range(5)], "target")
+    queries = proteins(spark, [(f"q{i}", "".join(rng.choices(RESIDUES, k=80))) for i in range(50)], "query")
+    plan = ops.seed_diagonals(queries, targets)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+
+
+def test_long_queries_and_kmers(spark, rows, monkeypatch):
+    """Parts of a query meet at every place, matches are counted over pieces, and numbers of long k-mers are ranked."""
+    rng = random.Random(17)
+    monkeypatch.setattr(seeds, "MATCHES", 5)
+    monkeypatch.setattr(seeds, "SLICE_LETTERS", 7)
+    core = "".join(rng.choices("ACDE", k=60))
+    targets = [("t", core), ("u", core[20:50] + "é" + core[:9])]
+    queries = [("q", "".join(rng.choices("ACDE", k=40)) + core + core), ("r", core[:33] + "W" + core[33:]), ("s", core[5:22])]
+    for k in (3, 16, 32):
+        want = []
+        for q, qs in queries:
+            for t, ts in targets:
+                qb, tb = qs.encode(), ts.encode()
+                found = Counter(i - j for i in range(len(qb) - k + 1) for j in range(len(tb) - k + 1) if qb[i : i + k] == tb[j : j + k])
+                top = max(((n, -d) for d, n in found.items() if n >= 2), default=None)
+                want += [(q, t, -top[1], top[0])] if top else []
+        tables = proteins(spark, queries, "query"), proteins(spark, targets, "target")
+        for most in (1_000_000, 1):
+            monkeypatch.setattr(ops, "BROADCAST_SEEDS", most)
+            assert rows(ops.seed_diagonals(*tables, k, 2)) == sorted(want, key=repr), (k, most)
