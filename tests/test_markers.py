@@ -176,3 +176,18 @@ def test_seed_search_equals_brute_force(spark, rows):
     assert top.groupBy("query").count().agg(F.max("count")).first()[0] <= 2
     with pytest.raises(ValueError):
         ops.kmer_seed_hits(q, t, 3, 0.0)
+
+
+def test_seed_search_counts_where_the_query_lies(spark, rows, monkeypatch):
+    rng = random.Random(10)
+    core = "".join(rng.choice("ACDE") for _ in range(60))
+    targets = [(f"t{i}", core[i * 5 : i * 5 + 25]) for i in range(5)] + [("rep", "A" * 30), ("short", "AC")]
+    queries = [(f"q{i}", "".join(rng.choice("ACDE") for _ in range(50)) + core[: i * 9] + "A" * 25) for i in range(9)]
+    q = spark.createDataFrame([*queries, ("none", None)], "query string, seq string")
+    t = spark.createDataFrame([*targets, ("none", None)], "target string, seq string")
+    found = ops.kmer_seed_hits(q, t, 3, 0.2)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    counted = rows(found)
+    assert [r[:4] for r in counted] == brute_seed_hits(queries, targets, 3, 0.2)
+    monkeypatch.setattr(ops, "BROADCAST_ROWS", 1)  # both sides meet by k-mer
+    assert rows(ops.kmer_seed_hits(q, t, 3, 0.2)) == counted
