@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MOST_SHOWN = 100  # problems that an error lists
 PROBLEM_SCHEMA = "table_name string, problem string, detail string, n_rows bigint"
@@ -39,11 +39,11 @@ def find_problems(spark: SparkSession, checks: list[TableCheck]) -> DataFrame:
     ]
     parts = [spark.createDataFrame(missing, PROBLEM_SCHEMA)]
 
-    def add(name: str, problem: str, rows: DataFrame) -> None:
+    def add(name: str, problem: str | Column, rows: DataFrame) -> None:
         parts.append(
             rows.select(
                 F.lit(name).alias("table_name"),
-                F.lit(problem).alias("problem"),
+                (F.lit(problem) if isinstance(problem, str) else problem).alias("problem"),
                 "detail",
                 F.col("n_rows").cast("bigint"),
             )
@@ -55,15 +55,12 @@ def find_problems(spark: SparkSession, checks: list[TableCheck]) -> DataFrame:
             empty = F.lit(False)
             for c in key:
                 empty = empty | F.col(c).isNull()
-            nulls = check.df.where(empty).agg(F.count(F.lit(1)).alias("n_rows"))
-            add(check.name, "null key", nulls.where("n_rows > 0").withColumn("detail", F.lit("|".join(key))))
-            repeated = (
-                check.df.where(~empty)
-                .groupBy(*key)
-                .agg(F.count(F.lit(1)).alias("n_rows"))
-                .where("n_rows > 1")
-            )
-            add(check.name, "duplicate key", repeated.withColumn("detail", _shown(key)))
+            # keys with a null in any part count together; one pass over a table that may be costly to read
+            keys = check.df.select(empty.alias("_empty"), *[F.when(~empty, F.col(c)).alias(c) for c in key])
+            counted = keys.groupBy("_empty", *key).agg(F.count(F.lit(1)).alias("n_rows")).where("_empty or n_rows > 1")
+            problem = F.when(F.col("_empty"), "null key").otherwise("duplicate key")
+            detail = F.when(F.col("_empty"), "|".join(key)).otherwise(_shown(key))
+            add(check.name, problem, counted.withColumn("detail", detail))
         for column, (label, other, theirs) in check.refs.items():
             if column not in check.df.columns:
                 continue

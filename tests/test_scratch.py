@@ -5,7 +5,7 @@ import os
 import pytest
 
 from seqharbor import session
-from seqharbor.plans.checks import TableCheck, require_unique, validate_inputs
+from seqharbor.plans.checks import TableCheck, find_problems, require_unique, validate_inputs
 from seqharbor.plans.predict import score_model
 from seqharbor.sources.hits_json import read_hits_json
 
@@ -48,3 +48,11 @@ def test_every_fold_scores_every_chunk(spark):
     got = score_model(chunks, {"fold_0": model(0.0), "fold_1": model(1.0)}, ["x"], 4, 2, [[2]])
     found = {(r["fold"], r["accession"]): r["logits"] for r in got.collect()}
     assert found == {(f"fold_{s}", a): [v * 2 + s for v in x] for s in (0, 1) for a, _, x in rows}
+
+
+def test_keys_are_checked_in_one_pass(spark, rows):
+    frame = spark.createDataFrame([("a", 1), ("a", 1), (None, 1), ("b", None), ("b", 2), ("c", 3)], "k string, n int")
+    read = frame.mapInArrow(lambda batches: batches, frame.schema)
+    found = find_problems(spark, [TableCheck("t", read, ["k"], ["k", "n"])])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert rows(found) == [("t", "duplicate key", "a|1", 2), ("t", "null key", "k|n", 2)]
