@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import genes, markers, views
 from seqharbor.functions.ranking import hash_rank
-from seqharbor.operators import markers as ops
+from seqharbor.operators import genes as gene_ops, markers as ops
 
 HITS = (
     "query string, target string, evalue string, bits double, qlen bigint, tlen bigint, "
@@ -191,3 +193,28 @@ def test_seed_search_counts_where_the_query_lies(spark, rows, monkeypatch):
     assert [r[:4] for r in counted] == brute_seed_hits(queries, targets, 3, 0.2)
     monkeypatch.setattr(ops, "BROADCAST_ROWS", 1)  # both sides meet by k-mer
     assert rows(ops.kmer_seed_hits(q, t, 3, 0.2)) == counted
+
+
+def test_sequence_search_writes_no_proteins(spark, rows, tmp_path, monkeypatch):
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("bc") for _ in range(n))  # noqa: E731  C and G: no stop codon, open in all frames
+    items = [text(90) for _ in range(4)]
+    texts = [text(60 + i % 3) + items[i % 4][: 20 * i] + text(30) for i in range(12)] + [items[0] * 30, "short", "", None]
+    sf, shared = str(tmp_path), spark.conf.get("spark.checkpoint.dir")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    best: dict[tuple[str, str], int] = {}
+    proteins = [tuple(r) for r in genes.orfs(spark, sf).select("protein_id", "amino_acid_sequence").collect()]
+    targets = views.references(spark, sf).select("target", gene_ops.translate_codons("seq"))
+    for query, target, found, _ in brute_seed_hits(proteins, [tuple(r) for r in targets.collect()], 6, markers.SHARE):
+        key = (query.rsplit("_", 1)[0], target)
+        best[key] = max(found, best.get(key, 0))
+    assert len(best) > 4
+    before = set(os.listdir(shared))
+    for most in (ops.BROADCAST_ROWS, 1):  # by a table of seeds; by a join, which writes its seeds
+        monkeypatch.setattr(ops, "BROADCAST_ROWS", most)
+        got = markers.sequence_marker_hits(spark, sf)
+        assert rows(got, "accession", "marker", "shared") == sorted([(*k, n) for k, n in best.items()], key=repr)
+        assert not [name for name in set(os.listdir(shared)) - before if "-orfs-" in name]
+        plan = got._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+        assert plan.count("find(") == 1  # sequences are scanned once
